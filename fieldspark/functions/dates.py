@@ -94,14 +94,10 @@ def months_since(date: Column, as_of: dt.date) -> Column:
 
 def spanish_date(date: Column) -> Column:
     """`07-julio-2021`."""
-    months = F.array(*[F.lit(m) for m in MONTHS])
-    return F.concat(
-        F.lpad(F.day(date).cast("string"), 2, "0"),
-        F.lit("-"),
-        F.element_at(months, F.month(date)),
-        F.lit("-"),
-        F.year(date).cast("string"),
-    )
+    months = F.expr("array(" + ", ".join(f"'{m}'" for m in MONTHS) + ")")
+    day = F.lpad(F.day(date).cast("string"), 2, "0")
+    month = F.element_at(months, F.month(date))
+    return F.concat(day, F.lit("-"), month, F.lit("-"), F.year(date).cast("string"))
 
 
 def quarter_share(start: Column, end: Column, quarter: int) -> Column:

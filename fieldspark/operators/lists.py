@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 PART_SIZE = 10_000
@@ -21,6 +20,7 @@ def text_list(
     *,
     sums: Sequence[str] = (),
     size: str | None = None,
+    unique: bool = False,
     part_size: int = PART_SIZE,
     spread: int = SPREAD,
 ) -> DataFrame:
@@ -28,73 +28,78 @@ def text_list(
 
     Output: the keys, `parte`, `out`, the summed columns `sums` and `entradas`, the number of
     entries in the text (an item counts as `size` entries when it is itself a list). A key whose
-    items are all null gets a null text.
+    items are all null gets a null text. `unique` says that items hardly repeat within a key, so
+    that counting them first would be wasted; the result is the same either way.
 
-    A key with up to `part_size / 2` entries always has one row, `parte` 1. A longer list may
-    continue over several rows, each sorted, with other (not consecutive) `parte` numbers; the rows
-    together hold every entry. Steps: equal items are counted before they travel; items are spread
-    over `spread` buckets per key by hash; every bucket is cut into runs of about `part_size`
-    entries; long runs stay rows of their own and the short last runs of a key, at most `spread`
-    of them, are merged. So no task ever holds more than a part of a large list.
+    A list of up to `part_size` entries is one row, `parte` 1. A longer list may continue over
+    several rows, each sorted, with other (not consecutive) `parte` numbers; the rows together
+    hold every entry. Steps: equal items are counted before they travel; items are spread over
+    `spread` buckets per key by hash; every bucket is cut into runs of about `part_size` entries;
+    full runs stay rows of their own and the last run of each bucket goes to `parte` 1. So a large
+    list is worked on by many tasks, and no row holds more than `spread` runs.
     """
-    keys = list(keys)
-    entries = F.max(size) if size else F.lit(1)
-    counted = df.groupBy(*keys, F.col(item).alias("_item")).agg(
-        F.count(F.col(item)).alias("_n"),
-        entries.cast("long").alias("_size"),
-        *[F.sum(s).alias(s) for s in sums],
-    )
-
-    # An item repeated very often is cut into pieces, so that a run overshoots only a little.
-    # Sums go with the first piece.
-    cap = F.greatest(F.lit(1).cast("long"), F.expr(f"{max(part_size // 4, 1)} div _size"))
-    last_piece = F.greatest(F.ceil(F.col("_n") / F.col("_cap")), F.lit(1)) - 1
-    pieces = (
-        counted.withColumn("_cap", cap)
-        .withColumn("_piece", F.explode(F.sequence(F.lit(0).cast("long"), last_piece)))
-        .select(
-            *keys,
+    by = ", ".join(f"`{k}`" for k in keys)
+    summed = [f"`{s}`" for s in sums]
+    entries = f"cast(`{size}` as bigint)" if size else "1L"
+    if unique:
+        pieces = df.selectExpr(
+            *[f"`{k}`" for k in keys],
+            f"`{item}` as _item",
+            "0L as _piece",
+            f"if(`{item}` is null, 0L, 1L) as _times",
+            f"{entries} as _size",
+            *summed,
+        )
+    else:
+        # An item repeated very often is cut into pieces, so that a run overshoots only a little.
+        # Sums go with the first piece.
+        counted = (
+            df.withColumnRenamed(item, "_item")
+            .groupBy(*keys, "_item")
+            .agg(
+                F.expr("count(_item) as _n"),
+                F.expr(f"max({entries}) as _size"),
+                *[F.expr(f"sum({s}) as {s}") for s in summed],
+            )
+        )
+        cap = f"greatest({max(part_size // 4, 1)} div _size, 1L)"
+        pieces = counted.selectExpr(
+            "*", f"explode(sequence(0L, greatest(cast(ceil(_n / {cap}) as bigint), 1L) - 1)) _piece"
+        ).selectExpr(
+            *[f"`{k}`" for k in keys],
             "_item",
             "_piece",
-            F.least(F.col("_cap"), F.col("_n") - F.col("_piece") * F.col("_cap")).alias("_times"),
+            f"least({cap}, _n - _piece * {cap}) as _times",
             "_size",
-            *[F.when(F.col("_piece") == 0, F.col(s)).alias(s) for s in sums],
-            F.pmod(F.xxhash64("_item", "_piece"), F.lit(spread)).alias("_bucket"),
+            *[f"if(_piece = 0, {s}, null) as {s}" for s in summed],
         )
-        .withColumn("_entries", F.col("_times") * F.col("_size"))
-    )
 
-    so_far = (
-        W.partitionBy(*keys, "_bucket")
-        .orderBy("_item", "_piece")
-        .rowsBetween(W.unboundedPreceding, W.currentRow)
-    )
+    in_bucket = f"(partition by {by}, _bucket"
     runs = (
-        pieces.withColumn("_so_far", F.sum("_entries").over(so_far))
-        .withColumn("_run", F.expr(f"greatest(_so_far - 1, 0L) div {part_size}"))
-        .groupBy(*keys, "_bucket", "_run")
-        .agg(
-            F.collect_list(F.struct("_item", "_times")).alias("_items"),
-            F.sum("_entries").alias("_entries"),
-            *[F.sum(s).alias(s) for s in sums],
+        pieces.selectExpr("*", f"pmod(xxhash64(_item, _piece), {spread}) as _bucket")
+        .selectExpr(
+            "*",
+            f"sum(_times * _size) over {in_bucket} order by _item, _piece "
+            "rows between unbounded preceding and current row) as _so_far",
+            f"sum(_times * _size) over {in_bucket}) as _all",
+        )
+        .selectExpr(
+            "*",
+            f"greatest(_so_far - 1, 0L) div {part_size} as _run",
+            f"greatest(_all - 1, 0L) div {part_size} as _last",
         )
     )
-
-    long_run = F.col("_entries") >= max(part_size // 2, 1)
-    own_part = F.col("_run") * spread + F.col("_bucket") + 2
-    parts = (
-        runs.withColumn("parte", F.when(long_run, own_part).otherwise(F.lit(1).cast("long")))
+    listed = (
+        runs.selectExpr(
+            "*", f"if(_run < _last, _run * {spread} + _bucket + 2, 1L) as parte"
+        )
         .groupBy(*keys, "parte")
         .agg(
-            F.flatten(F.collect_list("_items")).alias("_items"),
-            F.sum("_entries").alias("entradas"),
-            *[F.sum(s).alias(s) for s in sums],
-        )
-    )
-    words = F.flatten(
-        F.transform(
-            F.array_sort("_items"), lambda x: F.array_repeat(x["_item"], x["_times"].cast("int"))
+            F.expr("sort_array(collect_list(struct(_item, _times))) as _items"),
+            F.expr("sum(_times * _size) as entradas"),
+            *[F.expr(f"sum({s}) as {s}") for s in summed],
         )
     )
-    text = F.when(F.col("entradas") > 0, F.array_join(words, separator))
-    return parts.select(*keys, "parte", text.alias(out), *sums, "entradas")
+    words = "flatten(transform(_items, x -> array_repeat(x._item, cast(x._times as int))))"
+    text = F.when(F.expr("entradas > 0"), F.array_join(F.expr(words), separator))
+    return listed.select(*keys, "parte", text.alias(out), *sums, "entradas")

@@ -24,37 +24,40 @@ def distribution(
     `band_width`, so a value's rank is the count of the bands below plus its rank within its own
     band: a key with a large share of the rows is worked on by as many tasks as it has bands.
     """
-    keys = list(keys)
+    # One struct as key: its fields may be null and still join and share a partitioning.
+    # The band is filtered here, because the join below would infer that filter for one of its
+    # sides only and the counting would then run twice instead of being shared.
     counted = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*keys, F.floor(F.col(value) / band_width).alias("_band"), F.col(value).alias("_v"))
+        df.select(
+            F.struct(*keys).alias("_key"),
+            F.floor(F.col(value) / band_width).alias("_band"),
+            F.col(value).alias("_v"),
+        )
+        .where("_v is not null and _band is not null")
+        .groupBy("_key", "_band", "_v")
         .agg(F.count(F.lit(1)).alias("_n"))
     )
 
-    per_key = W.partitionBy(*keys)
+    per_key = W.partitionBy("_key")
     below = per_key.orderBy("_band").rowsBetween(W.unboundedPreceding, -1)
     bands = (
-        counted.groupBy(*keys, "_band")
+        counted.groupBy("_key", "_band")
         .agg(F.sum("_n").alias("_in_band"))
         .select(
-            *[F.col(k).alias(f"_k_{k}") for k in keys],
-            F.col("_band").alias("_b"),
+            "_key",
+            "_band",
             F.coalesce(F.sum("_in_band").over(below), F.lit(0)).alias("_below"),
             F.sum("_in_band").over(per_key).alias("_total"),
         )
     )
-    same = F.col("_band") == F.col("_b")
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-
     within = (
-        W.partitionBy(*keys, "_band")
+        W.partitionBy("_key", "_band")
         .orderBy("_v")
         .rowsBetween(W.unboundedPreceding, W.currentRow)
     )
     ranked = (
         counted.withColumn("_rank", F.sum("_n").over(within))
-        .join(bands, same)
+        .join(bands, ["_key", "_band"])
         .withColumn("_rank", F.col("_rank") + F.col("_below"))
     )
 
@@ -65,7 +68,7 @@ def distribution(
     for name, p in quantiles.items():
         for end, at in (("lo", F.floor(position(p))), ("hi", F.ceil(position(p)))):
             marks.append(F.min(F.when(F.col("_rank") > at, F.col("_v"))).alias(f"_{name}_{end}"))
-    summed = ranked.groupBy(*keys).agg(
+    summed = ranked.groupBy("_key").agg(
         F.max("_total").alias("_total"),
         F.min("_v").alias("minimo"),
         F.max("_v").alias("maximo"),
@@ -79,7 +82,7 @@ def distribution(
         return (lo + (hi - lo) * (at - F.floor(at))).alias(name)
 
     return summed.select(
-        *keys,
+        "_key.*",
         F.col("_total").alias("muestras"),
         F.col("minimo").cast("double").alias("minimo"),
         *[interpolated(name, p) for name, p in quantiles.items()],

@@ -127,11 +127,19 @@ def alert_list(rows: DataFrame, by_lot: bool) -> DataFrame:
     if by_lot:
         rows = rows.withColumn("lote", lot_of_block(F.col("bloque")))
     cell = ["fecha", "descripcion_formula", *lot, days]
-    blocks = text_list(rows, [*cell, "grupo"], "bloque", ", ", "bloques").withColumn(
+    blocks = text_list(
+        rows, [*cell, "grupo"], "bloque", ", ", "bloques", unique=True
+    ).withColumn(
         "grupo_bloques", labelled(F.col("grupo"), F.col("bloques"))
     )
     listed = text_list(
-        blocks, cell, "grupo_bloques", GROUP_LINE, "bloques_pendientes", size="entradas"
+        blocks,
+        cell,
+        "grupo_bloques",
+        GROUP_LINE,
+        "bloques_pendientes",
+        size="entradas",
+        unique=True,
     )
     ordered = listed.orderBy(
         F.col(days).desc_nulls_last(), "descripcion_formula", *lot, "parte", "bloques_pendientes"

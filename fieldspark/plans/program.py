@@ -55,7 +55,13 @@ def weekly_program(t: Tables, anio: int | None = None, semana: int | None = None
         labelled(F.coalesce("grupo", F.lit(rules.CHECK_GROUP)), F.col("bloques")),
     )
     listed = text_list(
-        blocks, order, "grupo_bloques", GROUP_GAP, "bloques programados", size="entradas"
+        blocks,
+        order,
+        "grupo_bloques",
+        GROUP_GAP,
+        "bloques programados",
+        size="entradas",
+        unique=True,
     )
     ordered = listed.orderBy(*[F.col(c).asc_nulls_last() for c in order], "parte")
     return ordered.select(

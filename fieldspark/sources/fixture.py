@@ -1,14 +1,15 @@
 """The domain tables derived from the star-schema test tables.
 
 Tests and benchmarks have no farm data. Each domain table is a fixed projection of `part`,
-`lineitem` or `supplier`; the definitions are those of FIXTURES.md, written as DataFrames.
+`lineitem` or `supplier`, as defined in FIXTURES.md.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+from functools import cache
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldspark.sources.tables import Tables
@@ -17,177 +18,170 @@ AS_OF = dt.date(2001, 12, 31)
 PLANTED_SINCE = dt.date(1998, 1, 1)
 
 
-def _digits(value: Column, width: int) -> Column:
-    return F.lpad(value.cast("string"), width, "0")
+def _digits(value: str, width: int) -> str:
+    return f"lpad(cast({value} as string), {width}, '0')"
 
 
-def _lot(key: Column) -> Column:
-    return F.concat(F.lit("L"), _digits(key % 40, 2))
+def _lot(key: str) -> str:
+    return f"concat('L', {_digits(f'{key} % 40', 2)})"
 
 
-def _block(key: Column) -> Column:
-    suffix = F.when(key % 17 == 0, "J").otherwise("")
-    return F.concat(_digits(key % 40, 2), _digits(key, 5), suffix)
+def _block(key: str) -> str:
+    suffix = f"if({key} % 17 = 0, 'J', '')"
+    return f"concat({_digits(f'{key} % 40', 2)}, {_digits(key, 5)}, {suffix})"
 
 
-def _group(prefix: str, key: Column, number: int) -> Column:
-    return F.concat(F.lit(prefix), _digits(key % number, 2))
-
-
-def _day(first: str, days: Column) -> Column:
-    return F.date_add(F.lit(dt.date.fromisoformat(first)), days.cast("int"))
+def _group(prefix: str, key: str, number: int) -> str:
+    return f"concat('{prefix}', {_digits(f'{key} % {number}', 2)})"
 
 
 def fixture_tables(spark: SparkSession, sf_dir: str) -> Tables:
     """Domain tables over the parquet files in `sf_dir`."""
 
+    @cache
     def stored(name: str) -> DataFrame:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
+    @cache
     def blocks() -> DataFrame:
-        key = F.col("p_partkey")
-        return stored("part").select(
-            _block(key).alias("codigo"),
-            _lot(key).alias("lote"),
-            (F.col("p_size") * 250).cast("double").alias("area"),
+        return stored("part").selectExpr(
+            f"{_block('p_partkey')} as codigo",
+            f"{_lot('p_partkey')} as lote",
+            "cast(p_size * 250 as double) as area",
         )
 
+    @cache
     def blocks_detalle() -> DataFrame:
-        key, size = F.col("p_partkey"), F.col("p_size")
-        # Seed range labels.
+        # Seed range labels by p_partkey % 5.
         seed_range = (
-            F.when(key % 5 == 0, "R-1 (DE 250 A 550)")
-            .when(key % 5 == 1, "R-2 (DE 551 A 900)")
-            .when(key % 5 == 2, "RANGO 2 (RAIZ)")
-            .when(key % 5 == 3, "R3: (601-900)")
-            .otherwise("SIN RANGO")
+            "case p_partkey % 5 when 0 then 'R-1 (DE 250 A 550)' when 1 then 'R-2 (DE 551 A 900)' "
+            "when 2 then 'RANGO 2 (RAIZ)' when 3 then 'R3: (601-900)' else 'SIN RANGO' end"
         )
-        return stored("part").select(
-            _block(key).alias("blocknumber"),
-            _block(key).alias("descripcion"),
-            (size * 250).cast("double").alias("area"),
-            ((key % 4).cast("double") / 20).alias("drenajes"),
-            (size * 1500).cast("double").alias("poblacion"),
-            (key % 30).cast("int").alias("dias_hasta_siembra_grupo"),
-            seed_range.alias("rango_semilla"),
+        return stored("part").selectExpr(
+            f"{_block('p_partkey')} as blocknumber",
+            f"{_block('p_partkey')} as descripcion",
+            "cast(p_size * 250 as double) as area",
+            "cast(p_partkey % 4 as double) / 20 as drenajes",
+            "cast(p_size * 1500 as double) as poblacion",
+            "cast(p_partkey % 30 as int) as dias_hasta_siembra_grupo",
+            f"{seed_range} as rango_semilla",
         )
 
+    @cache
     def blocks_desarrollo() -> DataFrame:
-        key, size, crop = F.col("p_partkey"), F.col("p_size"), F.col("desarrollo")
-        planted = F.col("fecha_siembra")
-        first = F.when(crop == "PC", F.lit(dt.date(1998, 1, 1))).otherwise(
-            F.lit(dt.date(1999, 9, 1))
-        )
+        first = "if(desarrollo = 'PC', date '1998-01-01', date '1999-09-01')"
         return (
             stored("part")
-            .select("*", F.explode(F.array(F.lit("PC"), F.lit("SC"))).alias("desarrollo"))
-            .where((crop == "PC") | (key % 2 == 0))
-            .withColumn("blocknumber", _block(key))
-            .withColumn("fecha_siembra", F.date_add(first, (key % 1200).cast("int")))
-            .select(
-                F.concat("desarrollo", "blocknumber").alias("bloque"),
+            .selectExpr("p_partkey as k", "p_size", "explode(array('PC', 'SC')) as desarrollo")
+            .where("desarrollo = 'PC' or k % 2 = 0")
+            .selectExpr(
+                "*",
+                f"{_block('k')} as blocknumber",
+                f"date_add({first}, cast(k % 1200 as int)) as fecha_siembra",
+            )
+            .selectExpr(
+                "concat(desarrollo, blocknumber) as bloque",
                 "blocknumber",
                 "desarrollo",
-                F.col("blocknumber").alias("descripcion"),
-                _group("GS", key, 50).alias("grupo_siembra"),
-                _group("GF", key, 40).alias("grupo_forza"),
-                _group("GE", key, 30).alias("grupo_semillero"),
+                "blocknumber as descripcion",
+                f"{_group('GS', 'k', 50)} as grupo_siembra",
+                f"{_group('GF', 'k', 40)} as grupo_forza",
+                f"{_group('GE', 'k', 30)} as grupo_semillero",
                 "fecha_siembra",
-                F.when(key % 3 != 0, F.date_add(planted, 300)).alias("finduccion"),
-                F.when(key % 3 == 1, F.date_add(planted, 440)).alias("mediana_fecha_cosecha"),
-                (size * 900).cast("double").alias("kilos_cosechados"),
-                (size * 700).cast("double").alias("frutas"),
+                "if(k % 3 = 0, null, date_add(fecha_siembra, 300)) as finduccion",
+                "if(k % 3 = 1, date_add(fecha_siembra, 440), null) as mediana_fecha_cosecha",
+                "cast(p_size * 900 as double) as kilos_cosechados",
+                "cast(p_size * 700 as double) as frutas",
             )
         )
 
+    @cache
     def aplicaciones() -> DataFrame:
-        key, supplier = F.col("l_partkey"), F.col("l_suppkey")
-        flag, status = F.col("l_returnflag"), F.col("l_linestatus")
-        line, quantity = F.col("l_linenumber"), F.col("l_quantity")
-        crop = F.when((status == "F") | (key % 2 == 1), "PC").otherwise("SC")
-        prefix = F.when(flag == "A", "GS").when(flag == "N", "GF").otherwise("GE")
-        group = F.concat(prefix, _digits(supplier % 50, 2))
-        # Stage names.
+        crop = "if(l_linestatus = 'F' or l_partkey % 2 = 1, 'PC', 'SC')"
+        prefix = "case l_returnflag when 'A' then 'GS' when 'N' then 'GF' else 'GE' end"
+        # Stages by return flag and line status.
         etapa = (
-            F.when((flag == "A") & (status == "F"), "Post Siembra")
-            .when(flag == "A", "Post Deshija")
-            .when((flag == "N") & (status == "F"), "Post Forza")
-            .when(flag == "N", "Post 2da Forza")
-            .otherwise("Post Poda")
+            "case l_returnflag when 'A' then if(l_linestatus = 'F', 'Post Siembra', 'Post Deshija') "
+            "when 'N' then if(l_linestatus = 'F', 'Post Forza', 'Post 2da Forza') "
+            "else 'Post Poda' end"
+        )
+        etapa2 = (
+            "case l_returnflag when 'A' then 'preforza' when 'N' then 'postforza' "
+            "else 'semillero' end"
+        )
+        categoria = (
+            "case when l_linenumber <= 4 then 'nutricion' when l_linenumber = 5 then 'proteccion' "
+            "else 'herbicida' end"
         )
-        etapa2 = F.when(flag == "A", "preforza").when(flag == "N", "postforza")
-        formula = (supplier % 25).cast("string")
+        group = f"concat({prefix}, {_digits('l_suppkey % 50', 2)})"
         return (
             stored("lineitem")
-            .where(key % 11 != 0)
-            .select(
-                _block(key).alias("blocknumber"),
-                F.concat(crop, _block(key)).alias("bloque"),
-                F.when(supplier % 13 != 0, group).alias("grupo"),
-                F.col("l_shipdate").cast("date").alias("fecha"),
-                F.col("l_orderkey").cast("string").alias("codigo_cedula"),
-                F.concat(F.lit("F "), formula).alias("codigo_formula"),
-                F.concat(F.lit("FORMULA "), formula).alias("descripcion_formula"),
-                F.when(quantity > 25, "PLAN").alias("motivo"),
-                quantity.cast("int").alias("dias_diferencia"),
-                F.when(quantity % 7 != 6, (quantity % 7).cast("int")).alias("calidad"),
-                F.when(line <= 4, "nutricion")
-                .when(line == 5, "proteccion")
-                .otherwise("herbicida")
-                .alias("categoria"),
-                etapa.alias("etapa"),
-                etapa2.otherwise("semillero").alias("etapa2"),
+            .where("l_partkey % 11 <> 0")
+            .selectExpr(
+                f"{_block('l_partkey')} as blocknumber",
+                f"concat({crop}, {_block('l_partkey')}) as bloque",
+                f"if(l_suppkey % 13 = 0, null, {group}) as grupo",
+                "cast(l_shipdate as date) as fecha",
+                "cast(l_orderkey as string) as codigo_cedula",
+                "concat('F ', cast(l_suppkey % 25 as string)) as codigo_formula",
+                "concat('FORMULA ', cast(l_suppkey % 25 as string)) as descripcion_formula",
+                "if(l_quantity > 25, 'PLAN', null) as motivo",
+                "cast(l_quantity as int) as dias_diferencia",
+                "if(l_quantity % 7 = 6, null, cast(l_quantity % 7 as int)) as calidad",
+                f"{categoria} as categoria",
+                f"{etapa} as etapa",
+                f"{etapa2} as etapa2",
             )
         )
 
+    @cache
     def aplicaciones_pendientes() -> DataFrame:
         return (
             aplicaciones()
-            .where(F.col("dias_diferencia") % 9 == 0)
-            .select(
+            .where("dias_diferencia % 9 = 0")
+            .selectExpr(
                 "bloque",
                 "blocknumber",
                 "grupo",
-                F.date_add("fecha", 15).alias("fecha"),
+                "date_add(fecha, 15) as fecha",
                 "categoria",
                 "etapa",
                 "etapa2",
             )
         )
 
+    @cache
     def calidad_aplicaciones() -> DataFrame:
         keys = ["bloque", "grupo", "etapa2", "categoria"]
-        quality = F.col("calidad")
         # Counted before the join, so that a busy block joins as a few rows.
         counted = (
             aplicaciones()
-            .where(F.col("grupo").isNotNull())
+            .where("grupo is not null")
             .groupBy(*keys)
             .agg(
-                F.count(F.lit(1)).alias("hechas"),
-                F.count_if(quality.isin(3, 4)).alias("tarde"),
-                F.count_if(quality.isin(0, 1)).alias("pronto"),
-                F.count_if(quality.isNull()).alias("sin_dato"),
+                F.expr("count(*) as hechas"),
+                F.expr("count_if(calidad in (3, 4)) as tarde"),
+                F.expr("count_if(calidad in (0, 1)) as pronto"),
+                F.expr("count_if(calidad is null) as sin_dato"),
             )
         )
         dates = (
             blocks_desarrollo()
             .groupBy("bloque")
             .agg(
-                F.min("fecha_siembra").alias("fecha_siembra"),
-                F.min("finduccion").alias("finduccion"),
-                F.count(F.lit(1)).alias("copias"),
+                F.expr("min(fecha_siembra) as fecha_siembra"),
+                F.expr("min(finduccion) as finduccion"),
+                F.expr("count(*) as copias"),
             )
         )
-        copies = F.coalesce("copias", F.lit(1))
-        return counted.join(dates, "bloque", "left").select(
+        return counted.join(dates, "bloque", "left").selectExpr(
             *keys,
             "fecha_siembra",
             "finduccion",
-            (F.col("hechas") * copies).alias("num_aplicaciones_realizadas"),
-            (F.col("tarde") * copies).alias("aplicaciones_con_retraso"),
-            (F.col("pronto") * copies).alias("aplicaciones_muy_proximas"),
-            (F.col("sin_dato") * copies).alias("aplicaciones_pendientes"),
+            "hechas * coalesce(copias, 1L) as num_aplicaciones_realizadas",
+            "tarde * coalesce(copias, 1L) as aplicaciones_con_retraso",
+            "pronto * coalesce(copias, 1L) as aplicaciones_muy_proximas",
+            "sin_dato * coalesce(copias, 1L) as aplicaciones_pendientes",
         )
 
     def rangos_calidad_aplicaciones() -> DataFrame:
@@ -205,96 +199,97 @@ def fixture_tables(spark: SparkSession, sf_dir: str) -> Tables:
         )
 
     def groups(prefix: str, number: int, odd_days: int = 0) -> DataFrame:
-        key = F.col("s_suppkey")
-        days = (key % number) * 20 + (key % 2) * odd_days
-        return stored("supplier").select(
-            _group(prefix, key, number).alias("descripcion"),
-            _day("1998-01-01", days).alias("fecha"),
+        days = f"cast((s_suppkey % {number}) * 20 + (s_suppkey % 2) * {odd_days} as int)"
+        return stored("supplier").selectExpr(
+            f"{_group(prefix, 's_suppkey', number)} as descripcion",
+            f"date_add(date '1998-01-01', {days}) as fecha",
         )
 
     def pesoplanta() -> DataFrame:
-        weight = (500 + F.col("dias_diferencia") * 50).cast("decimal(12,2)")
-        rows = aplicaciones().where(F.col("categoria") != "herbicida")
-        return rows.select(F.col("bloque").alias("llave"), "fecha", weight.alias("valor"))
+        return (
+            aplicaciones()
+            .where("categoria <> 'herbicida'")
+            .selectExpr(
+                "bloque as llave",
+                "fecha",
+                "cast(500 + dias_diferencia * 50 as decimal(12,2)) as valor",
+            )
+        )
 
     def historia_bloques() -> DataFrame:
-        key = F.col("p_partkey")
-        days = key % 1200
-        nothing = F.lit(None).cast("date")
-        return stored("part").select(
-            _block(key).alias("bloque"),
-            _lot(key).alias("lote"),
-            F.when(key % 19 != 0, _group("GS", key, 50)).alias("grupo_siembra"),
-            _group("GF", key, 40).alias("grupo_forza"),
-            F.when(key % 4 == 0, _group("GE", key, 30)).alias("grupo_semillero"),
-            _group("GS", key, 45).alias("grupo_2da_cosecha"),
-            _group("GF", key, 35).alias("grupo_forza2"),
-            F.when(key % 23 != 0, _day("1998-01-01", days)).alias("siembra"),
-            F.when(key % 5 >= 1, _day("1998-10-28", days)).alias("finduccion"),
-            F.when(key % 5 >= 2, _day("1999-03-17", days)).alias("fecha_cosecha_pc"),
-            F.when(key % 10 == 2, _day("1999-05-01", days)).alias("poda"),
-            F.when(key % 5 >= 3, _day("1999-09-01", days)).alias("deshija"),
-            F.when(key % 5 == 4, _day("2000-06-27", days)).alias("finduccion2"),
-            nothing.alias("fecha_cosecha_sc"),
-            nothing.alias("semillerosegunda"),
-            nothing.alias("barrido"),
+        def day(first: str) -> str:
+            return f"date_add(date '{first}', cast(p_partkey % 1200 as int))"
+
+        return stored("part").selectExpr(
+            f"{_block('p_partkey')} as bloque",
+            f"{_lot('p_partkey')} as lote",
+            f"if(p_partkey % 19 = 0, null, {_group('GS', 'p_partkey', 50)}) as grupo_siembra",
+            f"{_group('GF', 'p_partkey', 40)} as grupo_forza",
+            f"if(p_partkey % 4 = 0, {_group('GE', 'p_partkey', 30)}, null) as grupo_semillero",
+            f"{_group('GS', 'p_partkey', 45)} as grupo_2da_cosecha",
+            f"{_group('GF', 'p_partkey', 35)} as grupo_forza2",
+            f"if(p_partkey % 23 = 0, null, {day('1998-01-01')}) as siembra",
+            f"if(p_partkey % 5 >= 1, {day('1998-10-28')}, null) as finduccion",
+            f"if(p_partkey % 5 >= 2, {day('1999-03-17')}, null) as fecha_cosecha_pc",
+            f"if(p_partkey % 10 = 2, {day('1999-05-01')}, null) as poda",
+            f"if(p_partkey % 5 >= 3, {day('1999-09-01')}, null) as deshija",
+            f"if(p_partkey % 5 = 4, {day('2000-06-27')}, null) as finduccion2",
+            "cast(null as date) as fecha_cosecha_sc",
+            "cast(null as date) as semillerosegunda",
+            "cast(null as date) as barrido",
         )
 
     def programacionaplicaciones() -> DataFrame:
-        key, formula = F.col("l_partkey"), (F.col("l_suppkey") % 25).cast("string")
-        unknown = F.concat(F.lit("ZZ"), key.cast("string"))
+        unknown = "concat('ZZ', cast(l_partkey as string))"
         return (
             stored("lineitem")
-            .where(F.col("l_linenumber") <= 3)
-            .select(
-                F.concat(F.lit("FORMULA "), formula).alias("formula"),
-                F.when(key % 29 == 0, unknown).otherwise(_block(key)).alias("block"),
-                F.col("l_shipdate").cast("date").alias("fecha"),
-                (F.col("l_quantity") * 100).cast("double").alias("area"),
-                F.concat(F.lit("F "), formula).alias("codformula"),
+            .where("l_linenumber <= 3")
+            .selectExpr(
+                "concat('FORMULA ', cast(l_suppkey % 25 as string)) as formula",
+                f"if(l_partkey % 29 = 0, {unknown}, {_block('l_partkey')}) as block",
+                "cast(l_shipdate as date) as fecha",
+                "cast(l_quantity * 100 as double) as area",
+                "concat('F ', cast(l_suppkey % 25 as string)) as codformula",
             )
         )
 
     def lotes_detalle() -> DataFrame:
-        return blocks().select(F.col("lote").alias("label"), F.col("lote").alias("value")).distinct()
+        return blocks().selectExpr("lote as label", "lote as value").distinct()
 
     def formulas() -> DataFrame:
-        number = (F.col("s_suppkey") % 25).cast("string")
-        return stored("supplier").select(F.concat(F.lit("F "), number).alias("codigo")).distinct()
+        code = "concat('F ', cast(s_suppkey % 25 as string)) as codigo"
+        return stored("supplier").selectExpr(code).distinct()
 
     def formulas_det() -> DataFrame:
-        key = F.col("p_partkey")
-        number = (key % 25).cast("string")
-        padding = F.when(key % 2 == 0, " ").otherwise("")
-        return stored("part").select(
-            F.concat(F.lit("F "), number).alias("codigo"),
-            F.concat(F.lit(" "), "p_brand", padding).alias("insumo"),
-            F.concat(F.lit("FORMULA "), number).alias("descripcion"),
-            F.lower("p_type").alias("categoria"),
-            (F.col("p_size").cast("double") / 4).alias("cantha"),
+        return stored("part").selectExpr(
+            "concat('F ', cast(p_partkey % 25 as string)) as codigo",
+            "concat(' ', p_brand, if(p_partkey % 2 = 0, ' ', '')) as insumo",
+            "concat('FORMULA ', cast(p_partkey % 25 as string)) as descripcion",
+            "lower(p_type) as categoria",
+            "cast(p_size as double) / 4 as cantha",
         )
 
     def agroinsumos() -> DataFrame:
-        brand = F.col("p_brand")
         return (
             stored("part")
-            .where(brand != "Brand#3")
-            .select(
-                F.concat(brand, F.lit(" ")).alias("insumo"),
-                F.concat(F.lit("INSUMO "), brand).alias("nombre_insumo"),
+            .where("p_brand <> 'Brand#3'")
+            .selectExpr(
+                "concat(p_brand, ' ') as insumo", "concat('INSUMO ', p_brand) as nombre_insumo"
             )
             .distinct()
         )
 
     def cosecha_resumen() -> DataFrame:
-        harvested = F.col("finduccion").isNotNull() & F.col("mediana_fecha_cosecha").isNotNull()
-        return blocks_desarrollo().where(harvested).select(
-            "bloque", "blocknumber", "desarrollo", "kilos_cosechados", "frutas"
+        harvested = "finduccion is not null and mediana_fecha_cosecha is not null"
+        return (
+            blocks_desarrollo()
+            .where(harvested)
+            .select("bloque", "blocknumber", "desarrollo", "kilos_cosechados", "frutas")
         )
 
     def siembra() -> DataFrame:
-        state = (F.col("dias_hasta_siembra_grupo") % 9).cast("string")
-        return blocks_detalle().select("blocknumber", state.alias("estado"))
+        state = "cast(dias_hasta_siembra_grupo % 9 as string) as estado"
+        return blocks_detalle().selectExpr("blocknumber", state)
 
     definitions = {
         "blocks": blocks,

@@ -38,22 +38,25 @@ def conform(df: DataFrame, name: str) -> DataFrame:
     Timestamps become dates here. Spark turns a date range on the cast column into a range on the
     stored timestamp, so filters above still reach the scan. Decimals keep their own scale.
     """
-    actual = {f.name: f.dataType for f in df.schema.fields}
-    faults = []
-    columns = []
-    for field in SCHEMAS[name].fields:
-        if field.name not in actual:
+    declared = SCHEMAS[name]
+    found = {f.name: f.dataType for f in df.schema.fields}
+    if [(f.name, f.dataType) for f in declared.fields] == list(found.items()):
+        return df
+    faults, columns = [], []
+    for field in declared.fields:
+        actual = found.get(field.name)
+        wanted = field.dataType.simpleString()
+        if actual is None:
             faults.append(f"{field.name} is missing")
-            continue
-        found = actual[field.name]
-        if not _accepted(found, field.dataType):
-            faults.append(f"{field.name} is {found.simpleString()}, expected {field.dataType.simpleString()}")
-        keep = found == field.dataType or isinstance(found, T.DecimalType)
-        column = F.col(field.name)
-        columns.append(column if keep else column.cast(field.dataType).alias(field.name))
+        elif not _accepted(actual, field.dataType):
+            faults.append(f"{field.name} is {actual.simpleString()}, expected {wanted}")
+        elif actual == field.dataType or isinstance(actual, T.DecimalType):
+            columns.append(field.name)
+        else:
+            columns.append(f"cast({field.name} as {wanted}) as {field.name}")
     if faults:
         raise ValueError(f"table {name}: " + "; ".join(faults))
-    return df.select(*columns)
+    return df.selectExpr(*columns)
 
 
 class Tables:
@@ -65,6 +68,7 @@ class Tables:
     def __init__(self, read: Callable[[str], DataFrame]):
         self._read = read
         self._stored: dict[str, DataFrame] = {}
+        self._conformed: dict[str, DataFrame] = {}
 
     def _raw(self, name: str) -> DataFrame:
         if name not in self._stored:
@@ -74,7 +78,9 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_") or name not in SCHEMAS:
             raise AttributeError(name)
-        return conform(self._raw(name), name)
+        if name not in self._conformed:
+            self._conformed[name] = conform(self._raw(name), name)
+        return self._conformed[name]
 
     def dated(
         self,
@@ -91,7 +97,7 @@ class Tables:
         """
         raw = self._raw(name)
         if ranges is None:
-            return conform(raw, name)
+            return getattr(self, name)
         wanted = in_ranges(F.col("fecha"), ranges)
         if YEAR_PARTITION in raw.columns:
             years = [
