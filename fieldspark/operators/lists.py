@@ -71,7 +71,7 @@ def text_list(
             "_piece",
             f"least({cap}, _n - _piece * {cap}) as _times",
             "_size",
-            *[f"if(_piece = 0, {s}, null) as {s}" for s in summed],
+            *[f"if(_piece = 0 or {s} is null, {s}, 0) as {s}" for s in summed],
         )
 
     in_bucket = f"(partition by {by}, _bucket"
