@@ -12,7 +12,7 @@ from fieldspark.functions import rules
 from fieldspark.functions.dates import months_since
 from fieldspark.functions.rules import in_list, ratio
 from fieldspark.functions.text import block_key
-from fieldspark.operators.frames import first_per_key
+from fieldspark.operators.frames import first_per_key, round_numbers
 from fieldspark.plans.weights import last_weight_before_induction, latest_weight
 from fieldspark.sources.tables import Tables
 
@@ -30,18 +30,18 @@ GRAMS_FIRST_CROP = 2500
 def _ready(t: Tables, as_of: dt.date, planted_since: dt.date) -> DataFrame:
     """Blocks not yet induced that are old or heavy enough, one row each, with age and last sample.
 
-    The samples are reduced to the last day of each block before the blocks are joined.
+    Blocks and samples are both reduced to one row per block before they are joined.
     """
-    blocks = t.blocks_desarrollo.where(
+    growing = t.blocks_desarrollo.where(
         F.col("finduccion").isNull()
         & ~F.col("bloque").endswith("J")
         & (F.col("fecha_siembra") >= F.lit(planted_since))
     ).select("bloque", "blocknumber", "desarrollo", "grupo_siembra", "fecha_siembra")
-    sampled = first_per_key(
-        blocks.join(latest_weight(t), F.col("bloque") == F.col("llave"), "left"),
-        ["bloque"],
-        [F.col("fecha_muestreo").desc_nulls_first(), F.col("fecha_siembra"), F.col("blocknumber")],
-    ).withColumn("edad", months_since(F.col("fecha_siembra"), as_of))
+    order = [F.col(c) for c in ("fecha_siembra", "blocknumber", "desarrollo", "grupo_siembra")]
+    blocks = first_per_key(growing, ["bloque"], order)
+    sampled = blocks.join(latest_weight(t), F.col("bloque") == F.col("llave"), "left").withColumn(
+        "edad", months_since(F.col("fecha_siembra"), as_of)
+    )
     first_crop = (F.col("desarrollo") == "PC") & (
         (F.col("edad") > MONTHS_FIRST_CROP) | (F.col("peso_planta") > GRAMS_FIRST_CROP)
     )
@@ -75,7 +75,18 @@ def forcing_candidates(
     )
 
 
-def _base(t: Tables, rows: DataFrame, *carried: str, few: bool = False) -> DataFrame:
+def forcing_table(t: Tables, as_of: dt.date, planted_since: dt.date = PLANTED_SINCE) -> DataFrame:
+    """The candidates as their page shows them, numbers to two digits."""
+    return round_numbers(forcing_candidates(t, as_of, planted_since))
+
+
+def _base(
+    t: Tables,
+    rows: DataFrame,
+    *carried: str,
+    few: bool = False,
+    weights: DataFrame | None = None,
+) -> DataFrame:
     """The model base of some rows of `blocks_desarrollo`; `carried` columns are kept in front.
 
     `few` says that the rows are few enough to limit the samples before they are summed.
@@ -91,7 +102,8 @@ def _base(t: Tables, rows: DataFrame, *carried: str, few: bool = False) -> DataF
         F.col("frutas").alias("frutas_pc"),
         F.col("fecha_siembra").alias("fecha_siembra_pc"),
     )
-    weights = last_weight_before_induction(t, blocks.select("llave") if few else None)
+    if weights is None:
+        weights = last_weight_before_induction(t, blocks.select("llave") if few else None)
     harvested = t.cosecha_resumen.select(key, "kilos_cosechados", "frutas")
     return (
         blocks.join(t.blocks_detalle, "blocknumber", "left")
@@ -123,15 +135,19 @@ def _base(t: Tables, rows: DataFrame, *carried: str, few: bool = False) -> DataF
     )
 
 
-def model_base(t: Tables, bloques: Iterable[str] | None = None) -> DataFrame:
+def model_base(
+    t: Tables, bloques: Iterable[str] | None = None, weights: DataFrame | None = None
+) -> DataFrame:
     """What the harvest model knows about blocks: dates, areas, weight before induction, own
     harvest and, for second crops, the first-crop harvest of the same field.
 
-    `bloques` lists block keys; left out, the base covers all blocks.
+    `bloques` lists block keys; left out, the base covers all blocks. `weights` may be a stored
+    result of `last_weight_before_induction`, so that the samples are not read for every report.
     """
     if bloques is None:
-        return _base(t, t.blocks_desarrollo)
-    return _base(t, t.blocks_desarrollo.where(in_list(F.col("bloque"), bloques)), few=True)
+        return _base(t, t.blocks_desarrollo, weights=weights)
+    rows = t.blocks_desarrollo.where(in_list(F.col("bloque"), bloques))
+    return _base(t, rows, few=True, weights=weights)
 
 
 def forcing_scenarios(

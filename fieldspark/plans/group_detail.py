@@ -7,8 +7,9 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldspark.functions.dates import spanish_date
 from fieldspark.functions.text import block_key, link
-from fieldspark.operators.frames import free, where_equal
+from fieldspark.operators.frames import fill_blank, free, where_equal
 from fieldspark.operators.joins import in_keys
 from fieldspark.operators.lists import text_list
 from fieldspark.plans.weights import daily_weights
@@ -59,6 +60,13 @@ def group_block_quality(
     )
 
 
+def group_table(
+    t: Tables, grupo: str | None = None, categoria: str | None = None, etapa: str | None = None
+) -> DataFrame:
+    """The block counters as their page shows them, all text and blank where missing."""
+    return fill_blank(group_block_quality(t, grupo, categoria, etapa))
+
+
 def group_weights(t: Tables, grupo_siembra: str | None = None) -> DataFrame:
     """Mean plant weight per block and day of a planting group, to two digits.
 
@@ -97,3 +105,11 @@ def group_applications(
     if keys:
         return listed
     return listed.orderBy(F.col("fecha aplicación").asc_nulls_last(), *order, "parte")
+
+
+def group_application_table(
+    t: Tables, grupo: str | None = None, etapa2: str | None = None, categoria: str | None = None
+) -> DataFrame:
+    """The treatment orders as their page shows them, with the date as text."""
+    rows = group_applications(t, grupo, etapa2, categoria)
+    return rows.withColumn("fecha aplicación", spanish_date(F.col("fecha aplicación")))

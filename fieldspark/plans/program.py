@@ -26,9 +26,12 @@ def _listed(t: Tables, anio: int | None, semana: int | None) -> DataFrame:
     order = ["fecha", "codformula", "formula"]
     plan = t.dated("programacionaplicaciones", week_ranges(anio, semana))
     planned = plan.select(*order, "block", "area").distinct()
-    rows = planned.join(current_groups(t), F.col("block") == F.col("bloque"), "left").select(
+    grouped = planned.join(current_groups(t), F.col("block") == F.col("bloque"), "left").select(
         *order, "grupo", "block", F.col("area").cast("decimal(18,4)").alias("area")
     )
+    # Listing could go on in the partitions of the join, but then a block with a large share of
+    # the plan could not be split between tasks.
+    rows = grouped.repartition(*order, "grupo", "block")
     return text_list(rows, [*order, "grupo"], "block", ", ", "bloques", sums=["area"])
 
 

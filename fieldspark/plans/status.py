@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldspark.functions.text import link
-from fieldspark.operators.frames import free, where_equal
+from fieldspark.operators.frames import fill_blank, free, where_equal
 from fieldspark.sources.tables import Tables
 
 
@@ -45,6 +45,11 @@ def lot_block_status(t: Tables, lote: str | None = None) -> DataFrame:
     )
 
 
+def lot_table(t: Tables, lote: str | None = None) -> DataFrame:
+    """The milestones as their page shows them, all text and blank where missing."""
+    return fill_blank(lot_block_status(t, lote))
+
+
 def formula_list(t: Tables) -> DataFrame:
     code = F.col("codigo")
     return t.formulas.select(code.alias("label"), code.alias("value")).orderBy(

@@ -289,6 +289,37 @@ select lote, bloque, {group("grupo_siembra", "preforza", "gs")} as "grupo de sie
 from historia_bloques"""
 
 
+_BLOCK_QUALITY = """
+select grupo, categoria,
+  '[' || bloque || '](/' || etapa2 || '-detalle-bloque?bloque=' || bloque || '#' || categoria
+    || ')' as bloque,
+  fecha_siembra as "fecha de siembra", finduccion as "fecha de inducción",
+  cast(aplicaciones_pendientes as bigint) as "# de aplicaciones pendientes",
+  cast(num_aplicaciones_realizadas as bigint) as "# de aplicaciones realizadas",
+  cast(aplicaciones_con_retraso as bigint) as "# de aplicaciones realizadas tardías",
+  cast(aplicaciones_muy_proximas as bigint) as "# de aplicaciones realizadas adelantadas"
+from calidad_aplicaciones"""
+
+_ORDERS = """
+select grupo, etapa2, categoria, codigo_cedula as "codigo cédula", fecha as "fecha aplicación",
+  descripcion_formula as formula, cast(1 as bigint) as parte,
+  string_agg(blocknumber, ', ' order by blocknumber) as bloques
+from aplicaciones group by all"""
+
+_CANDIDATES = f"""
+select r.bloque, r.desarrollo, r.grupo_siembra as "grupo siembra",
+  r.fecha_siembra as "fecha siembra", b.poblacion,
+  b.area * (1 - b.drenajes) / 10000 as "area neta (ha)",
+  b.poblacion / (b.area * (1 - b.drenajes) / 10000) as densidad, edad as "edad actual meses",
+  r.fecha_muestreo as "fecha ultimo muestreo", r.peso as "peso promedio ultimo muestreo",
+  b.rango_semilla as "rango semilla"
+from ({_READY}) r left join blocks_detalle b using (blocknumber)"""
+
+
+def _blank(column: str) -> str:
+    return f'coalesce(cast("{column}" as varchar), \'\') as "{column}"'
+
+
 _RATIOS = """blocknumber, area * (1 - drenajes) / 10000 as area_neta,
   poblacion / (area * (1 - drenajes) / 10000) as densidad, poblacion / area as por_area,
   case when drenajes = 0 then null else area / drenajes end as por_drenaje"""
@@ -392,16 +423,13 @@ select distinct descripcion as label, descripcion as value, etapa, fecha from (
   union all select descripcion, 'postforza', fecha from gruposforza
   union all select descripcion, 'postforza', fecha from gruposforza2
   union all select descripcion, 'semillero', fecha from grupossemillero) g""",
-    "group_block_quality": """
-select grupo, categoria,
-  '[' || bloque || '](/' || etapa2 || '-detalle-bloque?bloque=' || bloque || '#' || categoria
-    || ')' as bloque,
-  fecha_siembra as "fecha de siembra", finduccion as "fecha de inducción",
-  cast(aplicaciones_pendientes as bigint) as "# de aplicaciones pendientes",
-  cast(num_aplicaciones_realizadas as bigint) as "# de aplicaciones realizadas",
-  cast(aplicaciones_con_retraso as bigint) as "# de aplicaciones realizadas tardías",
-  cast(aplicaciones_muy_proximas as bigint) as "# de aplicaciones realizadas adelantadas"
-from calidad_aplicaciones""",
+    "group_block_quality": _BLOCK_QUALITY,
+    "group_table": f"""
+select grupo, categoria, bloque, {_blank("fecha de siembra")}, {_blank("fecha de inducción")},
+  {_blank("# de aplicaciones pendientes")}, {_blank("# de aplicaciones realizadas")},
+  {_blank("# de aplicaciones realizadas tardías")},
+  {_blank("# de aplicaciones realizadas adelantadas")}
+from ({_BLOCK_QUALITY}) q""",
     # Half up to cents in whole numbers.
     "group_weights": """
 select grupo_siembra, llave, fecha,
@@ -410,11 +438,9 @@ from pesoplanta
 join (select distinct grupo_siembra, desarrollo || descripcion as k from blocks_desarrollo) b
   on b.k = llave
 group by grupo_siembra, llave, fecha""",
-    "group_applications": """
-select grupo, etapa2, categoria, codigo_cedula as "codigo cédula", fecha as "fecha aplicación",
-  descripcion_formula as formula, cast(1 as bigint) as parte,
-  string_agg(blocknumber, ', ' order by blocknumber) as bloques
-from aplicaciones group by all""",
+    "group_applications": _ORDERS,
+    "group_application_table": f"""
+select * replace ({_spanish('"fecha aplicación"')} as "fecha aplicación") from ({_ORDERS}) o""",
     "weight_samples": "select llave, fecha, cast(valor as double) as valor from pesoplanta",
     "weight_distribution": """
 select llave, fecha, count(valor) as muestras, cast(min(valor) as double) as minimo,
@@ -488,14 +514,11 @@ from ({_NEW}) n group by n.fecha_siembra, dias_sin_aplicacion""",
     "weekly_program_rows": _program_rows(),
     "weekly_program": _program(),
     "weekly_program_page": _program("where year(fecha) = 1999 and weekofyear(fecha) = 20"),
-    "forcing_candidates": f"""
-select r.bloque, r.desarrollo, r.grupo_siembra as "grupo siembra",
-  r.fecha_siembra as "fecha siembra", b.poblacion,
-  b.area * (1 - b.drenajes) / 10000 as "area neta (ha)",
-  b.poblacion / (b.area * (1 - b.drenajes) / 10000) as densidad, edad as "edad actual meses",
-  r.fecha_muestreo as "fecha ultimo muestreo", r.peso as "peso promedio ultimo muestreo",
-  b.rango_semilla as "rango semilla"
-from ({_READY}) r left join blocks_detalle b using (blocknumber)""",
+    "forcing_candidates": _CANDIDATES,
+    "forcing_table": f"""
+select * replace ({_rounded("poblacion")}, {_rounded('"area neta (ha)"')}, {_rounded("densidad")},
+  {_rounded('"edad actual meses"')}, {_rounded('"peso promedio ultimo muestreo"')})
+from ({_CANDIDATES}) c""",
     "model_base": _MODEL_BASE,
     "features_pc": f"""
 select * exclude (media, ancho, productividad_pc, recuperacion_pc, edad_inicio_sc)

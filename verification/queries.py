@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldspark.functions import dates, rules, text
-from fieldspark.operators.frames import fill_blank as filled
 from fieldspark.operators.frames import round_numbers
 from fieldspark.plans import (
     alerts,
@@ -168,6 +167,8 @@ ON_TABLES: dict[str, Callable[[Tables], DataFrame]] = {
     # Group detail.
     "group_list": group_detail.group_list,
     "group_block_quality": group_detail.group_block_quality,
+    "group_table": group_detail.group_table,
+    "group_application_table": group_detail.group_application_table,
     "group_weights": group_detail.group_weights,
     "group_applications": group_detail.group_applications,
     # Plant weights.
@@ -187,7 +188,7 @@ ON_TABLES: dict[str, Callable[[Tables], DataFrame]] = {
     # Lots and formulas.
     "lot_list": status.lot_list,
     "lot_block_status": status.lot_block_status,
-    "fill_blank": lambda t: filled(status.lot_block_status(t)),
+    "fill_blank": status.lot_table,
     "export_plain": lambda t: store.export_plain(status.lot_block_status(t)),
     "formula_list": status.formula_list,
     "formula_inputs": status.formula_inputs,
@@ -207,6 +208,7 @@ ON_TABLES: dict[str, Callable[[Tables], DataFrame]] = {
     "weekly_program_page": lambda t: program.weekly_program(t, 1999, 20),
     # Forcing and forecast.
     "forcing_candidates": lambda t: forcing.forcing_candidates(t, AS_OF, PLANTED_SINCE),
+    "forcing_table": lambda t: forcing.forcing_table(t, AS_OF, PLANTED_SINCE),
     "model_base": forcing.model_base,
     "features_pc": lambda t: forecast.features_pc(forcing.model_base(t)),
     "features_sc": lambda t: forecast.features_sc(forcing.model_base(t)),
