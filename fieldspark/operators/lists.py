@@ -20,6 +20,7 @@ def text_list(
     *,
     sums: Sequence[str] = (),
     size: str | None = None,
+    times: str | None = None,
     unique: bool = False,
     part_size: int = PART_SIZE,
     spread: int = SPREAD,
@@ -28,7 +29,7 @@ def text_list(
 
     Output: the keys, `parte`, `out`, the summed columns `sums` and `entradas`, the number of
     entries in the text (an item counts as `size` entries when it is itself a list). A key whose
-    items are all null gets a null text. `unique` says that items hardly repeat within a key, so
+    items are all null gets a null text. With `times` a row stands for that many rows. `unique` says that items hardly repeat within a key, so
     that counting them first would be wasted; the result is the same either way.
 
     A list of up to `part_size` entries is one row, `parte` 1. A longer list may continue over
@@ -53,11 +54,12 @@ def text_list(
     else:
         # An item repeated very often is cut into pieces, so that a run overshoots only a little.
         # Sums go with the first piece.
+        number = f"sum(if(_item is null, 0L, `{times}`))" if times else "count(_item)"
         counted = (
             df.withColumnRenamed(item, "_item")
             .groupBy(*keys, "_item")
             .agg(
-                F.expr("count(_item) as _n"),
+                F.expr(f"{number} as _n"),
                 F.expr(f"max({entries}) as _size"),
                 *[F.expr(f"sum({s}) as {s}") for s in summed],
             )

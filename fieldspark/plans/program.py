@@ -25,14 +25,20 @@ def _listed(t: Tables, anio: int | None, semana: int | None) -> DataFrame:
     """Blocks and area by date, formula and current group."""
     order = ["fecha", "codformula", "formula"]
     plan = t.dated("programacionaplicaciones", week_ranges(anio, semana))
-    planned = plan.select(*order, "block", "area").distinct()
-    grouped = planned.join(current_groups(t), F.col("block") == F.col("bloque"), "left").select(
-        *order, "grupo", "block", F.col("area").cast("decimal(18,4)").alias("area")
+    # Counted per block before the join, so that a busy block joins as one row per order.
+    planned = (
+        plan.select(*order, "block", "area")
+        .distinct()
+        .groupBy(*order, "block")
+        .agg(
+            F.count(F.lit(1)).alias("veces"),
+            F.sum(F.col("area").cast("decimal(18,4)")).alias("area"),
+        )
+    )
+    rows = planned.join(current_groups(t), F.col("block") == F.col("bloque"), "left")
+    return text_list(
+        rows, [*order, "grupo"], "block", ", ", "bloques", sums=["area"], times="veces"
     )
-    # Listing could go on in the partitions of the join, but then a block with a large share of
-    # the plan could not be split between tasks.
-    rows = grouped.repartition(*order, "grupo", "block")
-    return text_list(rows, [*order, "grupo"], "block", ", ", "bloques", sums=["area"])
 
 
 def weekly_program_rows(

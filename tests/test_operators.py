@@ -112,6 +112,13 @@ def test_text_list_sums_and_sizes(spark):
     assert sum(r.m for r in parted.collect()) == 500.0
 
 
+def test_text_list_of_counted_rows(spark):
+    rows = [("a", "x", 3), ("a", "x", 2), ("a", "y", 1), ("a", None, 4)]
+    df = spark.createDataFrame(rows, "k string, v string, n bigint")
+    got = text_list(df, ["k"], "v", ",", "lista", times="n").collect()
+    assert [(r.lista, r.entradas) for r in got] == [("x,x,x,x,x,y", 6)]
+
+
 def test_distribution_of_a_hot_key_equals_numpy(spark):
     rng = random.Random(11)
     rows = [("hot", rng.randrange(100_000)) for _ in range(4000)]

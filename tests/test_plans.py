@@ -1,6 +1,7 @@
 """What the physical plans must and must not contain."""
 
 import re
+from contextlib import contextmanager
 
 import pytest
 from pyspark.sql import functions as F
@@ -47,44 +48,66 @@ def test_treatments_are_counted_before_the_join(tables):
     assert plan.index("Join") < plan.index("partial_count(1)")
 
 
-def test_anti_join_is_an_ordinary_join(spark, tables):
-    """NOT IN must not fall back to shipping the subquery to every executor."""
-    limits = {
-        "spark.sql.autoBroadcastJoinThreshold": "-1",
-        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
-    }
-    before = {k: spark.conf.get(k, None) for k in limits}
-    for k, v in limits.items():
+NO_BROADCAST = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+}
+SMALL_SKEW = {
+    **NO_BROADCAST,
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100KB",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "50KB",
+}
+
+
+@contextmanager
+def settings(spark, values):
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
         spark.conf.set(k, v)
     try:
-        plan = plan_of(alerts.alert_new_blocks(tables, AS_OF))
-        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+        yield
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def test_hot_block_is_split_by_the_join(spark, tables, final_plan):
-    """A block with a third of the treatments: the row-level join splits it at run time."""
-    rows = tables.aplicaciones.select("*")
-    hot = F.when(F.pmod(F.xxhash64("codigo_cedula", "fecha"), F.lit(3)) == 0, "0000000J")
-    many = rows.crossJoin(spark.range(40)).drop("id")
-    skewed = many.withColumn("blocknumber", F.coalesce(hot, F.col("blocknumber")))
-    t = frame_tables({"aplicaciones": skewed, "blocks": tables.blocks})
-    limits = {
-        "spark.sql.autoBroadcastJoinThreshold": "-1",
-        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
-        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100KB",
-        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "50KB",
-    }
-    before = {k: spark.conf.get(k, None) for k in limits}
-    for k, v in limits.items():
-        spark.conf.set(k, v)
-    try:
+def with_hot_block(df, column, copies):
+    """`copies` times the rows, a third of them moved to one block."""
+    many = df.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.lit(copies))))
+    hot = F.when(F.pmod(F.xxhash64(*many.columns), F.lit(3)) == 0, "0700007")
+    # Spark splits a hot partition by the tasks that wrote it, so there must be several.
+    return many.withColumn(column, F.coalesce(hot, F.col(column))).repartition(8)
+
+
+def test_anti_join_is_an_ordinary_join(spark, tables):
+    """NOT IN must not fall back to shipping the subquery to every executor."""
+    with settings(spark, NO_BROADCAST):
+        plan = plan_of(alerts.alert_new_blocks(tables, AS_OF))
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_hot_block_is_split_by_the_row_level_join(spark, tables, final_plan):
+    rows = with_hot_block(tables.aplicaciones, "blocknumber", 40).drop("_copy")
+    t = frame_tables({"aplicaciones": rows, "blocks": tables.blocks})
+    with settings(spark, SMALL_SKEW):
         joined = groups.monthly_quality_rows(t)
-        assert "isSkew=true" in final_plan(joined) or "skew=true" in final_plan(joined)
-        assert joined.count() == many.count()
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+        assert "skew=true" in final_plan(joined)
+        assert joined.count() == rows.count()
+
+
+def test_hot_block_in_the_programme(spark, tables):
+    """The plan of a block is counted before it meets the groups; no entry is lost."""
+    rows = with_hot_block(tables.programacionaplicaciones, "block", 40).withColumn(
+        "area", F.col("area") + F.col("_copy")
+    )
+    plan = rows.drop("_copy")
+    t = frame_tables(
+        {"programacionaplicaciones": plan, "historia_bloques": tables.historia_bloques}
+    )
+    listed = program.weekly_program_rows(t)
+    text = plan_of(listed)
+    assert text.index("Join") < text.index("partial_count(1)")
+    want = plan.distinct().agg(F.sum("area"), F.count("*")).first()
+    got = listed.select(F.sum("area"), F.sum(F.size(F.split("bloques", ", ")))).first()
+    assert (float(got[0]), got[1]) == (want[0], want[1])

@@ -360,6 +360,8 @@ def test_model_base_of_listed_blocks(tables):
     whole = forcing.model_base(tables)
     same(forcing.model_base(tables, [*keys, keys[0]]), whole.where(F.col("llave").isin(keys)))
     assert forcing.model_base(tables, []).count() == 0
+    stored = weights.last_weight_before_induction(tables)
+    same(forcing.model_base(tables, weights=stored), whole)
 
 
 def test_scenarios_of_one_block(tables):
