@@ -13,7 +13,7 @@ SF_DIR = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session("8")
+    session = local_session("8", shuffle_partitions="3")
     session.conf.set("spark.sql.maxMetadataStringLength", "100000")  # whole filters in plans
     yield session
     session.stop()

