@@ -55,9 +55,10 @@ def test_week_ranges_equal_the_calendar():
     for year in range(2014, 2027):
         days = [dt.date(year, 1, 1) + dt.timedelta(days=i) for i in range(366)]
         days = [d for d in days if d.year == year]
-        for week in range(1, 54):
+        for week in (1, 2, 20, 51, 52, 53):
             want = [d for d in days if d.isocalendar().week == week]
-            got = [d for d in days if any(a <= d < b for a, b in dates.week_ranges(year, week))]
+            ranges = dates.week_ranges(year, week)
+            got = [d for d in days if any(a <= d < b for a, b in ranges)]
             assert got == want
     assert dates.week_ranges(2021, 53) == [(dt.date(2021, 1, 1), dt.date(2021, 1, 4))]
     assert len(dates.week_ranges(2024, 1)) == 2
