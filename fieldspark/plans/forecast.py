@@ -99,9 +99,7 @@ def with_quarter_shares(df: DataFrame) -> DataFrame:
 def checked_crop(df: DataFrame) -> DataFrame:
     """Fails at run time on the first row whose `desarrollo` is neither PC nor SC."""
     crop = F.col("desarrollo")
-    message = F.concat(
-        F.lit("El dataframe tiene un desarrollo incorrecto: "), F.coalesce(crop, F.lit("null"))
-    )
+    message = F.concat(F.lit("desarrollo must be PC or SC, not "), F.coalesce(crop, F.lit("null")))
     known = F.when(crop.isin("PC", "SC"), crop).otherwise(F.raise_error(message).cast("string"))
     return df.withColumn("desarrollo", known)
 

@@ -18,7 +18,7 @@ def write_table(df: DataFrame, name: str, root: str) -> None:
 
     Dated tables are range-partitioned by date and block before the write: a busy date is split
     by block, every file covers few dates, so row-group statistics skip the rest, and each
-    file belongs to one or two year partitions.
+    file belongs to one or two year partitions. Finding the ranges reads the source once more.
     """
     path = f"{root}/{name}"
     if name not in DATED:

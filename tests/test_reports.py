@@ -381,7 +381,7 @@ def test_unknown_crop_is_an_error(spark, tables):
     base = forcing.model_base(tables)
     bad = base.withColumn("desarrollo", F.lit("XX"))
     for features in (forecast.features_pc, forecast.features_sc):
-        with pytest.raises(PySparkException, match="desarrollo incorrecto: XX"):
+        with pytest.raises(PySparkException, match="must be PC or SC, not XX"):
             features(bad).collect()
 
 
