@@ -166,22 +166,17 @@ def monthly_pending_rows(
     return _with_blocks(t, rows, free(etapa2=etapa2, categoria=categoria))
 
 
-def _month_cells(
+def _month_treatments(
     t: Tables, etapa2: str | None, categoria: str | None, anio: int | None
 ) -> DataFrame:
-    """Done and pending treatments counted by block, group, month and class.
-
-    The charts need sums only, so the treatments are counted before they meet the blocks table:
-    a busy block joins with a few counted cells instead of all its rows.
-    """
+    """Done and pending treatments with month and class."""
     done = _month_rows(
         t, "aplicaciones", rules.timing_strict(F.col("calidad")), etapa2, categoria, anio
     )
     pending = _month_rows(
         t, "aplicaciones_pendientes", F.lit(rules.PENDING), etapa2, categoria, anio
     )
-    both = done.unionByName(pending)
-    return both.groupBy(*both.columns).agg(F.count(F.lit(1)).alias("n"))
+    return done.unionByName(pending).dropna(subset=["mes", "calidad"])
 
 
 def monthly_quality_by_group(
@@ -189,26 +184,44 @@ def monthly_quality_by_group(
 ) -> DataFrame:
     """Treatments per month, group and class; rows without a month, group or class are dropped.
 
-    Pending treatments are counted also where no treatment was done.
+    Pending treatments are counted also where no treatment was done. In the row-level join a block
+    listed more than once counts that often. Such blocks are rare, so all treatments are counted
+    without a join, and only if there are any, the treatments of these blocks are counted again
+    for each further listing.
     """
     keys = [*free(etapa2=etapa2, categoria=categoria), "mes", "grupo", "calidad"]
-    # A block listed more than once counts that often, as in the row-level join.
-    copies = t.blocks.groupBy("codigo").agg(F.count(F.lit(1)).alias("copias"))
-    return (
-        _month_cells(t, etapa2, categoria, anio)
-        .dropna(subset=["mes", "grupo", "calidad"])
-        .join(copies, F.col("blocknumber") == F.col("codigo"), "left")
-        .groupBy(*keys)
-        .agg(F.sum(F.col("n") * F.coalesce("copias", F.lit(1))).alias("conteo"))
+    rows = _month_treatments(t, etapa2, categoria, anio).where(F.col("grupo").isNotNull())
+    once = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("conteo"))
+    repeated = (
+        t.blocks.groupBy("codigo")
+        .agg((F.count(F.lit(1)) - 1).alias("mas"))
+        .where((F.col("mas") > 0) & F.col("codigo").isNotNull())
+    )
+    again = (
+        rows.where(repeated.exists())
+        .groupBy(*keys, "blocknumber")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .join(repeated, F.col("blocknumber") == F.col("codigo"))
+        .select(*keys, (F.col("n") * F.col("mas")).alias("conteo"))
     )
+    return once.unionByName(again).groupBy(*keys).agg(F.sum("conteo").alias("conteo"))
 
 
 def monthly_quality_area_by_lot(
     t: Tables, etapa2: str | None = None, categoria: str | None = None, anio: int | None = None
 ) -> DataFrame:
     """Treated hectares per month, lot and class; rows without one of these are dropped, and
-    treatments without an area add nothing."""
-    keys = [*free(etapa2=etapa2, categoria=categoria), "mes", "lote", "calidad"]
+    treatments without an area add nothing.
+
+    The treatments are counted per block before they meet the blocks table: a busy block joins as
+    a few counted rows.
+    """
+    months = [*free(etapa2=etapa2, categoria=categoria), "mes", "calidad"]
+    counted = (
+        _month_treatments(t, etapa2, categoria, anio)
+        .groupBy(*months, "blocknumber")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
     areas = (
         t.blocks.where(F.col("lote").isNotNull())
         .groupBy("codigo", "lote")
@@ -216,10 +229,8 @@ def monthly_quality_area_by_lot(
     )
     area = F.sum(F.col("n") * F.col("area")) / 10000
     return (
-        _month_cells(t, etapa2, categoria, anio)
-        .dropna(subset=["mes", "calidad"])
-        .join(areas, F.col("blocknumber") == F.col("codigo"))
-        .groupBy(*keys)
+        counted.join(areas, F.col("blocknumber") == F.col("codigo"))
+        .groupBy(*months, "lote")
         .agg(F.coalesce(area, F.lit(0.0)).alias("area_aplicacion"))
     )
 

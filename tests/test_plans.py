@@ -35,8 +35,15 @@ def test_scans_read_only_needed_columns(tables):
     assert "l_orderkey" not in schema and "l_returnflag" not in schema
 
 
+def test_charts_move_counts_only(tables, final_plan):
+    """Without repeated blocks the whole report is one aggregation, counted before the shuffle."""
+    plan = final_plan(groups.monthly_quality_by_group(tables))
+    assert "Join" not in plan
+    assert len(re.findall(r"Exchange hashpartitioning", plan)) == 1
+
+
 def test_treatments_are_counted_before_the_join(tables):
-    plan = plan_of(groups.monthly_quality_by_group(tables))
+    plan = plan_of(groups.monthly_quality_area_by_lot(tables))
     assert plan.index("Join") < plan.index("partial_count(1)")
 
 
