@@ -320,3 +320,18 @@ def jaccard_components(
         F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
     )
+
+
+def one_of_each(docs: DataFrame, text: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` without those whose component has a smaller doc_id; all columns stay.
+    Rows that repeat both doc_id and text become one. Documents without doc_id are kept."""
+    of = stored(jaccard_components(docs, text=text, **options))
+    dropped = of.where("doc_id != component_id").select("doc_id").distinct()
+    repeated = of.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    kept = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    if repeated.isEmpty():
+        return kept
+    repeated = stored(repeated)
+    single = kept.join(repeated, "doc_id", "left_anti").select(*docs.columns)
+    several = kept.join(repeated, "doc_id", "left_semi").select(*docs.columns)
+    return single.unionByName(several.dropDuplicates(["doc_id", text]))

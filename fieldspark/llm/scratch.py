@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 _local: list[str] = []
@@ -32,3 +33,12 @@ def stored(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def shipped(spark: SparkSession, value) -> Broadcast:
+    """Broadcasts an object of this package; ``received`` gives it back in a task."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def received(broadcast: Broadcast):
+    return cloudpickle.loads(broadcast.value)
