@@ -14,11 +14,12 @@ d = (a + b)(den - num)/(den + num) shingles.
    common. A word is frequent for all sets or for none; a set skips its frequent words if they are
    no more than the spare ones, as another agreeing word is left then. A set with more of them (one
    of a large group of near copies) keeps them all, so no pair is lost.
-4. *Verification.* Candidates pass the Hamming bound of a folded bit sketch, then the sets
-   themselves are intersected.
+4. *Verification.* Candidates pass the Hamming bound of a bit sketch as long as the set, then the
+   sets themselves are intersected.
 5. *No pairs within groups.* Of the sets that share a word, each is first compared with one hub, the
-   set that agrees most with others. Linked sets are merged into components; only sets of different
-   components are compared again, until one round for all remaining pairs.
+   set that agrees most with others. Linked sets are merged into components. The last round takes
+   sets of different components that share a word; the join's own condition holds the size ratio
+   and the Hamming bound of a 1024-bit sketch, so it gives out near pairs only.
 
 Sets are known by a 64-bit hash; equal sets are one set from the start.
 """
@@ -40,6 +41,8 @@ from .words import SPACED, U64, mix, slices, words
 BAND_RATIO = 1.4
 #: A sketch word shared by more sets is frequent.
 FREQUENT = 64
+#: Longs of the short bit sketch.
+FOLDED = 16
 #: Rounds with hubs before all remaining pairs are compared.
 HUB_ROUNDS = 2
 #: A task forgets which sets it has seen beyond so many.
@@ -55,7 +58,7 @@ class Bands:
             self.low.append(max(self.low[-1] + 1, int(np.ceil(self.low[-1] * BAND_RATIO))))
         top = np.array(self.low[1:]) - 1
         self.bound = 2 * top * (den - num) // (den + num)
-        self.spare = 1 + self.bound // 6
+        self.spare = 2 + self.bound // 5
         self._cuts: dict[int, np.ndarray] = {}
 
     def of(self, size: int) -> list[int]:
@@ -120,6 +123,11 @@ def bit_sketch(codes: np.ndarray) -> bytes:
     return np.packbits((flips & 1).astype(np.uint8)).tobytes()
 
 
+def folded_sketch(codes: np.ndarray) -> np.ndarray:
+    flips = np.bincount((codes >> U64(54)).astype(np.int64), minlength=64 * FOLDED)
+    return np.packbits((flips & 1).astype(np.uint8)).view(np.int64)
+
+
 def sketch_distance(a: bytes, b: bytes) -> int:
     """Hamming distance; the longer sketch is folded to the length of the shorter."""
     x, y = sorted((np.frombuffer(v, np.uint8) for v in (a, b)), key=len)
@@ -140,6 +148,7 @@ def _sets(width: int, text: str):
                         "n": pa.array([len(x) for x in found], pa.int64()),
                         "id": pa.array([set_code(x) for x in found], pa.int64()),
                         "sketch": pa.array([bit_sketch(x) for x in found], pa.binary()),
+                        "folded": pa.array([folded_sketch(x) for x in found], pa.list_(pa.int64())),
                     }
                 )
 
@@ -273,6 +282,25 @@ def _meetings(docs: DataFrame, bands: Bands, width: int, text: str) -> DataFrame
     return stored(met.where(~frequent).unionByName(kept.select("key", "id", "shared")))
 
 
+def _near_pairs(at: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (x, y) of sets of different components with a common word, within the bounds of size
+    and of the short sketch."""
+    short = sets.groupBy("id").agg(F.first("n").alias("n"), F.first("folded").alias("f"))
+    short = short.select("id", "n", *[F.col("f")[k].alias(f"f{k}") for k in range(FOLDED)])
+    rows = stored(at.select("key", "id", "component").join(short, "id"))
+    a, b = (rows.select(*[F.col(c).alias(f"{x}_{c}") for c in rows.columns]) for x in "ab")
+    differ = sum(
+        (F.bit_count(F.col(f"a_f{k}").bitwiseXOR(F.col(f"b_f{k}"))) for k in range(1, FOLDED)),
+        F.bit_count(F.col("a_f0").bitwiseXOR(F.col("b_f0"))),
+    )
+    size, larger, smaller = F.col("a_n") + F.col("b_n"), F.greatest("a_n", "b_n"), F.least("a_n", "b_n")
+    near = (smaller * den >= larger * num) & (differ * (den + num) <= size * (den - num))
+    apart = (F.col("a_id") < F.col("b_id")) & (F.col("a_component") != F.col("b_component"))
+    return a.join(b, (F.col("a_key") == F.col("b_key")) & apart & near).select(
+        F.col("a_id").alias("x"), F.col("b_id").alias("y")
+    )
+
+
 def jaccard_components(
     docs: DataFrame, width: int = 4, num: int = 85, den: int = 100, text: str = "text"
 ) -> DataFrame:
@@ -287,7 +315,7 @@ def jaccard_components(
     if not 2 * num > den > num > 0:
         raise ValueError("the similarity has to be between a half and one")
     docs = docs.select("doc_id", F.col(text).alias("text"))
-    sets = stored(docs.mapInArrow(_sets(width, "text"), "doc_id long, n long, id long, sketch binary"))
+    sets = stored(docs.mapInArrow(_sets(width, "text"), "doc_id long, n long, id long, sketch binary, folded array<long>"))
     largest = sets.agg(F.max("n")).first()[0] or 0
     filled = sets.where("n > 0")
     met = _meetings(docs, Bands(num, den, largest), width, "text")
@@ -306,8 +334,7 @@ def jaccard_components(
             hubs = at.join(weight, "id").groupBy("key").agg(F.max(F.struct("weight", "id", "component")).alias("hub"))
             pairs = at.join(hubs, "key").where("hub.component != component").select(F.col("hub.id").alias("x"), F.col("id").alias("y"))
         else:
-            other = at.select("key", F.col("id").alias("x"), F.col("component").alias("other"))
-            pairs = at.join(other, "key").where("id < x and component != other").select("x", F.col("id").alias("y"))
+            pairs = _near_pairs(at, filled, num, den)
         pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         found = verifier.linked(pairs)
         links = found if links is None else links.unionByName(found)
