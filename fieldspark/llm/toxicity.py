@@ -26,6 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .samples import held_out
 from .scratch import received, shipped
 from .words import ALNUM, U64, slices, text_buffer, word_bounds, word_codes
 
@@ -236,12 +237,12 @@ def logistic_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(beta[0]), float(max(beta[1], 0.1))
 
 
-def learn(docs: DataFrame, labels: DataFrame, held_out: Column, text: str = "text") -> Grammar:
+def learn(docs: DataFrame, labels: DataFrame, left_out: Column, text: str = "text") -> Grammar:
     """Learns a grammar from labelled documents that are not held out: from ``SAMPLE`` of them at
     most, those with the smallest hash of doc_id. Without labels the known terms and a standing
     curve remain."""
     known = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("label"))
-    chosen = known.where(~held_out).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
+    chosen = known.where(~left_out).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
     # the broadcast is bounded by SAMPLE
     train = docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id").select("text", F.col("label").cast("int"))
     n_toxic, n_clean = chosen.agg(F.count_if(F.col("label") == 1), F.count_if(F.col("label") == 0)).first()
@@ -319,11 +320,6 @@ def _scored(grammar, text: str, mode: str):
     return run
 
 
-def _held_out(doc_id: str = "doc_id") -> Column:
-    """Whether the remainder of crc32(doc_id as text) by 4 is 2; null is not held out."""
-    return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
-
-
 def toxicity(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, score (0 to 1) and predicted (1 from a score
     of 0.3).
@@ -332,14 +328,14 @@ def toxicity(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFram
     without doc_id, are ignored; a document labelled both is toxic. Repeated documents give repeated
     rows, other columns are ignored, an empty table gives no rows.
     """
-    grammar = shipped(docs.sparkSession, learn(docs, labels, _held_out(), text))
+    grammar = shipped(docs.sparkSession, learn(docs, labels, held_out(4, 2), text))
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double"
     rows = docs.select("doc_id", text).mapInArrow(_scored(grammar, text, "score"), schema)
     predicted = (F.col("score") >= THRESHOLD).cast("int")
-    return rows.select("doc_id", _held_out().alias("held_out"), "score", predicted.alias("predicted"))
+    return rows.select("doc_id", held_out(4, 2).alias("held_out"), "score", predicted.alias("predicted"))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``docs`` below the threshold, with all their columns."""
-    grammar = shipped(docs.sparkSession, learn(docs, labels, _held_out(), text))
+    grammar = shipped(docs.sparkSession, learn(docs, labels, held_out(4, 2), text))
     return docs.mapInArrow(_scored(grammar, text, "clean"), docs.schema)
