@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .gru import Network
-from .samples import held_out
+from .samples import bounded_sample, held_out
 from .scratch import received, shipped, stored
 from .words import LOWER, SPACED, U64, mix, slices, text_buffer, word_bounds, word_codes
 
@@ -138,14 +138,29 @@ class Model:
         }
 
 
+def _most_frequent(counts: DataFrame) -> DataFrame:
+    """The words that occur at least as often as a bound set such that COUNTED of them at most do, and
+    the end. The bound comes from the numbers of words by (rounded) frequency."""
+    level = F.floor(F.log2("c") * 16).cast("int")
+    levels = counts.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect()
+    bound, held = None, 1
+    for r in levels:
+        held += r["count"]
+        if held > COUNTED:
+            break
+        bound = r["level"]
+    kept = F.col("code") == END
+    return counts.where(kept if bound is None else kept | (level >= bound))
+
+
 def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
     """The model, and the counts (code, class, c) of all words of the training documents ``docs``
     (doc_id, text)."""
     found = docs.select("text").mapInArrow(_counted, "code long, class long, c long")
     counts = stored(found.groupBy("code", "class").agg(F.sum("c").alias("c")))
     total, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    order = [F.when(F.col("code") == END, 0).otherwise(1), F.desc("c"), "code"]
-    top = counts.orderBy(*order).limit(COUNTED).toArrow().to_pandas()
+    top = _most_frequent(counts).toArrow().to_pandas()
+    top = top.assign(first=top["code"] != END).sort_values(["first", "c", "code"], ascending=[True, False, True])
     words = min(len(top), WORDS + 1)
     codes = top["code"].to_numpy(np.int64).view(np.uint64)
     symbols = np.where(np.arange(len(top)) < words, np.arange(len(top)), -1)
@@ -161,7 +176,7 @@ def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
     frequency[: len(head)] = head["c"]
     frequency[words:] = sums[:, 0]
     model = Model(table, class_total, total, kinds, Network(words, OTHERS, 0, frequency))
-    sample = docs.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(SAMPLE).select("text").collect()
+    sample = bounded_sample(docs, SAMPLE).select("text").collect()
     if sample:
         code, classes, _ = tokens(pa.array([r.text for r in sample], pa.string()))
         code, classes = code[:SAMPLE_TOKENS], classes[:SAMPLE_TOKENS]
