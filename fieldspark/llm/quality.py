@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .samples import held_out
+from .samples import bounded_sample, held_out
 from .scratch import stored
 from .words import SPACED, slices, text_buffer, word_bounds, word_codes
 
@@ -164,7 +164,7 @@ def quality(docs: DataFrame, labels: DataFrame, host: Column, path: Column, text
     described = stored(rows.mapInArrow(_described("text"), schema))
     known = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("good"))
     labelled = stored(described.join(known.where(~held_out(4, 2)), "doc_id"))
-    sample = labelled.orderBy(F.xxhash64("doc_id"), "doc_id", "x").limit(SAMPLE).select("x", "good").collect()
+    sample = bounded_sample(labelled.select("doc_id", "x", "good"), SAMPLE).collect()
     w = fit_logistic(np.array([r.x for r in sample], float), np.array([r.good for r in sample], float))
     evidence = sum((F.col("x")[k] * float(w[k]) for k in range(len(FEATURES))), F.lit(float(w[-1])))
 
