@@ -132,13 +132,13 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     known = docs.where(~held_out(4, 2) & F.col(text).isNotNull() & F.col(lang).isNotNull())
     known = known.select("doc_id", F.col(lang).alias("lang"))
     frequent = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
-    chosen = sample_of_each(known.join(F.broadcast(frequent.select("lang")), "lang"), "lang", TRAIN)
+    chosen = sample_of_each(known, "lang", TRAIN, frequent)
     chosen = chosen.select(F.col("doc_id").alias("id")).distinct()  # LANGUAGES * TRAIN rows at most
     rows = docs.join(F.broadcast(chosen), docs["doc_id"].eqNullSafe(F.col("id"))).select(
         "doc_id", F.col(text).alias("text"), F.col(lang).alias("lang")
     )
     rows = rows.where("text is not null and lang is not null")
-    base = sample_of_each(rows.withColumn("bytes", F.octet_length("text")), "lang", LANDMARKS)
+    base = sample_of_each(rows, "lang", LANDMARKS, rows.groupBy("lang").count())
     base = base.select("text", "lang").mapInArrow(_packed, "lang string, bits binary").orderBy("lang", "bits").collect()
     if not base:
         return Model([], np.zeros((0, BUCKETS), np.float32), np.zeros((0, 0), np.float32))

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .samples import held_out
+from .samples import bounded_sample, held_out
 from .scratch import received, shipped
 from .words import ALNUM, U64, slices, text_buffer, word_bounds, word_codes
 
@@ -242,7 +242,7 @@ def learn(docs: DataFrame, labels: DataFrame, left_out: Column, text: str = "tex
     most, those with the smallest hash of doc_id. Without labels the known terms and a standing
     curve remain."""
     known = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("label"))
-    chosen = known.where(~left_out).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
+    chosen = bounded_sample(known.where(~left_out), SAMPLE)
     # the broadcast is bounded by SAMPLE
     train = docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id").select("text", F.col("label").cast("int"))
     n_toxic, n_clean = chosen.agg(F.count_if(F.col("label") == 1), F.count_if(F.col("label") == 0)).first()
