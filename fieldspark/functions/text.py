@@ -35,8 +35,9 @@ def spaced(text: Column) -> Column:
 
 
 def plain_text(text: Column) -> Column:
-    """Text with every `[label](target)` reduced to its label."""
-    return F.regexp_replace(text, r"\[([^\]]*)\]\([^)]*\)", "$1")
+    """Text with every `[label](target)` reduced to its label; the target may hold parentheses in
+    pairs."""
+    return F.regexp_replace(text, r"\[([^\]]*)\]\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\)", "$1")
 
 
 def fold_accents(text: Column) -> Column:

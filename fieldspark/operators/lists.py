@@ -1,4 +1,9 @@
-"""Text lists of any length, built without bringing a large group to one task."""
+"""Lists of the entries of a key, as rows.
+
+A list is the same at every size: one row per key and distinct entry with the number of times it
+occurs. Rows of a large key are spread over tasks by their entries. Totals of a key are an aggregate
+of their own. Text is made of the rows only for a page that a caller names.
+"""
 
 from __future__ import annotations
 
@@ -7,101 +12,39 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PART_SIZE = 10_000
-SPREAD = 256
-
 
-def text_list(
-    df: DataFrame,
-    keys: Sequence[str],
-    item: str,
-    separator: str,
-    out: str,
-    *,
-    sums: Sequence[str] = (),
-    size: str | None = None,
-    times: str | None = None,
-    unique: bool = False,
-    part_size: int = PART_SIZE,
-    spread: int = SPREAD,
+def entries(
+    df: DataFrame, keys: Sequence[str], item: str, out: str, *, times: str | None = None
 ) -> DataFrame:
-    """The items of each key joined into text, in item order; repeats stay, nulls are left out.
+    """The keys, `out` and `veces`. With `times` a row stands for that many rows. A null item is a
+    row with 0 times, so a key without any other keeps a row."""
+    number = F.sum(F.when(F.col(item).isNotNull(), F.col(times)).otherwise(0)) if times else F.count(item)
+    return (
+        df.groupBy(*keys, F.col(item).alias(out))
+        .agg(number.cast("bigint").alias("veces"))
+        .select(*keys, out, "veces")
+    )
 
-    Output: the keys, `parte`, `out`, the summed columns `sums` and `entradas`, the number of
-    entries in the text (an item counts as `size` entries when it is itself a list). A key whose
-    items are all null gets a null text. With `times` a row stands for that many rows. `unique` says that items hardly repeat within a key, so
-    that counting them first would be wasted; the result is the same either way.
 
-    A list of up to `part_size` entries is one row, `parte` 1. A longer list may continue over
-    several rows, each sorted, with other (not consecutive) `parte` numbers; the rows together
-    hold every entry. Steps: equal items are counted before they travel; items are spread over
-    `spread` buckets per key by hash; every bucket is cut into runs of about `part_size` entries;
-    full runs stay rows of their own and the last run of each bucket goes to `parte` 1. So a large
-    list is worked on by many tasks, and no row holds more than `spread` runs.
-    """
-    by = ", ".join(f"`{k}`" for k in keys)
-    summed = [f"`{s}`" for s in sums]
-    entries = f"cast(`{size}` as bigint)" if size else "1L"
-    if unique:
-        pieces = df.selectExpr(
-            *[f"`{k}`" for k in keys],
-            f"`{item}` as _item",
-            "0L as _piece",
-            f"if(`{item}` is null, 0L, 1L) as _times",
-            f"{entries} as _size",
-            *summed,
-        )
-    else:
-        # An item repeated very often is cut into pieces, so that a run overshoots only a little.
-        # Sums go with the first piece.
-        number = f"sum(if(_item is null, 0L, `{times}`))" if times else "count(_item)"
-        counted = (
-            df.withColumnRenamed(item, "_item")
-            .groupBy(*keys, "_item")
-            .agg(
-                F.expr(f"{number} as _n"),
-                F.expr(f"max({entries}) as _size"),
-                *[F.expr(f"sum({s}) as {s}") for s in summed],
-            )
-        )
-        cap = f"greatest({max(part_size // 4, 1)} div _size, 1L)"
-        pieces = counted.selectExpr(
-            "*", f"explode(sequence(0L, greatest(cast(ceil(_n / {cap}) as bigint), 1L) - 1)) _piece"
-        ).selectExpr(
-            *[f"`{k}`" for k in keys],
-            "_item",
-            "_piece",
-            f"least({cap}, _n - _piece * {cap}) as _times",
-            "_size",
-            *[f"if(_piece = 0 or {s} is null, {s}, 0) as {s}" for s in summed],
-        )
+def totals(df: DataFrame, keys: Sequence[str], sums: Sequence[str], times: str) -> DataFrame:
+    """The keys, the summed columns and `entradas`, the number of rows that they stand for."""
+    return df.groupBy(*keys).agg(
+        *[F.sum(s).alias(s) for s in sums], F.sum(times).cast("bigint").alias("entradas")
+    )
+
 
-    in_bucket = f"(partition by {by}, _bucket"
-    runs = (
-        pieces.selectExpr("*", f"pmod(xxhash64(_item, _piece), {spread}) as _bucket")
-        .selectExpr(
-            "*",
-            f"sum(_times * _size) over {in_bucket} order by _item, _piece "
-            "rows between unbounded preceding and current row) as _so_far",
-            f"sum(_times * _size) over {in_bucket}) as _all",
-        )
-        .selectExpr(
-            "*",
-            f"greatest(_so_far - 1, 0L) div {part_size} as _run",
-            f"greatest(_all - 1, 0L) div {part_size} as _last",
-        )
+def cell_text(
+    rows: DataFrame, keys: Sequence[str], item: str, separator: str, out: str
+) -> DataFrame:
+    """The entries of each key (`item`, and `veces` if there is such a column) as one sorted text,
+    null without entries. Each text is one row: for the page that a caller names, not for a whole
+    table."""
+    times = F.col("veces") if "veces" in rows.columns else F.lit(1)
+    listed = rows.groupBy(*keys).agg(
+        F.sort_array(F.collect_list(F.struct(F.col(item).alias("_item"), times.alias("_n")))).alias("_all")
     )
-    listed = (
-        runs.selectExpr(
-            "*", f"if(_run < _last, _run * {spread} + _bucket + 2, 1L) as parte"
-        )
-        .groupBy(*keys, "parte")
-        .agg(
-            F.expr("sort_array(collect_list(struct(_item, _times))) as _items"),
-            F.expr("sum(_times * _size) as entradas"),
-            *[F.expr(f"sum({s}) as {s}") for s in summed],
-        )
+    words = F.expr("flatten(transform(_all, x -> array_repeat(x._item, cast(x._n as int))))")
+    words = F.filter(words, lambda x: x.isNotNull())
+    return listed.select(
+        *keys, F.when(F.size(words) > 0, F.array_join(words, separator)).alias(out)
     )
-    words = "flatten(transform(_items, x -> array_repeat(x._item, cast(x._times as int))))"
-    text = F.when(F.expr("entradas > 0"), F.array_join(F.expr(words), separator))
-    return listed.select(*keys, "parte", text.alias(out), *sums, "entradas")

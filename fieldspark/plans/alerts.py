@@ -13,7 +13,7 @@ from fieldspark.functions.rules import in_list
 from fieldspark.functions.text import labelled, lot_of_block
 from fieldspark.operators.frames import first_per_key
 from fieldspark.operators.joins import in_keys, not_in
-from fieldspark.operators.lists import text_list
+from fieldspark.operators.lists import cell_text, entries
 from fieldspark.sources.tables import Tables
 
 # Stages of the three alert pages, the category they watch, the age limit of the
@@ -119,39 +119,33 @@ def alert_new_blocks(t: Tables, as_of: dt.date) -> DataFrame:
     )
 
 
-def alert_list(rows: DataFrame, by_lot: bool) -> DataFrame:
-    """Alert rows as the pages show them: one row per date, formula, days and, with `by_lot`,
-    lot, listing `group:block, block` for each group; longest without treatment first."""
-    days = "dias_desde_ultima_aplicacion"
-    lot = ["lote"] if by_lot else []
+def _cell(rows: DataFrame, by_lot: bool) -> tuple[DataFrame, list[str]]:
+    cell = ["fecha", "descripcion_formula", "dias_desde_ultima_aplicacion"]
     if by_lot:
-        rows = rows.withColumn("lote", lot_of_block(F.col("bloque")))
-    cell = ["fecha", "descripcion_formula", *lot, days]
-    blocks = text_list(
-        rows, [*cell, "grupo"], "bloque", ", ", "bloques", unique=True
-    ).withColumn(
+        return rows.withColumn("lote", lot_of_block(F.col("bloque"))), [*cell[:2], "lote", cell[2]]
+    return rows, cell
+
+
+def alert_list(rows: DataFrame, by_lot: bool) -> DataFrame:
+    """Alert rows as the pages list them: the blocks of each date, formula, days, group and, with
+    `by_lot`, lot; longest without treatment first."""
+    rows, cell = _cell(rows, by_lot)
+    listed = entries(rows, [*cell, "grupo"], "bloque", "bloque")
+    ordered = listed.orderBy(F.col(cell[-1]).desc_nulls_last(), *cell[1:-1], "fecha", "grupo", "bloque")
+    return ordered.withColumn("fecha", spanish_date(F.col("fecha")))
+
+
+def alert_text(rows: DataFrame, by_lot: bool) -> DataFrame:
+    """The cells of one alert page: `group:block, block` for each group, one row per date, formula,
+    days and, with `by_lot`, lot."""
+    rows, cell = _cell(rows, by_lot)
+    listed = entries(rows, [*cell, "grupo"], "bloque", "bloque")
+    blocks = cell_text(listed, [*cell, "grupo"], "bloque", ", ", "bloques").withColumn(
         "grupo_bloques", labelled(F.col("grupo"), F.col("bloques"))
     )
-    listed = text_list(
-        blocks,
-        cell,
-        "grupo_bloques",
-        GROUP_LINE,
-        "bloques_pendientes",
-        size="entradas",
-        unique=True,
-    )
-    ordered = listed.orderBy(
-        F.col(days).desc_nulls_last(), "descripcion_formula", *lot, "parte", "bloques_pendientes"
-    )
-    return ordered.select(
-        spanish_date(F.col("fecha")).alias("fecha"),
-        "descripcion_formula",
-        *lot,
-        days,
-        "parte",
-        "bloques_pendientes",
-    )
+    text = cell_text(blocks, cell, "grupo_bloques", GROUP_LINE, "bloques_pendientes")
+    ordered = text.orderBy(F.col(cell[-1]).desc_nulls_last(), *cell[1:-1], "bloques_pendientes")
+    return ordered.withColumn("fecha", spanish_date(F.col("fecha")))
 
 
 def alert_preforza_list(t: Tables, as_of: dt.date, max_days: int = MAX_DAYS) -> DataFrame:
@@ -167,12 +161,17 @@ def alert_postforza_list(t: Tables, as_of: dt.date, max_days: int = MAX_DAYS) ->
 
 
 def alert_new_blocks_list(t: Tables, as_of: dt.date) -> DataFrame:
-    """Untreated blocks listed by planting date, longest without treatment first."""
-    days = "dias_sin_aplicacion"
-    listed = text_list(
-        alert_new_blocks(t, as_of), ["fecha_siembra", days], "bloque", ", ", "bloque"
-    )
-    ordered = listed.orderBy(F.col(days).desc_nulls_last(), "parte", "bloque")
-    return ordered.select(
-        spanish_date(F.col("fecha_siembra")).alias("fecha_siembra"), days, "parte", "bloque"
-    )
+    """Untreated blocks by planting date, longest without treatment first."""
+    cell = ["fecha_siembra", "dias_sin_aplicacion"]
+    listed = entries(alert_new_blocks(t, as_of), cell, "bloque", "bloque")
+    ordered = listed.orderBy(F.col("dias_sin_aplicacion").desc_nulls_last(), "bloque")
+    return ordered.withColumn("fecha_siembra", spanish_date(F.col("fecha_siembra")))
+
+
+def alert_new_blocks_text(t: Tables, as_of: dt.date) -> DataFrame:
+    """The cells of the page of untreated blocks."""
+    cell = ["fecha_siembra", "dias_sin_aplicacion"]
+    listed = entries(alert_new_blocks(t, as_of), cell, "bloque", "bloque")
+    text = cell_text(listed, cell, "bloque", ", ", "bloque")
+    ordered = text.orderBy(F.col("dias_sin_aplicacion").desc_nulls_last(), "bloque")
+    return ordered.withColumn("fecha_siembra", spanish_date(F.col("fecha_siembra")))

@@ -119,8 +119,12 @@ def block_timeline(
     t: Tables, bloque: str | None = None, etapa2: str | None = None, categoria: str | None = None
 ) -> DataFrame:
     """Treatments done and pending in one frame; columns only one of them has are null in the
-    other. Pending treatments are listed also for blocks without a treatment done."""
-    done = block_applications(t, bloque, etapa2, categoria)
+    other. Pending treatments are listed also for blocks without a treatment done. The category
+    `todas` lists the treatments of all categories, unrated, and what is pending in any."""
+    if categoria == "todas":
+        done, categoria = block_applications_all(t, bloque, etapa2), None
+    else:
+        done = block_applications(t, bloque, etapa2, categoria)
     pending = block_pending(t, bloque, etapa2, categoria)
     both = done.unionByName(pending, allowMissingColumns=True)
     return both.withColumn("fecha_str", spanish_date(F.col("fecha")))

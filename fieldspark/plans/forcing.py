@@ -39,7 +39,8 @@ def _ready(t: Tables, as_of: dt.date, planted_since: dt.date) -> DataFrame:
     ).select("bloque", "blocknumber", "desarrollo", "grupo_siembra", "fecha_siembra")
     order = [F.col(c) for c in ("fecha_siembra", "blocknumber", "desarrollo", "grupo_siembra")]
     blocks = first_per_key(growing, ["bloque"], order)
-    sampled = blocks.join(latest_weight(t), F.col("bloque") == F.col("llave"), "left").withColumn(
+    weight = latest_weight(t, blocks.select(F.col("bloque").alias("llave")))
+    sampled = blocks.join(weight, F.col("bloque") == F.col("llave"), "left").withColumn(
         "edad", months_since(F.col("fecha_siembra"), as_of)
     )
     first_crop = (F.col("desarrollo") == "PC") & (

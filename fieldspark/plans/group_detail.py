@@ -11,7 +11,7 @@ from fieldspark.functions.dates import spanish_date
 from fieldspark.functions.text import block_key, link
 from fieldspark.operators.frames import fill_blank, free, where_equal
 from fieldspark.operators.joins import in_keys
-from fieldspark.operators.lists import text_list
+from fieldspark.operators.lists import entries
 from fieldspark.plans.weights import daily_weights
 from fieldspark.sources.tables import Tables
 
@@ -76,11 +76,10 @@ def group_weights(t: Tables, grupo_siembra: str | None = None) -> DataFrame:
     blocks = where_equal(t.blocks_desarrollo, grupo_siembra=grupo_siembra).select(
         "grupo_siembra", block_key(F.col("desarrollo"), F.col("descripcion")).alias("_llave")
     )
-    daily = daily_weights(t)
     if grupo_siembra is None:
-        of_group = daily.join(blocks.distinct(), F.col("llave") == F.col("_llave"))
+        of_group = daily_weights(t).join(blocks.distinct(), F.col("llave") == F.col("_llave"))
     else:
-        of_group = in_keys(daily, "llave", blocks, "_llave")
+        of_group = daily_weights(t, blocks.select(F.col("_llave").alias("llave")))
     mean = F.round(F.try_divide("suma", F.col("n").cast("decimal(20,0)")), 2)
     return of_group.select(
         *free(grupo_siembra=grupo_siembra), "llave", "fecha", mean.alias("promedio")
@@ -90,8 +89,8 @@ def group_weights(t: Tables, grupo_siembra: str | None = None) -> DataFrame:
 def group_applications(
     t: Tables, grupo: str | None = None, etapa2: str | None = None, categoria: str | None = None
 ) -> DataFrame:
-    """Treatment orders of a group with the list of treated blocks, by date when one group,
-    stage and category is asked for."""
+    """Treatment orders of a group with the treated blocks, one row each with its number of times,
+    by date when one group, stage and category is asked for."""
     keys = free(grupo=grupo, etapa2=etapa2, categoria=categoria)
     rows = where_equal(t.aplicaciones, grupo=grupo, etapa2=etapa2, categoria=categoria).select(
         *keys,
@@ -101,10 +100,10 @@ def group_applications(
         "blocknumber",
     )
     order = ["codigo cédula", "fecha aplicación", "formula"]
-    listed = text_list(rows, [*keys, *order], "blocknumber", ", ", "bloques").drop("entradas")
+    listed = entries(rows, [*keys, *order], "blocknumber", "bloque")
     if keys:
         return listed
-    return listed.orderBy(F.col("fecha aplicación").asc_nulls_last(), *order, "parte")
+    return listed.orderBy(F.col("fecha aplicación").asc_nulls_last(), *order, "bloque")
 
 
 def group_application_table(

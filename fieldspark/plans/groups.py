@@ -185,26 +185,16 @@ def monthly_quality_by_group(
     """Treatments per month, group and class; rows without a month, group or class are dropped.
 
     Pending treatments are counted also where no treatment was done. In the row-level join a block
-    listed more than once counts that often. Such blocks are rare, so all treatments are counted
-    without a join, and only if there are any, the treatments of these blocks are counted again
-    for each further listing.
+    listed more than once counts that often, so treatments are counted per block first, in one pass
+    over each table, and the counts meet the number of listings.
     """
     keys = [*free(etapa2=etapa2, categoria=categoria), "mes", "grupo", "calidad"]
     rows = _month_treatments(t, etapa2, categoria, anio).where(F.col("grupo").isNotNull())
-    once = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("conteo"))
-    repeated = (
-        t.blocks.groupBy("codigo")
-        .agg((F.count(F.lit(1)) - 1).alias("mas"))
-        .where((F.col("mas") > 0) & F.col("codigo").isNotNull())
-    )
-    again = (
-        rows.where(repeated.exists())
-        .groupBy(*keys, "blocknumber")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .join(repeated, F.col("blocknumber") == F.col("codigo"))
-        .select(*keys, (F.col("n") * F.col("mas")).alias("conteo"))
-    )
-    return once.unionByName(again).groupBy(*keys).agg(F.sum("conteo").alias("conteo"))
+    cells = rows.groupBy(*keys, "blocknumber").agg(F.count(F.lit(1)).alias("n"))
+    listings = t.blocks.groupBy("codigo").agg(F.count(F.lit(1)).alias("veces"))
+    listed = cells.join(listings, F.col("blocknumber") == F.col("codigo"), "left")
+    conteo = F.sum(F.col("n") * F.coalesce("veces", F.lit(1)))
+    return listed.groupBy(*keys).agg(conteo.alias("conteo"))
 
 
 def monthly_quality_area_by_lot(

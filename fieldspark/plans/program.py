@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from fieldspark.functions import rules
 from fieldspark.functions.dates import spanish_date, week_ranges
 from fieldspark.functions.text import labelled
-from fieldspark.operators.lists import text_list
+from fieldspark.operators.lists import cell_text, entries, totals
 from fieldspark.sources.tables import Tables
 
 # Fixed value: text between the groups of one cell.
 GROUP_GAP = " \n \n  "
 
+ORDER = ["fecha", "codformula", "formula"]
+
 
 def current_groups(t: Tables) -> DataFrame:
     """The group each planted block belongs to now."""
@@ -21,62 +23,68 @@ def current_groups(t: Tables) -> DataFrame:
     return planted.select("bloque", rules.current_group().alias("grupo"))
 
 
-def _listed(t: Tables, anio: int | None, semana: int | None) -> DataFrame:
-    """Blocks and area by date, formula and current group."""
-    order = ["fecha", "codformula", "formula"]
+def _planned(t: Tables, anio: int | None, semana: int | None) -> DataFrame:
+    """Planned blocks and area by date, formula and current group."""
     plan = t.dated("programacionaplicaciones", week_ranges(anio, semana))
     # Counted per block before the join, so that a busy block joins as one row per order.
     planned = (
-        plan.select(*order, "block", "area")
+        plan.select(*ORDER, "block", "area")
         .distinct()
-        .groupBy(*order, "block")
+        .groupBy(*ORDER, "block")
         .agg(
             F.count(F.lit(1)).alias("veces"),
             F.sum(F.col("area").cast("decimal(18,4)")).alias("area"),
         )
     )
-    rows = planned.join(current_groups(t), F.col("block") == F.col("bloque"), "left")
-    return text_list(
-        rows, [*order, "grupo"], "block", ", ", "bloques", sums=["area"], times="veces"
-    )
+    return planned.join(current_groups(t), F.col("block") == F.col("bloque"), "left")
+
+
+def _sorted(rows: DataFrame, semana: int | None, *columns: str) -> DataFrame:
+    if semana is None:
+        return rows
+    return rows.orderBy(*[F.col(c).asc_nulls_last() for c in columns])
 
 
 def weekly_program_rows(
     t: Tables, anio: int | None = None, semana: int | None = None
 ) -> DataFrame:
-    """Planned treatments by date, formula and current group, with blocks and total area.
+    """Planned blocks by date, formula and current group, with the times each is planned.
 
     `anio` is the calendar year and `semana` the ISO week number; left out, all weeks are listed.
-    When a block list continues over several rows, each has the area of its own blocks.
     """
-    listed = _listed(t, anio, semana).drop("entradas").withColumn("area", F.round("area", 2))
-    if semana is None:
-        return listed
-    return listed.orderBy(F.col("fecha").asc_nulls_last(), "formula", "codformula", "grupo", "parte")
+    rows = entries(_planned(t, anio, semana), [*ORDER, "grupo"], "block", "bloque", times="veces")
+    return _sorted(rows, semana, "fecha", "formula", "codformula", "grupo", "bloque")
+
+
+def weekly_program_area(
+    t: Tables, anio: int | None = None, semana: int | None = None
+) -> DataFrame:
+    """Total area, to two digits, and entries of each date, formula and current group."""
+    rows = totals(_planned(t, anio, semana), [*ORDER, "grupo"], ["area"], "veces")
+    rows = rows.withColumn("area", F.round("area", 2))
+    return _sorted(rows, semana, "fecha", "formula", "codformula", "grupo")
 
 
 def weekly_program(t: Tables, anio: int | None = None, semana: int | None = None) -> DataFrame:
-    """The programme as its page shows it: one row per date and formula, listing
-    `group:block, block` for each group. Sorted by date, not by the text of the date."""
-    order = ["fecha", "codformula", "formula"]
-    blocks = _listed(t, anio, semana).withColumn(
-        "grupo_bloques",
-        labelled(F.coalesce("grupo", F.lit(rules.CHECK_GROUP)), F.col("bloques")),
+    """The programme as its page lists it: the blocks of each date, formula and group, the date as
+    text. Sorted by date, not by the text of the date."""
+    rows = _planned(t, anio, semana).withColumn(
+        "grupo", F.coalesce("grupo", F.lit(rules.CHECK_GROUP))
     )
-    listed = text_list(
-        blocks,
-        order,
-        "grupo_bloques",
-        GROUP_GAP,
-        "bloques programados",
-        size="entradas",
-        unique=True,
+    listed = entries(rows, [*ORDER, "grupo"], "block", "bloque", times="veces")
+    ordered = _sorted(listed, semana, *ORDER, "grupo", "bloque")
+    return ordered.withColumn("fecha", spanish_date(F.col("fecha")))
+
+
+def weekly_program_text(t: Tables, anio: int, semana: int) -> DataFrame:
+    """The cells of one week's page: `group:block, block` for each group, one row per date and
+    formula."""
+    rows = _planned(t, anio, semana).withColumn(
+        "grupo", F.coalesce("grupo", F.lit(rules.CHECK_GROUP))
     )
-    ordered = listed.orderBy(*[F.col(c).asc_nulls_last() for c in order], "parte")
-    return ordered.select(
-        spanish_date(F.col("fecha")).alias("fecha"),
-        "codformula",
-        "formula",
-        "parte",
-        "bloques programados",
+    listed = entries(rows, [*ORDER, "grupo"], "block", "bloque", times="veces")
+    blocks = cell_text(listed, [*ORDER, "grupo"], "bloque", ", ", "bloques").withColumn(
+        "grupo_bloques", labelled(F.col("grupo"), F.col("bloques"))
     )
+    text = cell_text(blocks, ORDER, "grupo_bloques", GROUP_GAP, "bloques programados")
+    return _sorted(text, semana, *ORDER).withColumn("fecha", spanish_date(F.col("fecha")))

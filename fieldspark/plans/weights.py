@@ -41,12 +41,12 @@ def weights_by_day(t: Tables) -> DataFrame:
     return daily_weights(t).select("llave", "fecha", mean.alias("peso_planta"))
 
 
-def latest_weight(t: Tables) -> DataFrame:
-    """The last sampling day of each block and its mean weight in grams.
+def latest_weight(t: Tables, of_blocks: DataFrame | None = None) -> DataFrame:
+    """The last sampling day of each block, or of those in `of_blocks`, and its mean weight in grams.
 
     A sampling without a date counts as the last one, as in a descending PostgreSQL sort.
     """
-    last = first_per_key(daily_weights(t), ["llave"], [F.col("fecha").desc_nulls_first()])
+    last = first_per_key(daily_weights(t, of_blocks), ["llave"], [F.col("fecha").desc_nulls_first()])
     return last.select(
         "llave",
         F.col("fecha").alias("fecha_muestreo"),

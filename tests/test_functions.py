@@ -152,3 +152,9 @@ def test_text(spark):
     assert values(spark, text.fold_accents(F.lit("Protección"))) == ["Proteccion"]
     assert values(spark, text.plain_text(F.lit("a [b c](/d?e=f#g), [](/h)"))) == ["a b c, "]
     assert values(spark, text.spaced(text.underscored(F.lit("F 3 a")))) == ["F 3 a"]
+
+
+def test_plain_text_of_targets_with_parentheses(spark):
+    rows = [("[F 1 (x)](/detalle?codigo=F_1_(x)), [B](/b)",), ("no (link)",), ("[a](b(c(d)))e",)]
+    got = spark.createDataFrame(rows, "t string").select(text.plain_text(F.col("t"))).collect()
+    assert [r[0] for r in got] == ["F 1 (x), B", "no (link)", "ae"]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fieldspark.operators.frames import fill_blank, first_per_key, round_numbers
 from fieldspark.operators.joins import in_keys, not_in
-from fieldspark.operators.lists import text_list
+from fieldspark.operators.lists import cell_text, entries, totals
 from fieldspark.operators.quantiles import distribution
 
 
@@ -65,58 +65,33 @@ def test_first_per_key_puts_missing_dates_first(spark):
     assert sorted((r.k, r.v) for r in got) == [("a", "y"), ("b", "z")]
 
 
-def listed(df):
-    """Entries per key over all parts, the parts per key, and whether each part is sorted."""
-    entries, parts = defaultdict(Counter), Counter()
-    for r in df.collect():
-        words = r.lista.split(",") if r.lista is not None else []
-        assert words == sorted(words)
-        assert len(words) == r.entradas
-        entries[r.k].update(words)
-        parts[r.k] += 1
-    return dict(entries), parts
-
-
-@pytest.mark.parametrize("unique", [False, True])
-def test_text_list_is_whole_when_a_key_is_very_long(spark, unique):
+def test_entries_have_one_shape_at_every_size(spark):
     rng = random.Random(7)
     rows = [("hot", f"{i:05d}") for i in range(3000)]  # a third and more of all rows
     rows += [("same", "x")] * 1500  # one item repeated
     rows += [(f"k{i % 900}", f"{rng.randrange(40):02d}") for i in range(4000)]
     rows += [("null", None), ("null", None), (None, "n"), ("mixed", None), ("mixed", "m")]
     df = spark.createDataFrame(rows, "k string, v string").repartition(8)
-    got = text_list(df, ["k"], "v", ",", "lista", part_size=20, spread=4, unique=unique)
-    want = defaultdict(Counter)
-    for k, v in rows:
-        want[k].update([v] if v is not None else [])
-    entries, parts = listed(got)
-    assert entries == dict(want)
-    assert parts["hot"] > 30 and parts["same"] > 10
-    assert all(n == 1 for k, n in parts.items() if sum(want[k].values()) <= 20)
-    assert max(r.entradas for r in got.collect()) <= 4 * 25
-    assert len({(r.k, r.parte) for r in got.collect()}) == got.count()
-
-
-def test_text_list_sums_and_sizes(spark):
-    rows = [("a", "x", 2, 1.5), ("a", "x", 2, 2.5), ("a", "y", 3, 1.0), ("b", None, 1, 4.0)]
+    want = Counter(rows)
+    got = entries(df, ["k"], "v", "entrada").collect()
+    assert {(r.k, r.entrada): r.veces for r in got} == {x: n if x[1] is not None else 0 for x, n in want.items()}
+    assert len(got) == len(want)
+
+
+def test_totals_are_one_row_per_key(spark):
+    rows = [("hot", f"{i}", 2, 1.5) for i in range(2000)] + [("a", "x", 1, 4.0), ("b", None, 3, None)]
     df = spark.createDataFrame(rows, "k string, v string, n int, m double")
-    got = text_list(df, ["k"], "v", ",", "lista", sums=["m"], size="n").collect()
-    assert sorted((r.k, r.parte, r.lista, r.m, r.entradas) for r in got) == [
-        ("a", 1, "x,x,y", 5.0, 7),
-        ("b", 1, None, 4.0, 0),
-    ]
-    parted = text_list(
-        spark.createDataFrame([("a", f"{i % 50}", 1, 1.0) for i in range(500)], df.schema),
-        ["k"], "v", ",", "lista", sums=["m"], part_size=8, spread=2,
-    )
-    assert sum(r.m for r in parted.collect()) == 500.0
-
-
-def test_text_list_of_counted_rows(spark):
-    rows = [("a", "x", 3), ("a", "x", 2), ("a", "y", 1), ("a", None, 4)]
+    got = totals(df, ["k"], ["m"], "n").collect()
+    assert {(r.k, r.m, r.entradas) for r in got} == {("hot", 3000.0, 4000), ("a", 4.0, 1), ("b", None, 3)}
+    assert len(got) == 3
+
+
+def test_cell_text(spark):
+    rows = [("a", "x", 3), ("a", "x", 2), ("a", "y", 1), ("a", None, 4), ("b", None, 1)]
     df = spark.createDataFrame(rows, "k string, v string, n bigint")
-    got = text_list(df, ["k"], "v", ",", "lista", times="n").collect()
-    assert [(r.lista, r.entradas) for r in got] == [("x,x,x,x,x,y", 6)]
+    counted = entries(df, ["k"], "v", "entrada", times="n")
+    got = {r.k: r.lista for r in cell_text(counted, ["k"], "entrada", ",", "lista").collect()}
+    assert got == {"a": "x,x,x,x,x,y", "b": None}
 
 
 def test_distribution_of_a_hot_key_equals_numpy(spark):

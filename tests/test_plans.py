@@ -36,10 +36,16 @@ def test_scans_read_only_needed_columns(tables):
 
 
 def test_charts_move_counts_only(tables, final_plan):
-    """Without repeated blocks the whole report is one aggregation, counted before the shuffle."""
+    """Treatments are counted before they meet the blocks, and each table is read once."""
     plan = final_plan(groups.monthly_quality_by_group(tables))
-    assert "Join" not in plan
-    assert len(re.findall(r"Exchange hashpartitioning", plan)) == 1
+    assert plan.index("Join") < plan.index("partial_count(1)")
+    assert len(re.findall(r"FileScan parquet[^\n]*lineitem", plan)) == 2  # done, and pending
+
+
+def test_not_in_reads_its_subquery_once(tables, final_plan):
+    plan = final_plan(alerts.alert_new_blocks(tables, AS_OF))
+    scans = len(re.findall(r"FileScan parquet[^\n]*lineitem", plan))
+    assert scans == 1 or "ReusedExchange" in plan
 
 
 def test_treatments_are_counted_before_the_join(tables):
@@ -109,5 +115,6 @@ def test_hot_block_in_the_programme(spark, tables):
     text = plan_of(listed)
     assert text.index("Join") < text.index("partial_count(1)")
     want = plan.distinct().agg(F.sum("area"), F.count("*")).first()
-    got = listed.select(F.sum("area"), F.sum(F.size(F.split("bloques", ", ")))).first()
-    assert (float(got[0]), got[1]) == (want[0], want[1])
+    area = program.weekly_program_area(t).select(F.sum("area"), F.sum("entradas")).first()
+    assert (float(area[0]), area[1]) == (want[0], want[1])
+    assert listed.select(F.sum("veces")).first()[0] == plan.distinct().where("block is not null").count()

@@ -278,7 +278,9 @@ def test_new_blocks(spark):
     assert alerts.alert_new_blocks(t, later).count() == 0
     t = made(spark, blocks_desarrollo=grown)
     listed = alerts.alert_new_blocks_list(t, later).collect()
-    assert [tuple(r) for r in listed] == [("10-mayo-2020", 3, 1, "PC0101, PC0102")]
+    assert [tuple(r) for r in listed] == [("10-mayo-2020", 3, "PC0101", 1), ("10-mayo-2020", 3, "PC0102", 1)]
+    text = alerts.alert_new_blocks_text(t, later).collect()
+    assert [tuple(r) for r in text] == [("10-mayo-2020", 3, "PC0101, PC0102")]
 
 
 def test_alert_text(spark):
@@ -292,11 +294,19 @@ def test_alert_text(spark):
         ],
         blocks_desarrollo=[{"bloque": b} for b in ("PC0101", "PC0102", "PC0103", "PC0201")],
     )
-    got = alerts.alert_preforza_list(t, DAY + dt.timedelta(days=2)).collect()
+    later = DAY + dt.timedelta(days=2)
+    got = alerts.alert_preforza_list(t, later).collect()
     assert [tuple(r) for r in got] == [
-        ("10-mayo-2020", "FORMULA 1", "01", 2, 1,
+        ("10-mayo-2020", "FORMULA 1", "01", 2, "G0", "PC0103", 1),
+        ("10-mayo-2020", "FORMULA 1", "01", 2, "G1", "PC0101", 1),
+        ("10-mayo-2020", "FORMULA 1", "01", 2, "G1", "PC0102", 1),
+        ("10-mayo-2020", "FORMULA 1", "02", 2, "G1", "PC0201", 1),
+    ]
+    text = alerts.alert_text(alerts.alert_preforza(t, later, max_days=100), by_lot=True).collect()
+    assert [tuple(r) for r in text] == [
+        ("10-mayo-2020", "FORMULA 1", "01", 2,
          "G0:PC0103\n---------------------\nG1:PC0101, PC0102"),
-        ("10-mayo-2020", "FORMULA 1", "02", 2, 1, "G1:PC0201"),
+        ("10-mayo-2020", "FORMULA 1", "02", 2, "G1:PC0201"),
     ]
 
 
@@ -318,11 +328,18 @@ def test_program_text(spark):
         ],
     )
     rows = program.weekly_program_rows(t, 2020, 19).collect()
-    assert sorted((r.grupo or "", r.bloques, float(r.area)) for r in rows) == [
-        ("", "77", 2.0),
-        ("G1", "01, 02", 11.01),
+    assert sorted((r.grupo or "", r.bloque, r.veces) for r in rows) == [
+        ("", "77", 1),
+        ("G1", "01", 1),
+        ("G1", "02", 1),
+    ]
+    area = program.weekly_program_area(t, 2020, 19).collect()
+    assert sorted((r.grupo or "", float(r.area), r.entradas) for r in area) == [
+        ("", 2.0, 1),
+        ("G1", 11.01, 2),
     ]
-    assert [r["bloques programados"] for r in program.weekly_program(t, 2020, 19).collect()] == [
+    text = program.weekly_program_text(t, 2020, 19).collect()
+    assert [r["bloques programados"] for r in text] == [
         "G1:01, 02 \n \n  VALIDAR GRUPO:77"
     ]
     assert program.weekly_program(t, 2020, 20).count() == 0

@@ -70,11 +70,14 @@ def _quarter(start: str, end: str, quarter: int) -> str:
 
 
 _DATES = """(
-  select descripcion, fecha from grupossiembra
-  union select descripcion, max(fecha) from grupossemillero group by 1
-  union select descripcion, max(fecha) from gruposforza2 group by 1
-  union select descripcion, max(fecha) from gruposforza group by 1
-  union select descripcion, max(fecha) from grupos2dacosecha group by 1)"""
+  select distinct descripcion, fecha from (
+    select descripcion, case when propia then fecha else max(fecha) over (partition by descripcion, tabla) end as fecha
+    from (
+      select descripcion, fecha, true as propia, 0 as tabla from grupossiembra
+      union all select descripcion, fecha, false, 1 from gruposforza
+      union all select descripcion, fecha, false, 2 from gruposforza2
+      union all select descripcion, fecha, false, 3 from grupossemillero
+      union all select descripcion, fecha, false, 4 from grupos2dacosecha) tagged) latest)"""
 
 
 def _group_quality(keys: str = "etapa2, categoria,", where: str = "") -> str:
@@ -201,16 +204,12 @@ where finduccion is null and bloque not in (select bloque from aplicaciones)"""
 
 def _alert_list(rows: str, lot: str) -> str:
     return f"""
-select {_spanish("fecha")} as fecha, descripcion_formula, {lot}
-  dias_desde_ultima_aplicacion, cast(1 as bigint) as parte,
-  string_agg(cell, {_GROUP_LINE} order by cell) as bloques_pendientes
-from (
-  select fecha, descripcion_formula, {lot} dias_desde_ultima_aplicacion,
-    grupo || ':' || string_agg(bloque, ', ' order by bloque) as cell
+select * replace ({_spanish("fecha")} as fecha) from (
+  select fecha, descripcion_formula, {lot} dias_desde_ultima_aplicacion, grupo, bloque,
+    count(bloque) as veces
   from (select *, substr(bloque, 3, 2) as lote from ({rows}) r
     where dias_desde_ultima_aplicacion <= 100) s
-  group by fecha, descripcion_formula, {lot} dias_desde_ultima_aplicacion, grupo) g
-group by fecha, descripcion_formula, {lot} dias_desde_ultima_aplicacion"""
+  group by all) g"""
 
 
 _CURRENT = """
@@ -221,24 +220,27 @@ select bloque, case when finduccion2 is not null then grupo_forza2
 from historia_bloques where grupo_siembra is not null"""
 
 
-def _program_rows(where: str = "") -> str:
+def _program_rows(where: str = "", group: str = "grupo") -> str:
     return f"""
-select fecha, codformula, formula, grupo, cast(1 as bigint) as parte,
-  string_agg(block, ', ' order by block) as bloques,
-  cast(round(sum(cast(area as decimal(18, 4))), 2) as double) as area
+select fecha, codformula, formula, {group} as grupo, block as bloque, count(block) as veces
 from (select distinct formula, block, fecha, area, codformula from programacionaplicaciones
   {where}) p
 left join ({_CURRENT}) g on g.bloque = p.block
-group by fecha, codformula, formula, grupo"""
+group by all"""
+
+
+_PROGRAM_AREA = f"""
+select fecha, codformula, formula, grupo,
+  cast(round(sum(cast(area as decimal(18, 4))), 2) as double) as area, count(*) as entradas
+from (select distinct formula, block, fecha, area, codformula from programacionaplicaciones) p
+left join ({_CURRENT}) g on g.bloque = p.block
+group by all"""
 
 
 def _program(where: str = "") -> str:
     return f"""
-select {_spanish("fecha")} as fecha, codformula, formula, cast(1 as bigint) as parte,
-  string_agg(cell, {_GROUP_GAP} order by cell) as "bloques programados"
-from (select fecha, codformula, formula, coalesce(grupo, 'VALIDAR GRUPO') || ':' || bloques as cell
-  from ({_program_rows(where)}) r) c
-group by fecha, codformula, formula"""
+select * replace ({_spanish("fecha")} as fecha)
+from ({_program_rows(where, "coalesce(grupo, 'VALIDAR GRUPO')")}) r"""
 
 
 _DONE = """
@@ -247,9 +249,13 @@ select bloque, etapa2, categoria, blocknumber, codigo_cedula as "codigo cédula"
     || ')' as "código fórmula",
   descripcion_formula as formula, motivo,
   dias_diferencia as "dias desde la aplicación anterior",
-  case when calidad < 2 then 'adelantada' when calidad in (3, 4) then 'tardía'
+  case when calidad in (0, 1) then 'adelantada' when calidad in (3, 4) then 'tardía'
     else 'en el rango' end as color,
-  case when calidad < 2 then 1 when calidad in (3, 4) then 3 else 2 end as calificacion
+  case when calidad in (0, 1) then 1 when calidad in (3, 4) then 3 else 2 end as calificacion
+from aplicaciones"""
+_DONE_ALL = """
+select distinct bloque, etapa2, blocknumber, codigo_cedula as "codigo cédula", fecha,
+  descripcion_formula as formula, motivo, 'sin calificar' as color, 0 as calificacion
 from aplicaciones"""
 _PENDING = """
 select bloque, fecha, categoria, etapa, etapa2, -1 as calificacion, 'pendiente' as color,
@@ -302,8 +308,7 @@ from calidad_aplicaciones"""
 
 _ORDERS = """
 select grupo, etapa2, categoria, codigo_cedula as "codigo cédula", fecha as "fecha aplicación",
-  descripcion_formula as formula, cast(1 as bigint) as parte,
-  string_agg(blocknumber, ', ' order by blocknumber) as bloques
+  descripcion_formula as formula, blocknumber as bloque, count(blocknumber) as veces
 from aplicaciones group by all"""
 
 _CANDIDATES = f"""
@@ -338,9 +343,9 @@ where etapa in ('Post Siembra', 'Post Deshija')""",
 select bloque, codigo_cedula, fecha, calidad, {_strict("calidad")} as clase from aplicaciones""",
     "quality_bucket_lenient": """
 select bloque, codigo_cedula, fecha, calidad,
-  case when calidad < 2 then 'adelantada' when calidad in (3, 4) then 'tardía'
+  case when calidad in (0, 1) then 'adelantada' when calidad in (3, 4) then 'tardía'
     else 'en el rango' end as color,
-  case when calidad < 2 then 1 when calidad in (3, 4) then 3 else 2 end as calificacion
+  case when calidad in (0, 1) then 1 when calidad in (3, 4) then 3 else 2 end as calificacion
 from aplicaciones""",
     "text_functions": """
 select bloque, codigo_cedula, concat(etapa2, grupo) as clave,
@@ -396,11 +401,16 @@ select cast(anio as int) as anio, etapa2, categoria, "nombre grupo", calidad,
   cast(sum(n) as bigint) as total
 from ({_LONG}) g group by all""",
     "tolerance_lookup": """
-select etapa2, categoria, min(dias_entre_aplicaciones) as dias_entre_aplicaciones,
-  min(tolerancia_rango_inferior) as tolerancia_rango_inferior,
-  min(tolerancia_rango_superior) as tolerancia_rango_superior
-from calidad_aplicaciones left join rangos_calidad_aplicaciones using (etapa2, categoria)
-group by etapa2, categoria""",
+select dias_entre_aplicaciones, tolerancia_rango_inferior, tolerancia_rango_superior
+from rangos_calidad_aplicaciones where etapa2 = 'preforza' and categoria = 'nutricion'
+order by all limit 1""",
+    "tolerances_in_use": """
+select etapa2, categoria, dias_entre_aplicaciones, tolerancia_rango_inferior, tolerancia_rango_superior
+from (select distinct etapa2, categoria from calidad_aplicaciones) u
+left join (
+  select * from rangos_calidad_aplicaciones qualify row_number() over (partition by etapa2, categoria
+    order by dias_entre_aplicaciones, tolerancia_rango_inferior, tolerancia_rango_superior) = 1
+) r using (etapa2, categoria)""",
     "monthly_quality_rows": _month_rows("aplicaciones", _strict("calidad")),
     "monthly_pending_rows": _month_rows("aplicaciones_pendientes", "'pendiente'"),
     "monthly_quality_by_group": _BY_GROUP,
@@ -457,10 +467,7 @@ from pesoplanta group by llave, fecha""",
 select desarrollo || descripcion as label, desarrollo || blocknumber as value
 from blocks_desarrollo""",
     "block_applications": _DONE,
-    "block_applications_all": """
-select distinct bloque, etapa2, blocknumber, codigo_cedula as "codigo cédula", fecha,
-  descripcion_formula as formula, motivo, 'sin calificar' as color, 0 as calificacion
-from aplicaciones""",
+    "block_applications_all": _DONE_ALL,
     "block_pending": _PENDING,
     "block_table": f"""
 select * exclude (blocknumber, fecha, color, calificacion),
@@ -469,6 +476,9 @@ from ({_DONE}) d""",
     "block_timeline": f"""
 select *, {_spanish("fecha")} as fecha_str
 from (select * from ({_DONE}) d union all by name select * from ({_PENDING}) p) b""",
+    "block_timeline_all": f"""
+select *, {_spanish("fecha")} as fecha_str
+from (select * from ({_DONE_ALL}) d union all by name select * from ({_PENDING}) p) b""",
     "block_milestones": f"""
 select bloque, etapa2, hito, fecha, hito || ': ' || {_spanish("fecha")} as texto from (
   select bloque, 'preforza' as etapa2, 'siembra' as hito, fecha_siembra as fecha
@@ -507,11 +517,11 @@ from formulas_det d left join agroinsumos a on trim(d.insumo) = trim(a.insumo)""
     "alert_postforza_list": _alert_list(_POSTFORZA, ""),
     "alert_semillero_list": _alert_list(_SEMILLERO, "lote,"),
     "alert_new_blocks_list": f"""
-select {_spanish("fecha_siembra")} as fecha_siembra, dias_sin_aplicacion, cast(1 as bigint) as parte,
-  string_agg(bloque, ', ' order by bloque) as bloque
-from ({_NEW}) n group by n.fecha_siembra, dias_sin_aplicacion""",
+select * replace ({_spanish("fecha_siembra")} as fecha_siembra) from (
+  select fecha_siembra, dias_sin_aplicacion, bloque, count(bloque) as veces from ({_NEW}) n group by all) g""",
     "current_group": _CURRENT,
     "weekly_program_rows": _program_rows(),
+    "weekly_program_area": _PROGRAM_AREA,
     "weekly_program": _program(),
     "weekly_program_page": _program("where year(fecha) = 1999 and weekofyear(fecha) = 20"),
     "forcing_candidates": _CANDIDATES,

@@ -153,7 +153,8 @@ ON_TABLES: dict[str, Callable[[Tables], DataFrame]] = {
     "groups_started_in_year": groups.groups_started_in_year,
     "group_quality_long": groups.group_quality_long,
     "group_quality_totals": groups.group_quality_totals,
-    "tolerance_lookup": groups.tolerances_in_use,
+    "tolerance_lookup": lambda t: groups.tolerance_lookup(t, "preforza", "nutricion"),
+    "tolerances_in_use": groups.tolerances_in_use,
     "monthly_quality_rows": groups.monthly_quality_rows,
     "monthly_pending_rows": groups.monthly_pending_rows,
     "monthly_quality_by_group": groups.monthly_quality_by_group,
@@ -183,6 +184,7 @@ ON_TABLES: dict[str, Callable[[Tables], DataFrame]] = {
     "block_pending": blocks.block_pending,
     "block_table": blocks.block_table,
     "block_timeline": blocks.block_timeline,
+    "block_timeline_all": lambda t: blocks.block_timeline(t, categoria="todas"),
     "block_milestones": blocks.block_milestones,
     "block_group_by_stage": blocks.block_group_by_stage,
     # Lots and formulas.
@@ -204,6 +206,7 @@ ON_TABLES: dict[str, Callable[[Tables], DataFrame]] = {
     # Programme.
     "current_group": program.current_groups,
     "weekly_program_rows": program.weekly_program_rows,
+    "weekly_program_area": program.weekly_program_area,
     "weekly_program": program.weekly_program,
     "weekly_program_page": lambda t: program.weekly_program(t, 1999, 20),
     # Forcing and forecast.
