@@ -53,7 +53,8 @@ STAGES = [
     ("sharding", sharding),
 ]
 
-#: Learned scores and graph components are beyond SQL; tests compare with a brute-force version.
+#: Learned scores and graph components are beyond SQL; the operators' tests compare their rows with
+#: brute force or held-out labels, stage by stage.
 ORACLE_SQL = None
 
 
