@@ -31,10 +31,15 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFr
     return df.withColumn("_rank", rank).where(F.col("_rank") == 1).drop("_rank")
 
 
-def fill_blank(df: DataFrame) -> DataFrame:
-    """All columns as text, nulls as empty text."""
+def fill_blank(df: DataFrame, *keys: str) -> DataFrame:
+    """All columns as text, nulls as empty text; `keys` stay as they are."""
     return df.select(
-        *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) for c in df.columns]
+        *[
+            F.col(f"`{c}`")
+            if c in keys
+            else F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c)
+            for c in df.columns
+        ]
     )
 
 

@@ -156,10 +156,18 @@ def forcing_scenarios(
     as_of: dt.date,
     planted_since: dt.date = PLANTED_SINCE,
     bloques: Iterable[str] | None = None,
+    scenarios: DataFrame | None = None,
 ) -> DataFrame:
     """The model base of every forcing candidate in five variants: induction today or up to 29
     days later, each step 200 g heavier than the last sampling. The steps are unfolded from each
-    row, so no second table is joined."""
+    row, so no second table is joined.
+
+    `scenarios` (bloque, `Semanas adicionales` 0 to 4, `peso forza proyectado` in grams) replaces
+    the weights: its rows are the variants, whether or not the block is ready. A step sets the days
+    of induction; a row without a known step fails. A row of an unknown block is left out.
+    """
+    if scenarios is not None:
+        return _given_scenarios(t, as_of, scenarios, bloques)
     candidates = _ready(t, as_of, planted_since).select(
         "bloque", F.col("peso_planta").alias("peso_actual")
     )
@@ -182,3 +190,36 @@ def forcing_scenarios(
     return base.select(*kept, F.inline(F.array(*steps))).withColumn(
         "peso_forza", F.col("peso forza proyectado") / 1000
     )
+
+
+def _given_scenarios(
+    t: Tables, as_of: dt.date, scenarios: DataFrame, bloques: Iterable[str] | None
+) -> DataFrame:
+    """Each scenario is joined to the base of its block, which is computed once per block."""
+    step = F.col("Semanas adicionales").cast("int")
+    grams = F.col("peso forza proyectado").cast("double")
+    given = scenarios.select(
+        F.col("bloque").alias("_bloque"),
+        step.alias("Semanas adicionales"),
+        grams.alias("peso forza proyectado"),
+    )
+    if bloques is not None:
+        given = given.where(in_list(F.col("_bloque"), bloques))
+    named = given.select(F.col("_bloque").alias("bloque")).distinct()
+    rows = t.blocks_desarrollo.join(named, "bloque", "left_semi")
+    base = _base(t, rows, "bloque", few=True).drop("finduccion", "mean_fecha_cosecha", "peso_forza")
+    known = F.col("Semanas adicionales").between(0, len(STEP_DAYS) - 1)
+    unknown = F.raise_error(F.lit("a scenario's step must be 0 to 4")).cast("int")
+    days = F.when(known, F.get(F.array(*map(F.lit, STEP_DAYS)), F.col("Semanas adicionales")))
+    induction = F.date_add(F.lit(as_of), days.otherwise(unknown))
+    return (
+        base.join(given, base["bloque"] == given["_bloque"])
+        .drop("bloque", "_bloque")
+        .withColumns(
+            {
+                "finduccion": induction,
+                "mean_fecha_cosecha": F.date_add(induction, DAYS_TO_HARVEST),
+                "peso_forza": F.col("peso forza proyectado") / 1000,
+            }
+        )
+    )

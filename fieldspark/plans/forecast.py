@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
@@ -144,16 +144,41 @@ def _numeric(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("double") for c in inputs if c in df.columns})
 
 
+def training_rows(t: Tables) -> DataFrame:
+    """The harvested blocks: features, and kilos per square metre as the label. Blocks without an
+    area have no label and are left out."""
+    harvested = model_base(t).where(F.col("kilos_cosechados").isNotNull())
+    labelled = model_features(harvested).withColumn(
+        LABEL, ratio(F.col("kilos_cosechados"), F.col("area"))
+    )
+    return _numeric(labelled.where(F.col(LABEL).isNotNull()))
+
+
+def linear_projection(df: DataFrame, weights: Mapping[str, float], intercept: float) -> DataFrame:
+    """Prediction of a linear model with given coefficients, and projected kilos. A missing input
+    counts as zero."""
+    prediction = F.lit(float(intercept))
+    for name, weight in weights.items():
+        prediction = prediction + F.coalesce(F.col(name).cast("double"), F.lit(0.0)) * float(weight)
+    projected = df.withColumn("prediccion", prediction)
+    return projected.withColumn("kilos proyectados", F.col("prediccion") * F.col("area"))
+
+
+def write_models(models: tuple[PipelineModel, PipelineModel], root: str) -> None:
+    """Keeps the two fitted models below `root`, a folder that all executors share."""
+    for crop, model in zip(("pc", "sc"), models, strict=True):
+        model.write().overwrite().save(f"{root}/{crop}")
+
+
+def read_models(root: str) -> tuple[PipelineModel, PipelineModel]:
+    """The models that `write_models` kept; pass them to `harvest_forecast`."""
+    return PipelineModel.load(f"{root}/pc"), PipelineModel.load(f"{root}/sc")
+
+
 def fit_models(t: Tables) -> tuple[PipelineModel, PipelineModel]:
     """Models of kilos per square metre, fitted on the harvested blocks: linear for first crops,
     boosted trees for second crops."""
-    harvested = model_base(t).where(F.col("kilos_cosechados").isNotNull())
-    rows = (
-        _numeric(model_features(harvested))
-        .withColumn(LABEL, ratio(F.col("kilos_cosechados"), F.col("area")))
-        .where(F.col(LABEL).isNotNull())
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    )
+    rows = training_rows(t).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         return (
             _fit(
@@ -179,8 +204,9 @@ def harvest_forecast(
     planted_since: dt.date = PLANTED_SINCE,
     bloques: Iterable[str] | None = None,
     models: tuple[PipelineModel, PipelineModel] | None = None,
+    scenarios: DataFrame | None = None,
 ) -> DataFrame:
-    """Projected kilos of every forcing scenario.
+    """Projected kilos of every forcing scenario, or of the caller's `scenarios`.
 
     First-crop rows take the first-crop model and second-crop rows the other, also when both
     occur together; both models run over the scenarios in one pass. Without `models` they are
@@ -188,8 +214,8 @@ def harvest_forecast(
     """
     pc_model, sc_model = models or fit_models(t)
     extra = ("Semanas adicionales", "peso forza proyectado")
-    scenarios = forcing_scenarios(t, as_of, planted_since, bloques)
-    scored = sc_model.transform(pc_model.transform(_numeric(model_features(scenarios, *extra))))
+    rows = forcing_scenarios(t, as_of, planted_since, bloques, scenarios)
+    scored = sc_model.transform(pc_model.transform(_numeric(model_features(rows, *extra))))
     prediction = F.when(F.col("desarrollo") == "PC", F.col("_pc")).otherwise(F.col("_sc"))
     return scored.select(
         "llave",

@@ -63,8 +63,11 @@ def group_block_quality(
 def group_table(
     t: Tables, grupo: str | None = None, categoria: str | None = None, etapa: str | None = None
 ) -> DataFrame:
-    """The block counters as their page shows them, all text and blank where missing."""
-    return fill_blank(group_block_quality(t, grupo, categoria, etapa))
+    """The block counters as their page shows them, all text and blank where missing. Keys of a
+    wider report stay null."""
+    return fill_blank(
+        group_block_quality(t, grupo, categoria, etapa), *free(grupo=grupo, categoria=categoria)
+    )
 
 
 def group_weights(t: Tables, grupo_siembra: str | None = None) -> DataFrame:

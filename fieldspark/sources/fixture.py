@@ -12,6 +12,7 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldspark.plans.forecast import SEED_RANGES
 from fieldspark.sources.tables import Tables
 
 AS_OF = dt.date(2001, 12, 31)
@@ -31,6 +32,10 @@ def _block(key: str) -> str:
     return f"concat({_digits(f'{key} % 40', 2)}, {_digits(key, 5)}, {suffix})"
 
 
+def _block_or_unknown(key: str, every: int) -> str:
+    return f"if({key} % {every} = 0, concat('ZZ', cast({key} as string)), {_block(key)})"
+
+
 def _group(prefix: str, key: str, number: int) -> str:
     return f"concat('{prefix}', {_digits(f'{key} % {number}', 2)})"
 
@@ -52,17 +57,16 @@ def fixture_tables(spark: SparkSession, sf_dir: str) -> Tables:
 
     @cache
     def blocks_detalle() -> DataFrame:
-        # Seed range labels by p_partkey % 5.
-        seed_range = (
-            "case p_partkey % 5 when 0 then 'R-1 (DE 250 A 550)' when 1 then 'R-2 (DE 551 A 900)' "
-            "when 2 then 'RANGO 2 (RAIZ)' when 3 then 'R3: (601-900)' else 'SIN RANGO' end"
-        )
+        # Every seed range, an unknown one and null, by p_partkey % 22.
+        labels = [label for label, _, _ in SEED_RANGES] + ["SIN RANGO"]
+        listed = ", ".join(f"'{label}'" for label in labels)
+        seed_range = f"get(array({listed}), cast(p_partkey % 22 as int))"
         return stored("part").selectExpr(
             f"{_block('p_partkey')} as blocknumber",
             f"{_block('p_partkey')} as descripcion",
             "cast(p_size * 250 as double) as area",
             "cast(p_partkey % 4 as double) / 20 as drenajes",
-            "cast(p_size * 1500 as double) as poblacion",
+            "cast(p_size * (1300 + 20 * (p_partkey % 21)) as double) as poblacion",
             "cast(p_partkey % 30 as int) as dias_hasta_siembra_grupo",
             f"{seed_range} as rango_semilla",
         )
@@ -70,6 +74,10 @@ def fixture_tables(spark: SparkSession, sf_dir: str) -> Tables:
     @cache
     def blocks_desarrollo() -> DataFrame:
         first = "if(desarrollo = 'PC', date '1998-01-01', date '1999-09-01')"
+        # Yield follows the drains of the block and, in first crops, its days until planting.
+        kilos = (
+            "if(desarrollo = 'PC', 700 + 60 * (k % 4) + 3 * (k % 30), 600 + 150 * (k % 4))"
+        )
         return (
             stored("part")
             .selectExpr("p_partkey as k", "p_size", "explode(array('PC', 'SC')) as desarrollo")
@@ -90,8 +98,8 @@ def fixture_tables(spark: SparkSession, sf_dir: str) -> Tables:
                 "fecha_siembra",
                 "if(k % 3 = 0, null, date_add(fecha_siembra, 300)) as finduccion",
                 "if(k % 3 = 1, date_add(fecha_siembra, 440), null) as mediana_fecha_cosecha",
-                "cast(p_size * 900 as double) as kilos_cosechados",
-                "cast(p_size * 700 as double) as frutas",
+                f"cast(p_size * {kilos} as double) as kilos_cosechados",
+                "cast(p_size * (600 + 10 * (k % 23)) as double) as frutas",
             )
         )
 
@@ -114,12 +122,13 @@ def fixture_tables(spark: SparkSession, sf_dir: str) -> Tables:
             "else 'herbicida' end"
         )
         group = f"concat({prefix}, {_digits('l_suppkey % 50', 2)})"
+        # One part in eleven is treated under a key that no block has: its blocks are new ones.
+        block = _block_or_unknown("l_partkey", 11)
         return (
             stored("lineitem")
-            .where("l_partkey % 11 <> 0")
             .selectExpr(
-                f"{_block('l_partkey')} as blocknumber",
-                f"concat({crop}, {_block('l_partkey')}) as bloque",
+                f"{block} as blocknumber",
+                f"concat({crop}, {block}) as bloque",
                 f"if(l_suppkey % 13 = 0, null, {group}) as grupo",
                 "cast(l_shipdate as date) as fecha",
                 "cast(l_orderkey as string) as codigo_cedula",
@@ -138,7 +147,6 @@ def fixture_tables(spark: SparkSession, sf_dir: str) -> Tables:
     def aplicaciones_pendientes() -> DataFrame:
         return (
             aplicaciones()
-            .where("dias_diferencia % 9 = 0")
             .selectExpr(
                 "bloque",
                 "blocknumber",
@@ -156,7 +164,6 @@ def fixture_tables(spark: SparkSession, sf_dir: str) -> Tables:
         # Counted before the join, so that a busy block joins as a few rows.
         counted = (
             aplicaciones()
-            .where("grupo is not null")
             .groupBy(*keys)
             .agg(
                 F.expr("count(*) as hechas"),
@@ -208,7 +215,6 @@ def fixture_tables(spark: SparkSession, sf_dir: str) -> Tables:
     def pesoplanta() -> DataFrame:
         return (
             aplicaciones()
-            .where("categoria <> 'herbicida'")
             .selectExpr(
                 "bloque as llave",
                 "fecha",
@@ -240,13 +246,11 @@ def fixture_tables(spark: SparkSession, sf_dir: str) -> Tables:
         )
 
     def programacionaplicaciones() -> DataFrame:
-        unknown = "concat('ZZ', cast(l_partkey as string))"
         return (
             stored("lineitem")
-            .where("l_linenumber <= 3")
             .selectExpr(
                 "concat('FORMULA ', cast(l_suppkey % 25 as string)) as formula",
-                f"if(l_partkey % 29 = 0, {unknown}, {_block('l_partkey')}) as block",
+                f"{_block_or_unknown('l_partkey', 29)} as block",
                 "cast(l_shipdate as date) as fecha",
                 "cast(l_quantity * 100 as double) as area",
                 "concat('F ', cast(l_suppkey % 25 as string)) as codformula",
@@ -272,9 +276,9 @@ def fixture_tables(spark: SparkSession, sf_dir: str) -> Tables:
     def agroinsumos() -> DataFrame:
         return (
             stored("part")
-            .where("p_brand <> 'Brand#3'")
             .selectExpr(
-                "concat(p_brand, ' ') as insumo", "concat('INSUMO ', p_brand) as nombre_insumo"
+                "concat(if(p_brand = 'Brand#3', 'Brand#?', p_brand), ' ') as insumo",
+                "concat('INSUMO ', p_brand) as nombre_insumo",
             )
             .distinct()
         )

@@ -110,13 +110,13 @@ def test_expected_row_counts(tables):
     """The row counts FIXTURES.md gives for sf0.001."""
     assert forcing.forcing_candidates(tables, AS_OF, PLANTED_SINCE).count() == 95
     assert alerts.alert_preforza(tables, AS_OF).count() == 86
-    assert alerts.alert_postforza(tables, AS_OF).count() == 112
+    assert alerts.alert_postforza(tables, AS_OF).count() == 130
     assert alerts.alert_semillero(tables, AS_OF).count() == 45
     assert alerts.alert_new_blocks(tables, AS_OF).count() == 11
     assert groups.group_dates(tables).count() == 35
-    assert groups.group_quality(tables, "preforza", "nutricion").count() == 14
+    assert groups.group_quality(tables, "preforza", "nutricion").count() == 15
     assert status.formula_inputs(tables, "F 3").count() == 8
-    assert group_detail.group_weights(tables, "GS07").count() == 91
+    assert group_detail.group_weights(tables, "GS07").count() == 125
     assert weights.last_weight_before_induction(tables).count() == 271
     assert forcing.model_base(tables).count() == 300
 
@@ -402,14 +402,76 @@ def test_unknown_crop_is_an_error(spark, tables):
             features(bad).collect()
 
 
-def test_forecast_scores_both_crops(tables):
-    models = forecast.fit_models(tables)
+def test_given_scenarios(spark, tables):
+    blocks = [r.bloque for r in tables.blocks_desarrollo.orderBy("bloque").limit(2).collect()]
+    names = ["bloque", "Semanas adicionales", "peso forza proyectado"]
+    given = spark.createDataFrame(
+        [(blocks[0], 0, 2000.0), (blocks[0], 4, 2600.0), (blocks[1], 2, None), ("none", 1, 1.0)],
+        "bloque string, `Semanas adicionales` int, `peso forza proyectado` double",
+    ).select(*names)
+    got = forcing.forcing_scenarios(tables, AS_OF, PLANTED_SINCE, scenarios=given)
+    days = {
+        (r.llave, r["Semanas adicionales"]): ((r.finduccion - AS_OF).days, r.peso_forza)
+        for r in got.collect()
+    }
+    assert days == {
+        (blocks[0], 0): (0, 2.0), (blocks[0], 4): (29, 2.6), (blocks[1], 2): (15, None),
+    }
+    one = forcing.forcing_scenarios(tables, AS_OF, PLANTED_SINCE, blocks[:1], given)
+    assert one.count() == 2
+    whole = forcing.forcing_scenarios(tables, AS_OF, PLANTED_SINCE)
+    assert sorted(whole.columns) == sorted(got.columns)
+    wrong = given.limit(1).withColumn("Semanas adicionales", F.lit(9))
+    with pytest.raises(PySparkException, match="0 to 4"):
+        forcing.forcing_scenarios(tables, AS_OF, PLANTED_SINCE, scenarios=wrong).collect()
+
+
+@pytest.fixture(scope="module")
+def models(tables):
+    return forecast.fit_models(tables)
+
+
+def test_models_beat_the_mean_and_the_linear_one_its_normal_equations(tables, models):
+    """The linear model against least squares in numpy, both against the mean of the labels."""
+    import numpy as np
+
+    rows = forecast.training_rows(tables)
+    for crop, model, column, inputs in (
+        ("PC", models[0], "_pc", forecast.FIRST_CROP_INPUTS),
+        ("SC", models[1], "_sc", forecast.SECOND_CROP_INPUTS),
+    ):
+        frame = model.transform(rows.where(F.col("desarrollo") == crop)).toPandas()
+        y = frame[forecast.LABEL].to_numpy()
+        error = np.mean((frame[column] - y) ** 2)
+        assert np.var(y) > 0 and error < 0.3 * np.var(y)
+        if crop == "PC":
+            x = frame[inputs].astype(float)
+            x = x.fillna(x.mean()).to_numpy()
+            x = np.column_stack([np.ones(len(x)), x])
+            best = x @ np.linalg.lstsq(x, y, rcond=None)[0]
+            # The penalty of the fitted model costs little beside plain least squares.
+            assert np.mean((best - y) ** 2) <= error < np.mean((best - y) ** 2) + 0.05 * np.var(y)
+
+
+def test_forecast_scores_both_crops(tables, models):
     got = forecast.harvest_forecast(tables, AS_OF, PLANTED_SINCE, models=models)
     scenarios = forcing.forcing_scenarios(tables, AS_OF, PLANTED_SINCE)
     assert got.count() == scenarios.count()
     counts = {r.desarrollo: r["count"] for r in got.groupBy("desarrollo").count().collect()}
     assert set(counts) == {"PC", "SC"}
     assert got.where("prediccion is null or `kilos proyectados` is null").count() == 0
-    # Kilos per square metre of the test data are 900 / 250.
-    error = got.select(F.max(F.abs(F.col("prediccion") - 3.6))).first()[0]
-    assert error < 0.5
+
+
+def test_stored_models_score_alike(tables, models, tmp_path):
+    forecast.write_models(models, str(tmp_path / "models"))
+    stored = forecast.read_models(str(tmp_path / "models"))
+    same(
+        forecast.harvest_forecast(tables, AS_OF, PLANTED_SINCE, models=stored),
+        forecast.harvest_forecast(tables, AS_OF, PLANTED_SINCE, models=models),
+    )
+
+
+def test_linear_projection_of_missing_inputs(spark):
+    df = spark.createDataFrame([(2.0, 10.0), (None, 10.0)], "x double, area double")
+    got = forecast.linear_projection(df, {"x": 3.0}, 1.0).collect()
+    assert [(r.prediccion, r["kilos proyectados"]) for r in got] == [(7.0, 70.0), (1.0, 10.0)]

@@ -147,9 +147,28 @@ left join blocks_desarrollo p
 left join ({_LAST_WEIGHT}) w on w.llave = d.desarrollo || d.blocknumber
 left join cosecha_resumen c on c.desarrollo || c.blocknumber = d.desarrollo || d.blocknumber"""
 
-# Mean and width in grams of the seed ranges that occur in the test data.
-_RANGES = """(values ('R-1 (DE 250 A 550)', 400, 300), ('R-2 (DE 551 A 900)', 725, 350),
-  ('RANGO 2 (RAIZ)', 700, 200), ('R3: (601-900)', 750, 300)) r(rango, media, ancho)"""
+# Mean and width in grams of the seed ranges.
+_RANGES = """(values
+  ('CM COLINO MEDIO ENTRE 300-500 G', 400, 200),
+  ('CG COLINO GRANDE ENTRE 501-700 G', 600, 200),
+  ('RANGO 1 ( DE 300 A 700)', 500, 400),
+  ('RANGO 2 (DE 701 A 1000', 850, 300),
+  ('RANGO 3 (DE 1001 A 1500)', 1250, 500),
+  ('R-1 (DE 250 A 550)', 400, 300),
+  ('R-2 (DE 551 A 900)', 725, 350),
+  ('RANG. 1 (DE 400 A 600)', 500, 200),
+  ('RANG. 2 (DE 601 A 900)', 750, 300),
+  ('RG. 1 (250 A 600)', 425, 350),
+  ('R-3 ( DE 901 A 1500)', 1200, 600),
+  ('RANGO 2 (RAIZ)', 700, 200),
+  ('R.2 (601-900)', 750, 300),
+  ('R.3 (901-1200)', 1050, 300),
+  ('R.1 (450-600)', 525, 150),
+  ('R.0 (250-450)', 350, 200),
+  ('R3: (601-900)', 750, 300),
+  ('R2: (451-600)', 525, 150),
+  ('R:4 (901-1200)', 1050, 300),
+  ('R1: (250-450)', 350, 200)) r(rango, media, ancho)"""
 
 _FEATURES = f"""
 select area, ancho, descripcion, desarrollo, dias_hasta_siembra_grupo, drenajes, densidad,
@@ -162,6 +181,10 @@ select area, ancho, descripcion, desarrollo, dias_hasta_siembra_grupo, drenajes,
   {_quarter("finduccion", "mean_fecha_cosecha", 4)} as proporcion_posforza_t4
 from ({_MODEL_BASE}) m left join {_RANGES} on m.rango_semilla = r.rango"""
 
+_NUMERIC = """area, drenajes, peso_forza, densidad, media_rango_semilla, ancho_rango_semilla,
+  edad_forza, edad_cosecha, proporcion_posforza_t1, proporcion_posforza_t4,
+  dias_hasta_siembra_grupo, productividad_pc, recuperacion_pc, edad_inicio_sc"""
+
 _READY = f"""
 select d.bloque, d.blocknumber, d.desarrollo, d.grupo_siembra, d.fecha_siembra,
   datediff('day', d.fecha_siembra, {AS_OF}) / 30 as edad, s.fecha as fecha_muestreo, s.peso
@@ -360,6 +383,7 @@ select bloque, codigo_cedula, fecha, cast(date_trunc('month', fecha) as date) as
   cast(year(fecha) as int) as anio, cast(weekofyear(fecha) as int) as semana,
   cast(isoyear(fecha) as int) as anio_iso, year(fecha) = 1999 as en_1999,
   year(fecha) = 1999 and weekofyear(fecha) = 53 as en_semana_53,
+  cast(isoyear({AS_OF}) as int) as anio_actual, cast(weekofyear({AS_OF}) as int) as semana_actual,
   cast(datediff('day', fecha, {AS_OF}) as int) as dias,
   datediff('day', fecha, {AS_OF}) / 30 as meses, fecha + 140 as cosecha,
   {_spanish("fecha")} as texto
@@ -536,6 +560,27 @@ from ({_FEATURES}) f where desarrollo = 'PC'""",
     "features_sc": f"""
 select * exclude (media, ancho, dias_hasta_siembra_grupo)
 from ({_FEATURES}) f where desarrollo = 'SC'""",
+    "training_rows": f"""
+select descripcion, grupo_forza, llave, desarrollo, kilos_cosechados, frutas,
+  {", ".join(f"cast({c.strip()} as double) as {c.strip()}" for c in _NUMERIC.split(","))},
+  kilos_cosechados / area as rendimiento
+from ({_FEATURES}) f where kilos_cosechados is not null and area <> 0""",
+    "projected_kilos": f"""
+select *, prediccion * area as "kilos proyectados" from (
+  select m.llave, paso as "Semanas adicionales", s.peso + 200 * paso as "peso forza proyectado", area,
+    1.5::double + 0.5::double * coalesce((s.peso + 200 * paso) / 1000, 0)
+      + 2 * coalesce(drenajes, 0) + 0.001::double * coalesce(media, 0)
+      - 0.1::double * coalesce(datediff('day', m.fecha_siembra, {AS_OF} + dias) / 30, 0) as prediccion
+  from ({_READY}) s join ({_MODEL_BASE}) m on m.llave = s.bloque
+  left join {_RANGES} on m.rango_semilla = r.rango
+  cross join (values (0, 0), (1, 7), (2, 15), (3, 21), (4, 29)) v(paso, dias)) p""",
+    "forcing_scenarios_edited": f"""
+select m.* exclude (finduccion, mean_fecha_cosecha, peso_forza), paso as "Semanas adicionales",
+  peso as "peso forza proyectado", peso / 1000 as peso_forza,
+  {AS_OF} + dias as finduccion, {AS_OF} + dias + 140 as mean_fecha_cosecha
+from (select bloque, paso, dias, cast(2000 + 10 * length(bloque) + 150 * paso as double) as peso
+  from blocks_desarrollo cross join (values (1, 7), (3, 21)) v(paso, dias)) e
+join ({_MODEL_BASE}) m on m.llave = e.bloque""",
     "forcing_scenarios": f"""
 select m.* exclude (finduccion, mean_fecha_cosecha, peso_forza), paso as "Semanas adicionales",
   r.peso + 200 * paso as "peso forza proyectado", (r.peso + 200 * paso) / 1000 as peso_forza,

@@ -95,6 +95,9 @@ def date_functions(t: Tables) -> DataFrame:
         F.extract(F.lit("yearofweek"), day).alias("anio_iso"),
         dates.in_ranges(day, dates.year_ranges(1999)).alias("en_1999"),
         dates.in_ranges(day, dates.week_ranges(1999, 53)).alias("en_semana_53"),
+        *[
+            F.lit(dates.program_defaults(AS_OF)[c]).alias(f"{c}_actual") for c in ("anio", "semana")
+        ],
         dates.days_since(day, AS_OF).alias("dias"),
         dates.months_since(day, AS_OF).alias("meses"),
         F.date_add(day, forcing.DAYS_TO_HARVEST).alias("cosecha"),
@@ -135,6 +138,26 @@ def age_features(t: Tables) -> DataFrame:
     return ages.select("llave", "edad_forza", "edad_cosecha", "edad_inicio_sc")
 
 
+def edited_scenarios(t: Tables) -> DataFrame:
+    """Weights as a user may enter them: every block, two steps."""
+    return t.blocks_desarrollo.select(
+        "bloque",
+        F.explode(F.array(F.lit(1), F.lit(3))).alias("Semanas adicionales"),
+    ).withColumn(
+        "peso forza proyectado",
+        F.lit(2000.0) + F.length("bloque") * 10 + F.col("Semanas adicionales") * 150,
+    )
+
+
+def projected_kilos(t: Tables) -> DataFrame:
+    scenarios = forcing.forcing_scenarios(t, AS_OF, PLANTED_SINCE)
+    extra = ("Semanas adicionales", "peso forza proyectado")
+    featured = forecast.model_features(scenarios, *extra)
+    weights = {"peso_forza": 0.5, "drenajes": 2.0, "media_rango_semilla": 0.001, "edad_forza": -0.1}
+    projected = forecast.linear_projection(featured, weights, 1.5)
+    return projected.select("llave", *extra, "area", "prediccion", "kilos proyectados")
+
+
 ON_TABLES: dict[str, Callable[[Tables], DataFrame]] = {
     # Expressions and filters.
     "in_list_filter": in_list_filter,
@@ -216,6 +239,11 @@ ON_TABLES: dict[str, Callable[[Tables], DataFrame]] = {
     "features_pc": lambda t: forecast.features_pc(forcing.model_base(t)),
     "features_sc": lambda t: forecast.features_sc(forcing.model_base(t)),
     "forcing_scenarios": lambda t: forcing.forcing_scenarios(t, AS_OF, PLANTED_SINCE),
+    "forcing_scenarios_edited": lambda t: forcing.forcing_scenarios(
+        t, AS_OF, PLANTED_SINCE, scenarios=edited_scenarios(t)
+    ),
+    "training_rows": forecast.training_rows,
+    "projected_kilos": projected_kilos,
     "harvest_forecast": lambda t: forecast.harvest_forecast(t, AS_OF, PLANTED_SINCE),
 }
 
