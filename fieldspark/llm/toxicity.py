@@ -26,8 +26,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .samples import bounded_sample, held_out
-from .scratch import received, shipped
+from .samples import bounded_sample, fraction, held_out
+from .scratch import received, shipped, stored
 from .words import ALNUM, U64, slices, text_buffer, word_bounds, word_codes
 
 #: Labelled texts learned from, and toxic ones among them that choose the terms.
@@ -239,13 +239,15 @@ def logistic_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def learn(docs: DataFrame, labels: DataFrame, left_out: Column, text: str = "text") -> Grammar:
     """Learns a grammar from labelled documents that are not held out: from ``SAMPLE`` of them at
-    most, those with the smallest hash of doc_id. Without labels the known terms and a standing
-    curve remain."""
+    most, those with the smallest hash of doc_id. Of rows with the same doc_id the least text counts.
+    Without labels the known terms and a standing curve remain."""
     known = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("label"))
     chosen = bounded_sample(known.where(~left_out), SAMPLE)
     # the broadcast is bounded by SAMPLE
-    train = docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id").select("text", F.col("label").cast("int"))
-    n_toxic, n_clean = chosen.agg(F.count_if(F.col("label") == 1), F.count_if(F.col("label") == 0)).first()
+    found = docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id")
+    train = found.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").cast("int").alias("label"))
+    train = stored(train)  # SAMPLE rows at most, read four times below
+    n_toxic, n_clean = train.agg(F.count_if(F.col("label") == 1), F.count_if(F.col("label") == 0)).first()
     counted = train.mapInArrow(_counts, "term string, toxic long, clean long").groupBy("term").agg(
         F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")
     )
@@ -259,7 +261,8 @@ def learn(docs: DataFrame, labels: DataFrame, left_out: Column, text: str = "tex
         .collect()
     )
     weights = {r["term"]: r["odds"] for r in candidates}
-    toxic = train.where("label = 1").limit(TOXIC_SAMPLE).mapInArrow(_covers(set(weights)), "terms array<string>")
+    toxic = train.where("label = 1").orderBy(fraction("doc_id"), "doc_id").limit(TOXIC_SAMPLE)
+    toxic = toxic.mapInArrow(_covers(set(weights)), "terms array<string>")
     texts = sorted(tuple(r.terms) for r in toxic.collect())
     taken = _cover(texts, weights)
     terms = {(t.rstrip("-"), t.endswith("-")): (INSULT, w) for t, w in taken.items()}
