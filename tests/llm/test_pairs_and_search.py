@@ -176,6 +176,18 @@ def test_nearest_recall_and_scores(spark, clashing):
     assert [v for _, v in copies] == [100, 101, 102, 103, 104]
 
 
+def test_blocks_of_a_list_do_not_change_what_is_found(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.standard_normal((600, 8)))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = neighbours.nearest(df, F.col("vec_id") % 5 == 0).collect()
+    monkeypatch.setattr(neighbours, "PART", 40)
+    monkeypatch.setattr(neighbours, "TURN", 7)
+    split = neighbours.nearest(df, F.col("vec_id") % 5 == 0).collect()
+    # blocks are summed in another order, scores are not
+    assert sorted(map(tuple, split)) == sorted(map(tuple, whole)) and len(whole) == 120 * 5
+
+
 def test_fewer_candidates_than_asked(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<double>")
     got = neighbours.nearest(df, F.col("vec_id") % 50 == 0).collect()
