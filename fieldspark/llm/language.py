@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .samples import held_out, sample_of_each
-from .scratch import received, shipped
+from .scratch import received, shipped, stored
 from .words import slices, text_buffer
 
 SPECTRUM, BUCKETS = 4, 1 << 14
@@ -128,16 +128,19 @@ def _kernels(landmarks):
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     """Fits on at most ``TRAIN`` documents of each of the ``LANGUAGES`` most frequent languages that
-    have text and language and are not held out."""
+    have text and language and are not held out. Of rows with the same doc_id one counts, that with
+    the least language and text."""
     known = docs.where(~held_out(4, 2) & F.col(text).isNotNull() & F.col(lang).isNotNull())
-    known = known.select("doc_id", F.col(lang).alias("lang"))
+    known = known.groupBy("doc_id").agg(F.min(lang).alias("lang"))
     frequent = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
     chosen = sample_of_each(known, "lang", TRAIN, frequent)
-    chosen = chosen.select(F.col("doc_id").alias("id")).distinct()  # LANGUAGES * TRAIN rows at most
+    chosen = chosen.select(F.col("doc_id").alias("id"))  # LANGUAGES * TRAIN rows at most
     rows = docs.join(F.broadcast(chosen), docs["doc_id"].eqNullSafe(F.col("id"))).select(
         "doc_id", F.col(text).alias("text"), F.col(lang).alias("lang")
     )
     rows = rows.where("text is not null and lang is not null")
+    least = F.min(F.struct("lang", "text")).alias("least")
+    rows = stored(rows.groupBy("doc_id").agg(least).select("doc_id", "least.*"))  # read three times below
     base = sample_of_each(rows, "lang", LANDMARKS, rows.groupBy("lang").count())
     base = base.select("text", "lang").mapInArrow(_packed, "lang string, bits binary").orderBy("lang", "bits").collect()
     if not base:

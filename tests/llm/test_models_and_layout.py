@@ -47,6 +47,18 @@ def test_toxicity_without_labels(docs, tables):
     assert toxicity.toxicity(docs([]), tables("labels")).count() == 0
 
 
+def test_repeated_documents_are_learned_from_once(odd, tables):
+    """A hundred rows of each labelled document leave the grammar and the model as they are."""
+    few = tables("documents").where("doc_id < 150")
+    many = few.withColumn("again", F.explode(F.sequence(F.lit(1), F.lit(100))))
+    left_out = toxicity.held_out(4, 2)
+    once, again = (toxicity.learn(d, tables("labels"), left_out) for d in (few, many))
+    assert once.curve == again.curve and once.tables.keys() == again.tables.keys()
+    assert all(np.array_equal(x, y) for n in once.tables for x, y in zip(once.tables[n], again.tables[n], strict=True))
+    once, again = (language.train(d) for d in (few, many))
+    assert once.languages == again.languages and np.array_equal(once.landmarks, again.landmarks)
+
+
 def test_clauses():
     plain = [(5, toxicity.INSULT, 4.0)]
     evidence = toxicity.clause_evidence
