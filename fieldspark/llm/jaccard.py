@@ -41,6 +41,9 @@ from .words import SPACED, U64, mix, slices, words
 BAND_RATIO = 1.4
 #: A sketch word shared by more sets is frequent.
 FREQUENT = 64
+#: Words are counted in 2^SLOT_BITS slots. The words of a slot with more than CROWDED rows and twice
+#: the mean of the slots are brought together by another plan, of the same result, that splits them.
+SLOT_BITS, CROWDED = 16, 100_000
 #: Longs of the short bit sketch.
 FOLDED = 16
 #: Rounds with hubs before all remaining pairs are compared.
@@ -256,19 +259,37 @@ class _Verifier:
         return stored(joined.mapInArrow(_linked(self.num, self.den), "a long, b long"))
 
 
-def _meetings(docs: DataFrame, bands: Bands, width: int, text: str) -> DataFrame:
-    """(key, id, shared): the sketch words that a set shares with others and has to be compared on."""
-    rows = docs.select(F.col(text).alias("text")).mapInArrow(_keys(width, "text", bands), "key long, id long")
-    # one exchange by the word; a word that only one set has goes no further
+def _of_ordinary_words(rows: DataFrame) -> DataFrame:
+    """(key, id, shared) of the words that several sets have: one exchange by the word."""
     of_word = Window.partitionBy("key")
     met = (
         rows.withColumn("least", F.min("id").over(of_word))
         .withColumn("most", F.max("id").over(of_word))
         .withColumn("shared", F.count("*").over(of_word))
         .where("least != most")
-        .select("key", "id", "shared")
     )
-    met = stored(met.groupBy("key", "id").agg(F.first("shared").alias("shared")))
+    return stored(met.groupBy("key", "id").agg(F.first("shared").alias("shared")))
+
+
+def _of_hot_words(rows: DataFrame) -> DataFrame:
+    """The same where a word may have any number of sets: spread by word and set, counted in part
+    before each exchange, and joined below a write, where Spark can split a word's rows."""
+    cells = stored(rows.groupBy("key", "id").agg(F.count("*").alias("n")))
+    counts = cells.groupBy("key").agg(F.sum("n").alias("shared"), F.count("*").alias("sets")).where("sets > 1")
+    return stored(cells.join(counts, "key").select("key", "id", "shared"))
+
+
+def _meetings(docs: DataFrame, bands: Bands, width: int, text: str) -> DataFrame:
+    """(key, id, shared): the sketch words that a set shares with others and has to be compared on."""
+    rows = stored(docs.select(F.col(text).alias("text")).mapInArrow(_keys(width, "text", bands), "key long, id long"))
+    slot = F.shiftrightunsigned("key", 64 - SLOT_BITS)
+    counts = rows.groupBy(slot.alias("slot")).count()
+    crowded = F.greatest(F.lit(CROWDED), 2 * F.sum("count").over(Window.partitionBy(F.lit(1))) / (1 << SLOT_BITS))
+    # fewer than half of the slots have twice the mean: a bounded list
+    hot = stored(counts.withColumn("most", crowded).where("count > most").select("slot"))
+    met = _of_ordinary_words(rows.withColumn("slot", slot).join(F.broadcast(hot), "slot", "left_anti"))
+    if not hot.isEmpty():
+        met = met.unionByName(_of_hot_words(rows.withColumn("slot", slot).join(F.broadcast(hot), "slot", "left_semi")))
     spare = F.array(*[F.lit(int(x)) for x in bands.spare])
     frequent = F.col("shared") > FREQUENT
     band = F.col("key").bitwiseAND(F.lit(255))

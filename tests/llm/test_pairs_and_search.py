@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fieldspark.llm import decontaminate, neighbours
+from fieldspark.llm import decontaminate, jaccard, neighbours
 from fieldspark.llm.jaccard import Bands, bit_sketch, jaccard_components, one_of_each, sketch_distance
 
 WORDS = [f"w{i}" for i in range(400)]
@@ -76,6 +76,16 @@ def test_jaccard_components(docs, clashing, width, num):
     assert sorted((tuple(r) for r in got), key=str) == brute_components(rows, width, num, 100)
 
 
+def test_hot_words_take_another_plan_to_the_same_result(docs, monkeypatch):
+    monkeypatch.setattr(jaccard, "CROWDED", 20)
+    hot = []
+    split = jaccard._of_hot_words
+    monkeypatch.setattr(jaccard, "_of_hot_words", lambda rows: hot.append(rows.count()) or split(rows))
+    got = jaccard_components(docs(corpus())).collect()
+    assert hot and hot[0] > 20
+    assert sorted((tuple(r) for r in got), key=str) == brute_components(corpus(), 4, 85, 100)
+
+
 def test_one_of_each(docs):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "A b c d e f"), (3, "other words in here now"), (4, None), (None, "a b")]
     kept = one_of_each(docs(rows), width=5, num=80)
