@@ -286,3 +286,40 @@ def without_contaminated(
 ) -> DataFrame:
     """The rows of ``docs``, with all their columns, that ``contamination`` finds clean."""
     return _search(docs, benchmark, "clean", width, text, block_bytes)
+
+
+#: The query over ``documents`` and ``benchmark`` as SQL, by a join of all windows.
+CONTAMINATION_SQL = """
+with texts as (
+  select row_number() over () as row_id, doc_id, coalesce(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), []) as w
+  from documents
+), items as (
+  select item_id, regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w
+  from benchmark where item_id is not null and text is not null
+), sized as (
+  select *, least(13, len(w)) as k from items where len(w) > 0
+), windows as (
+  select distinct item_id, k, array_to_string(w[j:j + k - 1], ' ') as said
+  from (select *, unnest(range(1, len(w) - k + 2)) as j from sized)
+), spans as (
+  select row_id, k, j, array_to_string(w[j:j + k - 1], ' ') as said
+  from (select *, unnest(range(1, len(w) - k + 2)) as j
+    from texts, (select distinct k from sized) where len(w) >= k)
+), found as (
+  select row_id, j, k, item_id from spans join windows using (k, said)
+), hits as (
+  select row_id, count(distinct place) as n_hit
+  from (select row_id, unnest(range(j, j + k)) as place from found) group by row_id
+), of_items as (
+  select row_id, count(*) as n_items, string_agg(item, ',' order by item) as listed
+  from (select distinct row_id, item_id::varchar as item from found) group by row_id
+)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit,
+  coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(listed, '')) as items_sha256,
+  coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+from texts left join hits using (row_id) left join of_items using (row_id)
+"""

@@ -283,10 +283,10 @@ def _meetings(docs: DataFrame, bands: Bands, width: int, text: str) -> DataFrame
     """(key, id, shared): the sketch words that a set shares with others and has to be compared on."""
     rows = stored(docs.select(F.col(text).alias("text")).mapInArrow(_keys(width, "text", bands), "key long, id long"))
     slot = F.shiftrightunsigned("key", 64 - SLOT_BITS)
-    counts = rows.groupBy(slot.alias("slot")).count()
-    crowded = F.greatest(F.lit(CROWDED), 2 * F.sum("count").over(Window.partitionBy(F.lit(1))) / (1 << SLOT_BITS))
+    counts = stored(rows.groupBy(slot.alias("slot")).count())
+    mean = (counts.agg(F.sum("count")).first()[0] or 0) / (1 << SLOT_BITS)
     # fewer than half of the slots have twice the mean: a bounded list
-    hot = stored(counts.withColumn("most", crowded).where("count > most").select("slot"))
+    hot = stored(counts.where(F.col("count") > max(CROWDED, 2 * mean)).select("slot"))
     met = _of_ordinary_words(rows.withColumn("slot", slot).join(F.broadcast(hot), "slot", "left_anti"))
     if not hot.isEmpty():
         met = met.unionByName(_of_hot_words(rows.withColumn("slot", slot).join(F.broadcast(hot), "slot", "left_semi")))
@@ -383,3 +383,37 @@ def one_of_each(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     single = kept.join(repeated, "doc_id", "left_anti").select(*docs.columns)
     several = kept.join(repeated, "doc_id", "left_semi").select(*docs.columns)
     return single.unionByName(several.dropDuplicates(["doc_id", text]))
+
+
+#: The query over ``documents`` as SQL, by counting the common shingles of all pairs that have any.
+JOINED_SQL = """
+with recursive texts as (
+  select row_number() over () as row_id, doc_id, coalesce(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x20\\x09-\\x0D]+'), []) as w
+  from documents
+), sets as (
+  select row_id, doc_id, list_sort(list_distinct(case when len(w) = 0 then []
+    when len(w) < 4 then [array_to_string(w, ' ')]
+    else list_transform(range(1, len(w) - 2), lambda j: array_to_string(w[j:j + 3], ' ')) end)) as s
+  from texts
+), kinds as (
+  select s, min(row_id) as id, min(doc_id) as least, len(s) as n from sets where len(s) > 0 group by s
+), members as (
+  select id, n, unnest(s) as shingle from kinds
+), links as (
+  select a.id as x, b.id as y
+  from members a join members b on a.shingle = b.shingle and a.id != b.id
+  group by a.id, b.id, a.n, b.n
+  having 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), reached(id, other) as (
+  select id, id from kinds
+  union
+  select r.id, l.y from reached r join links l on l.x = r.other
+), named as (
+  select r.id, min(k.least) as component_id from reached r join kinds k on k.id = r.other group by r.id
+)
+select doc_id, len(sets.s)::bigint as n_shingles,
+  case when len(sets.s) > 0 then component_id else doc_id end as component_id
+from sets left join kinds on kinds.s = sets.s left join named on named.id = kinds.id
+"""

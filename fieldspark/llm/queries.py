@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .decontaminate import contamination
+from .decontaminate import CONTAMINATION_SQL, contamination
 from .extraction import extracted
-from .jaccard import jaccard_components
+from .jaccard import JOINED_SQL, jaccard_components
 from .language import languages
 from .lm import scored
 from .mixing import MIXED_SQL, mixed
@@ -78,4 +78,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": op10_language_id,
 }
 
-ORACLES: dict[str, str] = {"op7_source_mixing": MIXED_SQL}
+ORACLES: dict[str, str] = {
+    "op1_ngram_jaccard_join": JOINED_SQL,
+    "op2_benchmark_decontamination": CONTAMINATION_SQL,
+    "op7_source_mixing": MIXED_SQL,
+}

@@ -15,6 +15,8 @@ from fieldspark.llm import extraction, language, lm, mixing, quality, sharding,
 from fieldspark.llm.gru import STATE, Network
 from fieldspark.llm.queries import ORACLES, QUERIES
 
+from .test_pairs_and_search import brute_components, brute_contamination
+
 SF = "/root/testdata/sf0.01"
 ODD = [(None, "idiot words"), (-1, None), (-2, ""), (-3, "..."), (-4, "word " * 30000), (-5, "again"), (-5, "again")]
 
@@ -250,6 +252,54 @@ def test_pipeline_stages(spark, tables):
     assert "shard" in out.columns and 0 < out.count()
 
 
+def test_pipeline_rows_are_those_of_brute_force(spark, tables, tmp_path):
+    """Which documents each stage keeps, stage by stage on what the one before kept."""
+    docs = tables("documents").where("doc_id < 160")
+    rows = [tuple(r) for r in docs.collect()]
+    passage = next(r.text for r in tables("benchmark").collect() if len(r.text.split()) > 20)
+    long = next(r[1] for r in rows if len(r[1].split()) > 60)
+    more = [(901, passage), (902, long + " end"), (903, long), (904, None), (905, ""), (None, long), (906, "word " * 20000)]
+    rows += [(d, t, "en", None, 0) for d, t in more]
+    spark.createDataFrame(rows, docs.schema).withColumn("score", F.lit("own")).write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        tables(name).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = Counter((r.doc_id, r.size, r.text_crc32) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+
+    given = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    toxic = toxicity.toxicity(given, tables("labels")).where("predicted = 1").collect()
+    toxic = {r.doc_id for r in toxic}
+    assert toxic and None not in toxic
+    rows = [r for r in rows if r[0] not in toxic]
+    named = {d: c for d, _, c in brute_components([r[:2] for r in rows], 5, 80, 100) if d is not None}
+    rows = [r for r in rows if named.get(r[0], r[0]) == r[0]]
+    assert 902 not in {r[0] for r in rows} and 903 not in {r[0] for r in rows}
+    items = [tuple(r) for r in tables("benchmark").select("item_id", "text").collect()]
+    unclean = {r[0] for r in brute_contamination([r[:2] for r in rows], items, 13) if r[-1]}
+    assert 901 in unclean
+    rows = [r for r in rows if r[0] not in unclean]
+    duck = duckdb.connect()
+    duck.register("documents", spark.createDataFrame(rows, docs.schema).toArrow())
+    taken = {r[0]: (r[1], r[4]) for r in duck.sql(mixing.MIXED_SQL).fetchall()}
+    want = Counter()
+    for d, text, *_ in rows:
+        size, words = taken[d]
+        if size and words:
+            want[d, len(text.encode()) + 16, zlib.crc32(text.encode())] += words // size
+    empty = {r[0] for r in rows if not taken[r[0]][0]}
+    assert Counter({k: n for k, n in got.items() if k[0] not in empty}) == want and len(want) > 40
+
+
+@pytest.mark.parametrize("name", ["op1_ngram_jaccard_join", "op2_benchmark_decontamination"])
+def test_rows_of_the_sql(spark, tables, name):
+    duck = duckdb.connect()
+    for table in ("documents", "benchmark"):
+        duck.sql(f"create view {table} as select * from '{SF}/{table}.parquet'")
+    got = QUERIES[name](spark, SF)
+    want = duck.sql(ORACLES[name])
+    assert sorted(got.columns) == sorted(want.columns)
+    assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(want.fetchall())
+
+
 def test_every_operator_is_registered():
     assert [q.split("_")[0] for q in QUERIES] == [f"op{n}" for n in range(1, 11)]
     assert set(ORACLES) <= set(QUERIES)
