@@ -10,6 +10,7 @@ from fieldspark.sources.fixture import AS_OF, PLANTED_SINCE
 from fieldspark.sources.schemas import SCHEMAS
 from fieldspark.sources.tables import frame_tables
 from verification.compare import rows_of, spark_frame
+from verification.queries import QUERIES
 
 
 def same(a, b):
@@ -475,3 +476,45 @@ def test_linear_projection_of_missing_inputs(spark):
     df = spark.createDataFrame([(2.0, 10.0), (None, 10.0)], "x double, area double")
     got = forecast.linear_projection(df, {"x": 3.0}, 1.0).collect()
     assert [(r.prediccion, r["kilos proyectados"]) for r in got] == [(7.0, 70.0), (1.0, 10.0)]
+
+
+def _sorted_by(values, falling: bool, nulls_first: bool) -> list:
+    blank, rest = [v for v in values if v is None], sorted((v for v in values if v is not None), reverse=falling)
+    return blank + rest if nulls_first else rest + blank
+
+
+@pytest.mark.parametrize(
+    ("name", "column", "falling", "nulls_first"),
+    [
+        ("group_list", "fecha", False, False),
+        ("lot_list", "label", False, False),
+        ("formula_list", "label", False, False),
+        ("forcing_candidates", "edad actual meses", True, True),
+        ("forcing_table", "edad actual meses", True, True),
+        ("alert_preforza_list", "dias_desde_ultima_aplicacion", True, False),
+        ("alert_postforza_list", "dias_desde_ultima_aplicacion", True, False),
+        ("alert_semillero_list", "dias_desde_ultima_aplicacion", True, False),
+        ("alert_new_blocks_list", "dias_sin_aplicacion", True, False),
+    ],
+)
+def test_order_of_report(spark, sf_dir, name, column, falling, nulls_first):
+    values = [r[column] for r in QUERIES[name](spark, sf_dir).collect()]
+    assert values and values == _sorted_by(values, falling, nulls_first)
+
+
+def test_order_of_one_page_of_a_group(tables):
+    """A page is sorted by date; the listing of all groups is left as it is stored."""
+    page = tables.aplicaciones.groupBy("grupo", "etapa2", "categoria").agg(F.countDistinct("fecha").alias("n"))
+    page = page.where("grupo is not null").orderBy(F.desc("n"), "grupo", "etapa2", "categoria").first()
+    rows = group_detail.group_applications(tables, page.grupo, page.etapa2, page.categoria).collect()
+    values = [r["fecha aplicación"] for r in rows]
+    assert len(set(values)) > 1 and values == _sorted_by(values, False, False)
+
+
+def test_blank_dates_come_before_the_latest(spark):
+    rows = [("F 2", None, "x"), ("F 1", "2021-01-02", "x"), ("F 1", None, "x"), ("F 3", "2021-03-01", None), (None, None, "x")]
+    df = spark.createDataFrame(rows, "codigo_formula string, fecha string, grupo string")
+    got = df.withColumn("descripcion_formula", F.lit("f")).orderBy(*alerts._latest()).collect()
+    assert [(r.codigo_formula, r.fecha) for r in got] == [
+        ("F 1", None), ("F 2", None), (None, None), ("F 3", "2021-03-01"), ("F 1", "2021-01-02"),
+    ]
