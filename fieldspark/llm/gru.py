@@ -3,24 +3,41 @@
 Symbols are the frequent words and one symbol per class of other words. A symbol's probability is that
 of its class times, for a frequent word, that of the word within its class; both are softmaxes of the
 state. Trained by backpropagation through windows of some steps, the state going on from window to
-window; scoring carries the state through a whole sequence.
+window; scoring carries the state through a whole sequence. Networks trained apart from the same
+parameters are joined by the mean of their parameters and moments.
 """
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterable
+
 import numpy as np
 
 STATE, PER_CLASS = 24, 64
-LANES, STEPS, EPOCHS, RATE = 64, 16, 5, 4e-3
+LANES, STEPS, RATE = 64, 16, 4e-3
+#: Symbols of a sequence that go through one lane in training.
+PIECE = 2_048
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    return 0.5 * np.tanh(0.5 * x) + 0.5
+
+
+def _softmax(x: np.ndarray) -> np.ndarray:
+    """In place."""
+    x -= x.max(1, keepdims=True)
+    np.exp(x, out=x)
+    x /= x.sum(1, keepdims=True)
+    return x
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+def _log_softmax_at(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The logarithm of one column's share in each row; ``x`` is changed."""
+    x -= x.max(1, keepdims=True)
+    own = x[np.arange(len(at)), at]
+    np.exp(x, out=x)
+    return own - np.log(x.sum(1))
 
 
 class Network:
@@ -49,6 +66,9 @@ class Network:
             "ww": small(padded, STATE) * 0,
             "bw": word_bias,
         }
+        self.first = {k: np.zeros_like(v) for k, v in self.p.items()}
+        self.second = {k: np.zeros_like(v) for k, v in self.p.items()}
+        self.turn = 0
 
     def step(self, symbol: np.ndarray, h: np.ndarray):
         x, hu = self.p["g"][symbol], h @ self.p["u"]
@@ -60,77 +80,139 @@ class Network:
     def log_prob(self, h: np.ndarray, symbol: np.ndarray) -> np.ndarray:
         """Natural log probability of each symbol after each state."""
         of = self.class_of[symbol]
-        out = _log_softmax(h @ self.p["wc"] + self.p["bc"])[np.arange(len(of)), of].astype(np.float64)
+        out = _log_softmax_at(h @ self.p["wc"] + self.p["bc"], of).astype(np.float64)
         order = np.argsort(of, kind="stable")
         edge = np.searchsorted(of[order], np.arange(self.n_word_classes + 1))
         for c in range(self.n_word_classes):
             at = order[edge[c] : edge[c + 1]]
             if len(at):
                 lo = c * PER_CLASS
-                part = _log_softmax(h[at] @ self.p["ww"][lo : lo + PER_CLASS].T + self.p["bw"][lo : lo + PER_CLASS])
-                out[at] += part[np.arange(len(at)), symbol[at] - lo]
+                part = h[at] @ self.p["ww"][lo : lo + PER_CLASS].T + self.p["bw"][lo : lo + PER_CLASS]
+                out[at] += _log_softmax_at(part, symbol[at] - lo)
         return out
 
-    def train(self, stream: np.ndarray) -> None:
-        """Learns from symbols in a row; the start symbol ends each sequence."""
-        n = len(stream) // LANES
-        if n < 2:
-            return
-        rows = stream[: n * LANES].reshape(LANES, n).T
-        before = np.concatenate([np.full((1, LANES), self.start), rows[:-1]])
-        first = {k: np.zeros_like(v) for k, v in self.p.items()}
-        second = {k: np.zeros_like(v) for k, v in self.p.items()}
-        turn = 0
-        for epoch in range(EPOCHS):
-            h = np.zeros((LANES, STATE), np.float32)
-            for a in range(0, n, STEPS):
-                turn += 1
-                grad, h = self._gradients(before[a : a + STEPS], rows[a : a + STEPS], h)
-                norm = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
-                rate = RATE * (1 - epoch / EPOCHS) * np.sqrt(1 - 0.999**turn) / (1 - 0.9**turn)
-                for k, g in grad.items():
-                    g = g * min(1.0, 5.0 / (norm + 1e-9))
-                    first[k] += 0.1 * (g - first[k])
-                    second[k] += 0.001 * (g * g - second[k])
-                    self.p[k] -= (rate * first[k] / (np.sqrt(second[k]) + 1e-8)).astype(np.float32)
+    def flat(self) -> np.ndarray:
+        """Parameters and both moments in a row."""
+        return np.concatenate([x.ravel() for part in (self.p, self.first, self.second) for x in part.values()])
+
+    def set_flat(self, values: np.ndarray, turn: int) -> None:
+        at = 0
+        for part in (self.p, self.first, self.second):
+            for k, x in part.items():
+                part[k] = values[at : at + x.size].reshape(x.shape).astype(np.float32)
+                at += x.size
+        self.turn = turn
+
+    def forget(self) -> None:
+        """Drops the moments, which only training needs."""
+        self.first, self.second = {}, {}
+
+    def train(self, blocks: Iterable[tuple[np.ndarray, np.ndarray]], lanes: int = LANES, rate: float = RATE) -> int:
+        """Learns from all symbols of the blocks (symbols, first symbols of the sequences and the end), each
+        sequence ended by the start symbol, and returns their number. The sequences go one after another
+        through ``lanes`` lanes, the next one to the lane that has least left to do. Longer ones than PIECE
+        are learned from in pieces: before a later piece stands the symbol s that precedes it as -2 - s,
+        which is not learned from again, and the state begins anew."""
+        left = [np.zeros(0, np.int16)] * lanes
+        h, last, seen = np.zeros((lanes, STATE), np.float32), np.full(lanes, self.start, np.int64), 0
+        for symbols, first in blocks:
+            symbols = symbols.astype(np.int16)
+            seen += len(symbols)
+            parts = [[x] for x in left]
+            load = [(len(x), i) for i, x in enumerate(left)]
+            heapq.heapify(load)
+            for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+                for c in range(a, b, PIECE):
+                    size, i = load[0]
+                    piece = symbols[c : min(c + PIECE, b)]
+                    if c > a:
+                        piece = np.insert(piece, 0, -2 - symbols[c - 1])
+                    parts[i].append(piece)
+                    heapq.heapreplace(load, (size + len(piece), i))
+            left = [np.concatenate(x) for x in parts]
+            done = load[0][0] // STEPS * STEPS
+            if done:
+                rows = np.stack([x[:done] for x in left], 1).astype(np.int64)
+                left = [x[done:].copy() for x in left]
+                h, last = self._follow(rows, h, last, STEPS, lanes, rate)
+        # lanes that have come to their end are left out, the others take more steps at once
+        while any(live := np.array([len(x) > 0 for x in left])):
+            left, h, last = [x for x in left if len(x)], h[live], last[live]
+            steps = min(max(STEPS, lanes * STEPS // len(left)), max(map(len, left)))
+            rows = np.full((steps, len(left)), -1, np.int64)
+            for i, x in enumerate(left):
+                rows[: len(x), i] = x[:steps]
+            h, last = self._follow(rows, h, last, steps, lanes, rate)
+            left = [x[steps:] for x in left]
+        return seen
+
+    def _follow(self, rows: np.ndarray, h: np.ndarray, last: np.ndarray, steps: int, lanes: int, rate: float):
+        """A step of Adam for each window of the rows (-1: nothing); the state and symbols behind them."""
+        before = np.concatenate([last[None], rows[:-1]])
+        for a in range(0, len(rows), steps):
+            self.turn += 1
+            window = rows[a : a + steps]
+            grad, h = self._gradients(before[a : a + steps], window, h)
+            norm = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
+            # a window with few symbols counts for less
+            share = min(1.0, np.count_nonzero(window >= 0) / (lanes * STEPS)) * min(1.0, 5.0 / (norm + 1e-9))
+            now = np.float32(rate * np.sqrt(1 - 0.999**self.turn) / (1 - 0.9**self.turn))
+            for k, g in grad.items():
+                g *= np.float32(share)
+                first, second = self.first[k], self.second[k]
+                first += np.float32(0.1) * (g - first)
+                second += np.float32(0.001) * (g * g - second)
+                self.p[k] -= now * first / (np.sqrt(second) + np.float32(1e-8))
+        return h, rows[-1]
 
     def _gradients(self, before: np.ndarray, rows: np.ndarray, h: np.ndarray):
-        """Mean gradients over a window, and the state behind it."""
+        """Mean gradients over a window, and the state behind it. Negative symbols are not learned: -1
+        behind the end of a lane, -2 - s for the symbol s before a piece."""
         p, kept, states = self.p, [], []
-        for symbols in before:
-            fresh = np.where((symbols == self.start)[:, None], np.float32(0), h)
+        anew = (before == self.start) | (before < -1)
+        before = np.where(before < -1, -2 - before, before)
+        for symbols, new in zip(before, anew, strict=True):
+            fresh = np.where(new[:, None], np.float32(0), h)
             h, z, r, n, hn = self.step(symbols, fresh)
             kept.append((symbols, fresh, z, r, n, hn))
             states.append(h)
         s, target = np.concatenate(states), rows.ravel()
-        of, scale = self.class_of[target], np.float32(1 / len(target))
-        dc = np.exp(_log_softmax(s @ p["wc"] + p["bc"]))
+        live = target >= 0
+        of, scale = self.class_of[np.maximum(target, 0)], np.float32(1 / max(1, live.sum()))
+        dc = _softmax(s @ p["wc"] + p["bc"])
         dc[np.arange(len(of)), of] -= 1
-        dc *= scale
+        dc *= (scale * live)[:, None]
         grad = {k: np.zeros_like(v) for k, v in p.items()}
         grad["wc"], grad["bc"] = s.T @ dc, dc.sum(0)
         ds = dc @ p["wc"].T
-        for c in np.unique(of[of < self.n_word_classes]):
-            at, lo = np.flatnonzero(of == c), c * PER_CLASS
+        of = np.where(live, of, self.n_word_classes)
+        order = np.argsort(of, kind="stable")
+        edge = np.searchsorted(of[order], np.arange(self.n_word_classes + 1))
+        for c in np.flatnonzero(np.diff(edge)):
+            at, lo = order[edge[c] : edge[c + 1]], c * PER_CLASS
             w = slice(lo, lo + PER_CLASS)
-            dw = np.exp(_log_softmax(s[at] @ p["ww"][w].T + p["bw"][w]))
+            dw = _softmax(s[at] @ p["ww"][w].T + p["bw"][w])
             dw[np.arange(len(at)), target[at] - lo] -= 1
             dw *= scale
             grad["ww"][w], grad["bw"][w] = dw.T @ s[at], dw.sum(0)
             ds[at] += dw @ p["ww"][w]
         ds = ds.reshape(len(before), -1, STATE)
         dh = np.zeros_like(h)
+        dx, dhu = [np.empty((*before.shape, 3 * STATE), ds.dtype) for _ in range(2)]
         for t in range(len(before) - 1, -1, -1):
             symbols, fresh, z, r, n, hn = kept[t]
             dh = dh + ds[t]
             dz = dh * (fresh - n) * z * (1 - z)
             dn = dh * (1 - z) * (1 - n * n)
             dr = dn * hn * r * (1 - r)
-            dx = np.concatenate([dz, dr, dn], 1)
-            dhu = np.concatenate([dz, dr, dn * r], 1)
-            np.add.at(grad["g"], symbols, dx)
-            grad["u"] += fresh.T @ dhu
-            dh = (dh * z + dhu @ p["u"].T) * (symbols != self.start)[:, None]
+            dx[t] = np.concatenate([dz, dr, dn], 1)
+            dhu[t] = np.concatenate([dz, dr, dn * r], 1)
+            dh = (dh * z + dhu[t] @ p["u"].T) * ~anew[t][:, None]
+        given = before.ravel()
+        order = np.argsort(given, kind="stable")
+        edge = np.flatnonzero(np.diff(given[order], prepend=-2))
+        grad["g"][given[order[edge]]] = np.add.reduceat(dx.reshape(len(given), -1)[order], edge)
+        grad["u"] = np.concatenate([k[1] for k in kept]).T @ dhu.reshape(len(given), -1)
         return grad, h
 
     def score(self, symbols: np.ndarray, first: np.ndarray, window: int = 1 << 15) -> np.ndarray:

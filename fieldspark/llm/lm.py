@@ -3,7 +3,9 @@
 Token counts are gathered over all training documents. The most frequent words are symbols of a gated
 recurrent network (gru.py); other words belong to classes by their last bytes, whose probability the
 network gives, and within their class are as likely as their counts say, a class's unknown words being
-one word. A document's score is the log probability of its words and its end, the network's state going
+one word. The network learns from all training documents: in each round tasks go on from the same
+parameters, each with its own documents of the round, and the means of what they come to, weighted by
+their tokens, are the parameters of the next round. A document's score is the log probability of its words and its end, the network's state going
 through the whole text.
 
 Executors get the counts of a bounded number of words. The counts of rarer ones are joined: each
@@ -19,15 +21,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .gru import Network
-from .samples import bounded_sample, held_out
+from .gru import LANES, RATE, STEPS, Network
+from .samples import fraction, held_out
 from .scratch import received, shipped, stored
 from .words import LOWER, SPACED, U64, mix, slices, text_buffer, word_bounds, word_codes
 
 #: Words that the network knows, classes of other words, and words whose counts are broadcast.
 WORDS, OTHERS, COUNTED = 2_047, 32, 1 << 20
-#: Training documents that the network is fitted on, and tokens of them.
-SAMPLE, SAMPLE_TOKENS = 2_000, 400_000
+#: Tokens from which one pass over all training documents is enough, passes over fewer, and rounds.
+ENOUGH, PASSES, ROUNDS = 2_000_000, 5, 8
+#: Tokens of a task in a round (at least, where there are so many), most lanes, parameters in a row of a task.
+TASK, MOST_LANES, ROW = 500_000, 256, 4_096
 #: Tokens counted at once in a task.
 AT_ONCE = 2_000_000
 #: Code of the end of a text; no word has its own end's class.
@@ -100,6 +104,7 @@ class Model:
 
     def __init__(self, counts: Counts, class_total: np.ndarray, total: int, kinds: int, network: Network):
         self.counts, self.class_total, self.total, self.kinds, self.network = counts, class_total, total, kinds, network
+        self.learned = 0  # tokens that the network has learned from, those of each pass
 
     def symbols(self, place: np.ndarray, classes: np.ndarray) -> np.ndarray:
         known = np.where(place >= 0, self.counts.symbols[np.maximum(place, 0)] if len(self.counts.codes) else -1, -1)
@@ -153,6 +158,75 @@ def _most_frequent(counts: DataFrame) -> DataFrame:
     return counts.where(kept if bound is None else kept | (level >= bound))
 
 
+def _taught(model, state, lanes: int, rate: float):
+    """Rows of the parameters that a task comes to, with its tokens and steps."""
+
+    def run(batches):
+        fitted, (values, turn) = received(model), received(state)
+        network = fitted.network
+        network.set_flat(values, turn)
+
+        def blocks():
+            for batch in batches:
+                for part in slices(batch, "text"):
+                    codes, classes, first = tokens(part["text"])
+                    yield fitted.symbols(fitted.counts.find(codes), classes), first
+
+        if seen := network.train(blocks(), lanes, rate):
+            values = network.flat()
+            for k, a in enumerate(range(0, len(values), ROW)):
+                row = {"part": [k], "seen": [seen], "turn": [network.turn], "x": [values[a : a + ROW]]}
+                types = [pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.float32())]
+                yield pa.RecordBatch.from_pydict({n: pa.array(v, t) for (n, v), t in zip(row.items(), types, strict=True)})
+
+    return run
+
+
+def _summed(batches):
+    """The sums of the rows of each part, weighted by their tokens."""
+    sums: dict[int, list] = {}
+    for batch in batches:
+        for part, seen, turn, x in zip(*(batch[c] for c in ("part", "seen", "turn", "x")), strict=True):
+            held = sums.setdefault(part.as_py(), [0, 0, 0.0])
+            n = seen.as_py()
+            held[0] += n
+            held[1] += n * turn.as_py()
+            held[2] = held[2] + n * x.values.to_numpy().astype(np.float64)
+    for part, (seen, turn, x) in sums.items():
+        row = {"part": pa.array([part], pa.int32()), "seen": pa.array([seen], pa.int64())}
+        row |= {"turn": pa.array([turn / seen], pa.float64()), "x": pa.array([x], pa.list_(pa.float64()))}
+        yield pa.RecordBatch.from_pydict(row)
+
+
+def teach(docs: DataFrame, model: Model, total: int) -> int:
+    """Trains the network on all texts of ``docs``, which have ``total`` tokens; tokens learned from.
+
+    Up to ENOUGH tokens are gone through several times. Each pass is cut by hash into rounds, so that the
+    tasks' parameters meet often, and every document is in one round of each pass."""
+    passes = min(PASSES, max(1, -(-ENOUGH // max(1, total))))
+    parts = -(-ROUNDS // passes)
+    tasks = max(1, total // parts // TASK)
+    lanes = min(MOST_LANES, max(LANES, total // parts // tasks // (STEPS * 128)))
+    spark, network, learned = docs.sparkSession, model.network, 0
+    sent = shipped(spark, model)
+    for k in range(passes * parts):
+        state = shipped(spark, (network.flat(), network.turn))
+        rows = docs.where(F.floor(fraction("doc_id", "text") * parts) == k % parts).select("text").coalesce(tasks)
+        taught = _taught(sent, state, lanes, RATE * (1 - k / (passes * parts)))
+        met = rows.mapInArrow(taught, "part int, seen long, turn long, x array<float>")
+        met = met.withColumn("task", F.spark_partition_id()).repartition("part").sortWithinPartitions("part", "task")
+        sums = met.drop("task").mapInArrow(_summed, "part int, seen long, turn double, x array<double>").toArrow()
+        sums = sums.sort_by("part")
+        if sums.num_rows:
+            seen = sums["seen"][0].as_py()
+            values = sums["x"].combine_chunks().values.to_numpy()
+            network.set_flat(values / seen, round(sums["turn"][0].as_py()))
+            learned += seen
+        state.destroy()
+    sent.destroy()
+    return learned
+
+
 def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
     """The model, and the counts (code, class, c) of all words of the training documents ``docs``
     (doc_id, text)."""
@@ -176,11 +250,10 @@ def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
     frequency[: len(head)] = head["c"]
     frequency[words:] = sums[:, 0]
     model = Model(table, class_total, total, kinds, Network(words, OTHERS, 0, frequency))
-    sample = bounded_sample(docs, SAMPLE).select("text").collect()
-    if sample:
-        code, classes, _ = tokens(pa.array([r.text for r in sample], pa.string()))
-        code, classes = code[:SAMPLE_TOKENS], classes[:SAMPLE_TOKENS]
-        model.network.train(model.symbols(table.find(code), classes))
+    known = Counts(codes[:words], head["c"].to_numpy(np.int64), symbols[:words])
+    if total:
+        model.learned = teach(docs, Model(known, class_total, total, kinds, model.network), total)
+    model.network.forget()
     return model, counts
 
 

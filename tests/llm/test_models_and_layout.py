@@ -123,6 +123,41 @@ def test_language_model_sums(odd, monkeypatch):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_network_learns_from_all_texts(docs):
+    # the first document by hash is longer than 400,000 tokens; the others teach what follows what
+    hashes = docs([(d, "") for d in range(1, 400)]).select("doc_id", F.xxhash64("doc_id").alias("h"))
+    order = [r.doc_id for r in hashes.orderBy(F.shiftrightunsigned("h", 11)).collect()]
+    taught = [d for d in order if zlib.crc32(str(d).encode()) % 10]
+    rows = [(d, "one two three four " * 50 + "end") for d in order if d != taught[0]] + [(taught[0], "x " * 410_000)]
+    model, _ = lm.fit(docs(rows).where(~lm.held_out(10, 0)).select("doc_id", "text"))
+    assert model.learned == lm.PASSES * model.total or model.learned == -(-lm.ENOUGH // model.total) * model.total
+    got = [r for r in lm.scored(docs(rows)).collect() if r.held_out]
+    assert got and sum(r.score for r in got) > 0.5 * sum(r.base_score for r in got)
+
+
+def test_lanes_take_all_symbols_and_pieces_begin_anew():
+    rng = np.random.default_rng(3)
+    size = np.array([5, 1, 9_000, 70, 2_048, 2_049, 300])
+    first = np.concatenate([[0], np.cumsum(size)])
+    symbols = rng.integers(1, 73, first[-1])
+    symbols[first[1:] - 1] = 0
+    net, met = Network(70, 3, 0, np.ones(73)), Counter()
+    plain = net._gradients
+
+    def gradients(before, rows, h):
+        met.update(rows[rows >= 0].tolist())
+        return plain(before, rows, h)
+
+    net._gradients = gradients
+    cut = [(symbols[: first[2]], first[:3]), (symbols[first[2] :], first[2:] - first[2])]
+    assert net.train(cut, lanes=4) == len(symbols) and met == Counter(symbols.tolist())
+    rows = np.array([[7, 8], [-2 - 5, -1], [6, -1]])
+    before = np.array([[1, 2], [7, 8], [-2 - 5, -1]])
+    there, h = plain(before, rows, np.ones((2, STATE), np.float32))
+    alone, h1 = plain(np.array([[5]]), np.array([[6]]), np.zeros((1, STATE), np.float32))
+    assert h[0] == pytest.approx(h1[0]) and there["g"][5] == pytest.approx(alone["g"][5] / 3, rel=1e-4, abs=1e-9)
+
+
 def test_network_gradients_and_carried_state():
     net = Network(70, 3, 0, np.arange(73.0), seed=1)
     rng = np.random.default_rng(0)
