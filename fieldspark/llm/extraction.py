@@ -1,29 +1,60 @@
 """Main text of web pages by two-pass block rules.
 
-A page is cut into blocks at block-level tags. The first pass decides each block by itself: parts of
-the page that say what they are (menus, headers, footers, forms, adverts, comments), many letters
-within links, or few function words in a long block without an article around it make it boilerplate;
-blocks of the page's article, or long ones with many function words, are text. What stays undecided,
-short blocks mostly, follows in the second pass its nearest decided neighbours: both sides if they
-agree, else the nearer one, the page's article breaking ties.
+A page is cut into blocks at block-level tags. The first pass decides each block by itself. Parts of
+the page that say what they are (menus, headers, footers, forms, adverts, comments) and many letters
+within links make a block boilerplate. Of the others, long ones with many function words of a language
+are text, those with few are not, unless the page's language has no list here, when length decides. That
+a block stands in the page's article is evidence: it decides short blocks, and long ones that their words
+leave open. An article element with little text beside the page's main text is a card; its short blocks
+are boilerplate. What stays undecided follows in the second pass its nearest decided neighbours if they
+agree; else the article decides, on pages without one the nearer neighbour. If nothing is decided to be
+text, the long undecided blocks are.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .quality import FUNCTION_WORDS
-
 #: Share of letters in links from which a block is boilerplate.
 LINKS = 0.33
 #: Letters below which a block is short, and from which it is long.
 SHORT, LONG = 70, 200
 #: Shares of function words: below the first a long block is no text, from the second on it is.
 FEW, MANY = 0.10, 0.25
+#: Share of the main text's letters below which one of several articles is a card.
+CARD = 0.25
+#: Function words by language.
+FUNCTION_WORDS = {
+    "en": "the of and to in a is that it for on was with as be by at this are or from have not but they you he she his her we which their has had were will an if would there what all been one who so when can no more",
+    "de": "der die das und in zu den mit von ist auf für ein eine nicht sich des dem im es an auch als wie er sie wir ich aus bei nach war hat werden einer einen um am sind noch nur oder aber vor zur zum bis mehr durch",
+    "fr": "le la les de des et en un une du que qui dans pour est sur par au pas il elle ne se ce à avec plus sont son sa ses on aux nous vous mais ou été cette leur être ont comme d l c qu n s",
+    "es": "el los las la de que y en un una del se por con para su al lo como más no es a o pero sus le ha me si sin sobre este ya entre cuando muy fue son está también hasta desde nos esta",
+    "it": "il lo la i gli le di a da in con su per tra e che un una è non si del della dei delle al alla nel nella sono ma anche come più o se ha questo questa l dell all d",
+    "pt": "o a os as de do da dos das e que em um uma no na nos nas para com por não se mais como mas ao à é foi ser são ou seu sua pelo pela também já entre quando muito",
+    "nl": "de het een en van in is op te dat die voor met zijn aan niet er ook als om door maar bij uit naar of dan nog wordt worden heeft hij ze wij ik je over deze dit kan",
+    "da": "og i at det er en til af på for med den der de som ikke har et men var han sig om vi kan fra jeg så også eller efter ved over blev nu",
+    "no": "og i at det er en til av på for med den som de ikke har et men var han seg om vi kan fra jeg så også eller etter ved over ble nå",
+    "sv": "och i att det är en till av på för med den som de inte har ett men var han sig om vi kan från jag så också eller efter vid över blev nu",
+    "fi": "ja on ei että se oli hän ovat mutta kun niin myös kuin joka mukaan sen hänen ole jo jos tai sekä vain nyt ollut mitä tämä ne he olla vielä voi sitä",
+    "pl": "i w na z do że się nie to jest o jak po za od przez dla oraz ale są co tak już był była może tym ich jego jej czy a przy który która które być",
+    "cs": "a v se na je že s z do o i to k ve pro za by ale jako po jsou od jeho jak které který která také byl byla už nebo při si tak ze aby",
+    "hu": "a az és hogy nem is egy ez meg de van volt csak azt már ha mint még vagy el ki fel le lesz minden ezt sem után amely aki kell szerint majd",
+    "ro": "și în de la a cu pe nu că un o din care este pentru mai au se să ce prin fi sau fost ale al lui dar după despre între sunt",
+    "tr": "ve bir bu da de için ile çok ne gibi daha olan olarak ama var en kadar sonra her o mi ya ise değil ki diye şey veya göre",
+    "el": "και το η ο να του της των με που για την τον στο στη στην τα οι τις δεν είναι από θα σε ότι ως αλλά μια ένα τους στα",
+    "ru": "и в не на что с он как это по но из у за то к от же о для его все так было был бы мы вы они она а до или если уже при",
+    "uk": "і в не на що з він як це по але із у за то до від ж про для його все так було був ми ви вони вона а та або якщо вже при й є",
+    "ar": "في من على إلى أن عن مع هذا هذه التي الذي كان لا ما أو كما بعد قبل بين كل قد لم هو هي ذلك و",
+    "id": "yang dan di ini itu dengan untuk dari dalam tidak pada adalah akan ke juga oleh karena sebagai bisa ada mereka kami saya atau telah lebih",
+    "vi": "và của là có trong cho được với các không một những người này đã khi để từ đến cũng như ra về vào nhiều",
+    "hi": "के का की में है और को से पर यह हैं एक ने भी कि था नहीं लिए तो इस हो कर जो थे",
+}
 
 DROPPED = "script style noscript template iframe svg math object canvas head title select option button textarea".split()
 BLOCKS = (
@@ -43,14 +74,32 @@ NAMES = (
 _PART = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _SPACE = re.compile(r"\s+")
+#: Words of letters and the marks that some scripts write vowels with.
+_WORDS = re.compile(r"(?:[^\W\d_]|[\u0900-\u0963])+")
+#: Characters of scripts without spaces, which say as much as some letters.
+_WIDE = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u9fff\uac00-\ud7af\uf900-\ufaff\U00020000-\U0003ffff]")
+_LANGUAGES: dict[str, tuple[str, ...]] = {}
+for _lang, _listed in FUNCTION_WORDS.items():
+    for _word in set(_listed.split()):
+        _LANGUAGES[_word] = (*_LANGUAGES.get(_word, ()), _lang)
+
+
+class Block(NamedTuple):
+    """Text, letters in links, whether a part that is no text holds it, articles and mains around it."""
+
+    text: str
+    linked: int
+    apart: bool
+    within: tuple[int, ...]
 
 
 class Page:
-    """Blocks of a page: text, letters in links, whether a named part holds it, whether an article."""
+    """Blocks of a page; tags of its article and main elements, which the blocks name by number."""
 
     def __init__(self, html: str):
-        self.blocks: list[tuple[str, int, bool, bool]] = []
-        self.open: list[tuple[str, bool, bool]] = []  # tag, makes apart, is an article
+        self.blocks: list[Block] = []
+        self.articles: list[str] = []
+        self.open: list[tuple[str, bool, int]] = []  # tag, makes apart, number of the article or -1
         self.pieces: list[str] = []
         self.linked = self.in_link = 0
         self._read(html)
@@ -66,14 +115,14 @@ class Page:
     def _end_block(self) -> None:
         text = _SPACE.sub(" ", "".join(self.pieces)).strip()
         if text:
-            apart, article = False, False
-            for tag, away, main in self.open:
-                if main:
-                    article = True
+            apart, within = False, []
+            for tag, away, article in self.open:
+                if article >= 0:
+                    within.append(article)
                 # a header inside an article holds its headline
-                if away and not (tag == "header" and article):
+                if away and not (tag == "header" and within):
                     apart = True
-            self.blocks.append((text, self.linked, apart, article))
+            self.blocks.append(Block(text, self.linked, apart, tuple(within)))
         self.pieces, self.linked = [], 0
 
     def _read(self, html: str) -> None:
@@ -112,36 +161,81 @@ class Page:
             return
         named = {w for m in _NAMED.finditer(attributes) for w in re.split(r"[^a-z0-9]+", "".join(filter(None, m.groups())).lower())}
         away = tag in APART or (bool(named & set(NAMES)) and tag not in ("html", "body", "article", "main"))
-        self.open.append((tag, away, tag in ("article", "main") or "main" in named and "role" in attributes))
+        article = -1
+        if tag in ("article", "main") or "main" in named and "role" in attributes:
+            article = len(self.articles)
+            self.articles.append(tag)
+        self.open.append((tag, away, article))
+
+
+def function_share(text: str) -> float:
+    """Share of function words, in the language of which there are most."""
+    words = _WORDS.findall(text.lower())
+    hits = Counter(lang for w in words for lang in _LANGUAGES.get(w, ()))
+    return max(hits.values(), default=0) / len(words) if words else 0.0
+
+
+def size(text: str) -> int:
+    return len(text) if text.isascii() else len(text) + 2 * len(_WIDE.findall(text))
+
+
+def prose(block: Block) -> bool:
+    """Whether neither the part of the page nor links make the block boilerplate."""
+    return not block.apart and block.linked <= LINKS * len(block.text)
 
 
-def function_share(text: str, listed: frozenset = frozenset(FUNCTION_WORDS)) -> float:
-    words = re.findall(r"[^\W\d_]+", text.lower())
-    return sum(w in listed for w in words) / len(words) if words else 0.0
+def evidence(page: Page, shares: list[float], known: bool) -> list[bool | None]:
+    """For each block whether it stands in the page's article (True), in a card (False) or in neither."""
+    own: Counter = Counter()
+    for block, share in zip(page.blocks, shares, strict=True):
+        if prose(block):
+            n = size(block.text)
+            if block.within:
+                own[block.within[-1]] += n - block.linked
+            elif n >= LONG and (share >= MANY or share < FEW and not known):
+                own[-1] += n
+    best = max(own.values(), default=0)
+    several = sum(page.articles[k] == "article" for k in own if k >= 0) > 1
+    held = {k for k, n in own.items() if k >= 0 and (n >= CARD * best or page.articles[k] == "article" and not several)}
+    held = {k for b in page.blocks for i, k in enumerate(b.within) if any(x in held for x in b.within[i:])}
+    return [
+        None if not b.within else True if b.within[-1] in held else False if page.articles[b.within[-1]] == "article" else None
+        for b in page.blocks
+    ]
 
 
-def decide(block: tuple[str, int, bool, bool], has_article: bool) -> bool | None:
-    """First pass: whether a block is text; None if it does not say."""
-    text, linked, apart, article = block
-    if apart or (has_article and not article):
+def decide(block: Block, share: float, article: bool | None, known: bool) -> bool | None:
+    """First pass: whether a block is text; None if it does not say. ``share`` is that of function words,
+    ``known`` whether the page's language has a list of them."""
+    if block.apart:
         return False
-    if linked > LINKS * len(text):
-        return None if article and len(text) >= SHORT else False
-    if article:
+    n = size(block.text)
+    if not prose(block):
+        return None if article and n >= SHORT else False
+    if n < SHORT:
+        return article
+    few = share < FEW
+    if n < LONG:
+        return None if few and known else article
+    if share >= MANY or few and not known:
         return True
-    if len(text) < SHORT:
-        return None
-    share = function_share(text)
-    if share >= MANY:
-        return True if len(text) >= LONG else None
-    return False if share < FEW and len(text) >= LONG else None
+    if few:
+        return None if article else False
+    return article or None
 
 
 def main_text(html: str) -> str:
     """The text blocks of a page, one per line."""
-    blocks = Page(html).blocks
-    has_article = any(article and not apart for _, _, apart, article in blocks)
-    first = [decide(b, has_article) for b in blocks]
+    page = Page(html)
+    blocks = page.blocks
+    shares = [function_share(b.text) if prose(b) and size(b.text) >= SHORT else 0.0 for b in blocks]
+    weights = [size(b.text) if prose(b) and size(b.text) >= SHORT else 0 for b in blocks]
+    known = sum(x * n for x, n in zip(shares, weights, strict=True)) >= FEW * sum(weights)
+    articles = evidence(page, shares, known)
+    has_article = True in articles
+    first = [decide(*x, known) for x in zip(blocks, shares, articles, strict=True)]
+    if True not in first:
+        first = [True if x is None and size(b.text) >= LONG else x for x, b in zip(first, blocks, strict=True)]
     before, after, last = [], [], None
     for k, x in enumerate(first):
         last = (k, x) if x is not None else last
@@ -156,13 +250,15 @@ def main_text(html: str) -> str:
         x = first[k]
         if x is None:
             a, b = before[k], after[k]
-            if a and b and a[1] != b[1]:
+            if has_article and not (a and b and a[1] == b[1]):
+                x = articles[k] is True
+            elif a and b and a[1] != b[1]:
                 near, far = k - a[0], b[0] - k
-                x = a[1] if near < far else b[1] if far < near else block[3]
+                x = near < far if a[1] else far < near
             else:
                 x = a[1] if a else b[1] if b else True
         if x:
-            kept.append(block[0])
+            kept.append(block.text)
     return "\n".join(kept)
 
 

@@ -278,6 +278,35 @@ def test_blocks_without_an_article():
     assert extraction.main_text(page).split("\n") == [long.strip(), "Yes.", long.strip()] or "Imprint" not in extraction.main_text(page)
 
 
+def test_cards_do_not_displace_the_text_of_a_page():
+    long = "The rain in the north of the land was heavy and it fell for a day. " * 8
+    cards = "".join(f"<article><h3>Card {k}</h3><p>A short word on a thing that was {k}.</p></article>" for k in range(3))
+    text = f"<div><p>{long}</p><p>Yes.</p><p>{long}</p></div>"
+    want = [long.strip(), "Yes.", long.strip()]
+    for page in (text + cards, cards + text, f"<main>{text}{cards}</main>"):
+        assert extraction.main_text(page).split("\n") == want
+    listed = "red blue green grey brown pink black white " * 10
+    menu = " ".join(f"<a href={i}>item {i}</a>" for i in range(30))
+    kept = extraction.main_text(f"<article><p>{long}</p></article><div>{listed}</div><div>{menu}</div><p>{long}</p>")
+    assert kept.split("\n") == [long.strip()] * 2
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "Wczoraj w nocy padał deszcz i na drogach było ślisko, ale to nie jest nic nowego o tej porze roku. ",
+        "Вчера ночью шёл дождь и на дорогах было скользко, но это не новость для города в это время года. ",
+        "Gister aond raende't en de waege woare glad, meh dat is gein nuuts veur die stad inne herfst. ",
+        "Qanittaq ullumi sila nuannersoq, taamaattumik inuit amerlasuut silami pisuttuarput nuannaarlutik. ",
+        "昨天夜里下了一场大雨，城里的道路都很滑，不过在这个季节并不是什么新鲜事。",
+    ],
+)
+def test_text_of_further_languages_is_kept(text):
+    menu = " ".join(f"<a href={i}>item {i}</a>" for i in range(30))
+    page = f"<div>{menu}</div><div>{text * 4}</div><div>{menu}</div>"
+    assert extraction.main_text(page) == (text * 4).strip()
+
+
 def test_pipeline_stages(spark, tables):
     docs = tables("documents")
     for name, stage in corpus_pipeline.STAGES[:-1]:
