@@ -32,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .components import components
 from .scratch import stored
@@ -333,6 +334,12 @@ def jaccard_components(
     document is linked with nothing: its component is itself. Repeated rows are rows of one set. A
     null doc_id takes part, but is no component's name unless the component has no other.
     """
+    of = _of_components(docs, width, num, den, text)
+    return of.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def _of_components(docs: DataFrame, width: int, num: int, den: int, text: str) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n, id of its set, component (a set's id) and component_id."""
     if not 2 * num > den > num > 0:
         raise ValueError("the similarity has to be between a half and one")
     docs = docs.select("doc_id", F.col(text).alias("text"))
@@ -363,26 +370,43 @@ def jaccard_components(
     named = sets.join(of, "id", "left").withColumn("component", F.coalesce("component", "id"))
     least = named.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     out = named.join(least, "component", "left")
-    return out.select(
-        "doc_id",
-        F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
-    )
+    name = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", "n", "id", "component", name.alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, text: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` without those whose component has a smaller doc_id; all columns stay.
-    Rows that repeat both doc_id and text become one. Documents without doc_id are kept."""
-    of = stored(jaccard_components(docs, text=text, **options))
+def _with_set(width: int, text: str):
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, text):
+                codes = [set_code(x) for x in shingle_sets(part[text], width)]
+                yield part.append_column("__id", pa.array(codes, pa.int64()))
+
+    return run
+
+
+def one_of_each(docs: DataFrame, text: str = "text", width: int = 4, num: int = 85, den: int = 100) -> DataFrame:
+    """One row of each component of ``docs``, that with the smallest doc_id; all columns stay. Of rows
+    of one component that share this doc_id one is kept, that with the least text; texts without words
+    are one row for each doc_id and text. Documents without doc_id are kept."""
+    of = stored(_of_components(docs, width, num, den, text))
     dropped = of.where("doc_id != component_id").select("doc_id").distinct()
     repeated = of.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    kept = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
     if repeated.isEmpty():
-        return kept
+        return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
     repeated = stored(repeated)
-    single = kept.join(repeated, "doc_id", "left_anti").select(*docs.columns)
-    several = kept.join(repeated, "doc_id", "left_semi").select(*docs.columns)
-    return single.unionByName(several.dropDuplicates(["doc_id", text]))
+    single = docs.join(dropped.unionByName(repeated), "doc_id", "left_anti").select(*docs.columns)
+    # a doc_id does not tell its rows apart: they are known by their sets too
+    several = docs.join(repeated, "doc_id", "left_semi").select(*docs.columns)
+    several = several.mapInArrow(_with_set(width, text), StructType([*several.schema, StructField("__id", LongType())]))
+    own = of.join(repeated, "doc_id", "left_semi").distinct().select(
+        F.col("doc_id").alias("__doc"), F.col("id").alias("__set"), F.struct("n", "component", "component_id").alias("__of")
+    )
+    several = several.join(own, (F.col("doc_id") == F.col("__doc")) & (F.col("__id") == F.col("__set")))
+    empty = several.where("__of.n = 0").dropDuplicates(["doc_id", text])
+    order = Window.partitionBy("__of.component").orderBy(text)
+    first = several.where("__of.n > 0 and doc_id = __of.component_id").withColumn("__k", F.row_number().over(order))
+    first = first.where("__k = 1")
+    return single.unionByName(empty.select(*docs.columns)).unionByName(first.select(*docs.columns))
 
 
 #: The query over ``documents`` as SQL, by counting the common shingles of all pairs that have any.

@@ -93,6 +93,17 @@ def test_one_of_each(docs):
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 3, 4]
 
 
+def test_one_of_each_tells_rows_of_a_doc_id_apart(docs, clashing):
+    a, b, near = "a b c d e f", "other words in here now", "one two three four five six seven eight nine ten "
+    rows = [(3, a), (5, a), (5, b), (7, near + "end"), (7, near + "END "), (7, near * 9), (7, near * 9 + "x"), (8, near * 9)]
+    rows += [(9, None), (9, ""), (9, ""), (None, a), (4, near + "end")]
+    df = clashing(docs(rows))
+    kept = one_of_each(df, width=5, num=80)
+    assert kept.columns == df.columns
+    want = [(3, a), (4, near + "end"), (5, b), (7, near * 9), (9, None), (9, ""), (None, a)]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(want, key=str)
+
+
 def test_empty_tables(spark, docs):
     none = docs([])
     assert jaccard_components(none).count() == 0
