@@ -16,7 +16,13 @@ from .mixing import MIXED_SQL, mixed
 from .neighbours import nearest
 from .quality import quality
 from .sharding import sharded
+from .spelling import VARIANTS_SQL, counted_words, spelling_variants
+from .token_files import written
 from .toxicity import toxicity
+from .vector_codes import CODES_SQL, codes_digest
+
+#: The tokenizer of ``op13``, a file on every machine.
+TOKENIZER = "word_bpe_49k.json"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +71,20 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages(_table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes_digest(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(counted_words(_table(spark, sf_dir, "documents")))
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return written(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER)).digest(spark)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
@@ -76,10 +96,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_extraction": op8_html_extraction,
     "op9_sharding": op9_sharding,
     "op10_language_id": op10_language_id,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_token_files": op13_token_files,
 }
 
 ORACLES: dict[str, str] = {
     "op1_ngram_jaccard_join": JOINED_SQL,
     "op2_benchmark_decontamination": CONTAMINATION_SQL,
     "op7_source_mixing": MIXED_SQL,
+    "op11_vector_codes": CODES_SQL,
+    "op12_spelling_variants": VARIANTS_SQL,
 }

@@ -35,6 +35,12 @@ def stored(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def deleted(spark: SparkSession, path: str) -> None:
+    """Deletes a table of the shared folder that is not read again."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def shipped(spark: SparkSession, value) -> Broadcast:
     """Broadcasts an object of this package; ``received`` gives it back in a task."""
     return spark.sparkContext.broadcast(cloudpickle.dumps(value))
