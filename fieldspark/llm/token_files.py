@@ -25,11 +25,13 @@ nothing that is read.
 
 from __future__ import annotations
 
+import sys
 import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -54,15 +56,20 @@ _SPACE, _JOINED, _LETTER, _DIGIT, _OTHER = range(5)
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint8) + 1
 
 
-def encode(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Control bytes and data bytes of unsigned 32-bit numbers."""
+def _controls(extra: np.ndarray) -> np.ndarray:
+    """Control bytes of four two-bit lengths each."""
+    return (extra.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(axis=1, dtype=np.uint8)
+
+
+def encode(numbers: np.ndarray, place: np.ndarray | None = None, places: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Control bytes and data bytes of unsigned 32-bit numbers. ``place``: where among ``places`` (a
+    multiple of four) each number's length stands, one after another unless given."""
     numbers = numbers.astype("<u4")
     extra = (numbers > 0xFF).astype(np.uint8) + (numbers > 0xFFFF) + (numbers > 0xFFFFFF)
-    control = np.zeros(-(-len(numbers) // 4) * 4, np.uint8)
-    control[: len(numbers)] = extra
-    control = control.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)
+    lengths = np.zeros(-(-len(numbers) // 4) * 4 if place is None else places, np.uint8)
+    lengths[slice(len(numbers)) if place is None else place] = extra
     data = numbers.view(np.uint8).reshape(-1, 4)
-    return control.sum(axis=1, dtype=np.uint8), data[np.arange(4) <= extra[:, None]]
+    return _controls(lengths), data[np.arange(4) <= extra[:, None]]
 
 
 def decode(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
@@ -111,8 +118,18 @@ class UnitTokenizer:
         self.known: dict[str, int] = {}
         self.ids, self.ends = array("I"), array("q", [0])
 
-    def _encoded(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _encoded(self, texts: list[str]) -> Iterator[list[int]]:
+        for k in range(0, len(texts), 10_000):
+            for e in self.tokenizer.encode_batch_fast(texts[k : k + 10_000], add_special_tokens=False):
+                yield e.ids
+
+    def _encoded_units(self, units: list[str]) -> Iterator[list[int]]:
+        """Units of a-z alone need neither normalising nor splitting, only the tokenizer's model."""
+        plain = [u.isascii() and u.isalpha() and u.islower() for u in units]
+        others = self._encoded([u for u, p in zip(units, plain, strict=True) if not p])
+        tokenize = self.tokenizer.model.tokenize
+        for u, p in zip(units, plain, strict=True):
+            yield [t.id for t in tokenize(u)] if p else next(others)
 
     def bounds(self, data: np.ndarray, offsets: np.ndarray):
         """Starts and ends of all units, and for each row the index of its first unit (n + 1)."""
@@ -136,7 +153,7 @@ class UnitTokenizer:
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, and how many each has; null counts as empty."""
         if not self.units:
-            each = self._encoded([x or "" for x in column.to_pylist()])
+            each = list(self._encoded([x or "" for x in column.to_pylist()]))
             lengths = np.array([len(x) for x in each], np.int64)
             return np.fromiter((i for x in each for i in x), np.uint32, int(lengths.sum())), lengths
         data, offsets = text_buffer(column)
@@ -151,7 +168,7 @@ class UnitTokenizer:
             self._forget()
         distinct = units.dictionary.to_pylist()
         new = [u for u in distinct if u not in self.known]
-        for u, ids in zip(new, self._encoded(new), strict=True):
+        for u, ids in zip(new, self._encoded_units(new), strict=True):
             self.known[u] = len(self.known)
             self.ids.extend(ids)
             self.ends.append(len(self.ids))
@@ -164,65 +181,88 @@ class UnitTokenizer:
         return ids, total[first[1:]] - total[first[:-1]]
 
 
-def _tokenized(path: str, units: bool, end: int | None):
+def _of_this_worker(path: str, units: bool) -> UnitTokenizer:
+    """The tokenizer of this Python process. Functions travel with each task by value, so a global of
+    this module would not outlive it; a module that only this process has does."""
+    kept = sys.modules.setdefault("fieldspark_worker", ModuleType("fieldspark_worker")).__dict__
+    return kept.get((path, units)) or kept.setdefault((path, units), UnitTokenizer(path, units))
+
+
+def _tokenized(path: str, units: bool, end: int | None, kind: np.dtype):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = UnitTokenizer(path, units)
+        tokenizer = _of_this_worker(path, units)
         for whole in batches:
             for batch in slices(whole, "text", AT_ONCE):
                 ids, lengths = tokenizer(batch["text"])
                 if end is not None:
                     ids = np.insert(ids, np.cumsum(lengths), end)
                     lengths = lengths + 1
-                kind = np.dtype("<u2") if not len(ids) or ids.max() < 1 << 16 else np.dtype("<u4")
                 bounds = np.concatenate([[0], np.cumsum(lengths)]) * kind.itemsize
-                raw = ids.astype(kind).tobytes()
-                blobs = pa.array([raw[a:b] for a, b in zip(bounds, bounds[1:], strict=False)], pa.binary())
-                wide = pa.array(np.full(len(lengths), kind.itemsize == 4))
-                yield pa.RecordBatch.from_arrays([batch["doc"], blobs, wide], ["doc", "ids", "wide"])
+                yield pa.RecordBatch.from_arrays([batch["doc"], _binary(ids.astype(kind), bounds)], ["doc", "ids"])
 
     return run
 
 
-def _rows_of(batch: pa.RecordBatch, name: str, size: int = AT_ONCE) -> Iterator[pa.RecordBatch]:
+def _binary(data: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """A binary column of the bytes between the bounds."""
+    buffers = [None, pa.py_buffer(np.ascontiguousarray(bounds, np.int64)), pa.py_buffer(np.ascontiguousarray(data))]
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds) - 1, buffers).cast(pa.binary())
+
+
+def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a binary column without nulls, and the n + 1 bounds of its rows."""
+    if not len(column):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    _, offsets, data = column.buffers()
+    offsets = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
+    return data[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def _rows_of(batch: pa.RecordBatch, name: str, size: int) -> Iterator[pa.RecordBatch]:
     """Runs of rows with about ``size`` bytes in a binary column."""
-    bytes_of = np.cumsum(np.asarray(pc.binary_length(batch[name]), dtype=np.int64))
+    bounds = _bytes_of(batch[name])[1]
     at = 0
     while at < batch.num_rows:
-        before = bytes_of[at - 1] if at else 0
-        end = max(at + 1, int(np.searchsorted(bytes_of, before + size, "right")))
+        end = max(at + 1, int(np.searchsorted(bounds, bounds[at] + size, "right")) - 1)
         yield batch.slice(at, end - at)
         at = end
 
 
-def _ids_of(batch: pa.RecordBatch) -> list[np.ndarray]:
-    wide = batch["wide"].to_pylist()
-    return [np.frombuffer(b, "<u4" if w else "<u2") for b, w in zip(batch["ids"].to_pylist(), wide, strict=True)]
-
+def _counted(kind: np.dtype):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(0, np.int64)
+        for whole in batches:
+            for batch in _rows_of(whole, "ids", AT_ONCE):
+                seen = np.bincount(_bytes_of(batch["ids"])[0].view(kind), minlength=len(total))
+                seen[: len(total)] += total
+                total = seen
+        ids = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(total[ids], pa.int64())], ["id", "n"])
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(0, np.int64)
-    for whole in batches:
-        for batch in _rows_of(whole, "ids"):
-            ids = _ids_of(batch)
-            seen = np.bincount(np.concatenate(ids)) if sum(map(len, ids)) else total[:0]
-            total, seen = (total, seen) if len(total) >= len(seen) else (seen, total)
-            total[: len(seen)] += seen
-    ids = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(total[ids], pa.int64())], ["id", "n"])
+    return run
 
 
-def _coded(ranks_of):
-    """Each document's ids as ranks in their coding: control bytes, then data bytes."""
+def _coded(ranks_of, kind: np.dtype):
+    """Each document's ids as ranks in their coding: its control bytes, then its data bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = received(ranks_of)
         for whole in batches:
-            for batch in _rows_of(whole, "ids"):
-                lengths, blobs = [], []
-                for ids in _ids_of(batch):
-                    control, data = encode(rank[ids])
-                    lengths.append(len(ids))
-                    blobs.append(control.tobytes() + data.tobytes())
+            for batch in _rows_of(whole, "ids", AT_ONCE):
+                raw, bounds = _bytes_of(batch["ids"])
+                bounds = bounds // kind.itemsize
+                lengths = np.diff(bounds)
+                whole4 = -(-lengths // 4) * 4  # each document begins with a control byte of its own
+                at = np.cumsum(whole4) - whole4
+                place = np.arange(bounds[-1]) + np.repeat(at - bounds[:-1], lengths)
+                control, data = encode(rank[raw.view(kind)], place, int(whole4.sum()))
+                sizes = np.zeros(int(whole4.sum()), np.int64)
+                sizes[place] = LENGTHS[control].ravel()[place]
+                data_to = np.concatenate([[0], np.cumsum(sizes)])[np.append(at, whole4.sum())].tolist()
+                control_to = (np.append(at, whole4.sum()) // 4).tolist()
+                c, d = control.tobytes(), data.tobytes()
+                blobs = [c[control_to[k] : control_to[k + 1]] + d[data_to[k] : data_to[k + 1]] for k in range(len(lengths))]
                 yield pa.RecordBatch.from_arrays(
                     [batch["doc"], pa.array(lengths, pa.int64()), pa.array(blobs, pa.binary())], ["doc", "n", "coded"]
                 )
@@ -243,7 +283,6 @@ def _frame(docs: pa.Array, lengths: np.ndarray, blobs: list[bytes]) -> bytes:
     extra = (LENGTHS[control].ravel() - 1)[used]
     joined = np.zeros(-(-len(extra) // 4) * 4, np.uint8)
     joined[: len(extra)] = extra
-    joined = (joined.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(axis=1, dtype=np.uint8)
     has = np.asarray(pc.is_valid(docs)).astype(np.uint8)
     return b"".join(
         [
@@ -252,7 +291,7 @@ def _frame(docs: pa.Array, lengths: np.ndarray, blobs: list[bytes]) -> bytes:
             has.tobytes(),
             np.asarray(docs.fill_null(0)).astype("<i8").tobytes(),
             lengths.astype("<u8").tobytes(),
-            joined.tobytes(),
+            _controls(joined).tobytes(),
             data,
         ]
     )
@@ -269,7 +308,7 @@ def _filed(folder: str):
         place, name = TaskContext.get().partitionId(), f"{uuid.uuid4().hex}.ids"
         out, docs, ids = None, 0, 0
         for whole in batches:
-            for batch in _rows_of(whole, "coded"):
+            for batch in _rows_of(whole, "coded", AT_ONCE):
                 out = out or store.open_output_stream(f"{path}/{name}")
                 lengths = batch["n"].to_numpy()
                 out.write(_frame(batch["doc"], lengths, batch["coded"].to_pylist()))
@@ -366,14 +405,16 @@ def written(
     spark = docs.sparkSession
     path = path or f"{shared_folder(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"
     rows = docs.select(F.col(id).cast("long").alias("doc"), F.col(text).alias("text"))
-    ids = stored(rows.mapInArrow(_tokenized(tokenizer, units, end), "doc long, ids binary, wide boolean"))
+    largest = max([*UnitTokenizer(tokenizer).tokenizer.get_vocab().values(), end or 0])
+    kind = np.dtype("<u2") if largest < 1 << 16 else np.dtype("<u4")
+    ids = stored(rows.mapInArrow(_tokenized(tokenizer, units, end, kind), "doc long, ids binary"))
 
-    counts = ids.select("ids", "wide").mapInArrow(_counted, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counts = ids.select("ids").mapInArrow(_counted(kind), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     by_rank = np.array([r.id for r in counts.orderBy(F.desc("n"), "id").select("id").collect()], "<u4")
     rank = np.zeros(int(by_rank.max()) + 1 if len(by_rank) else 1, "<u4")
     rank[by_rank] = np.arange(len(by_rank))
 
-    coded = ids.mapInArrow(_coded(shipped(spark, rank)), "doc long, n long, coded binary")
+    coded = ids.mapInArrow(_coded(shipped(spark, rank), kind), "doc long, n long, coded binary")
     order = [F.asc_nulls_last("doc"), F.xxhash64("coded")]
     files = coded.repartitionByRange(*order).sortWithinPartitions(*order, "coded")
     files.mapInArrow(_filed(_made(spark, path, by_rank)), "place long, file string, docs long, ids long").write.parquet(f"{path}/files")
