@@ -25,6 +25,7 @@ nothing that is read.
 
 from __future__ import annotations
 
+import re
 import sys
 import uuid
 import zlib
@@ -47,8 +48,10 @@ from .words import LOWER, SPACED, slices, text_buffer
 MAGIC = b"FTK1"
 #: Bytes of text that are tokenised, and of coded documents that are written, at once.
 AT_ONCE = 2 << 20
-#: Units of text whose ids a task remembers; beyond them it forgets all.
-REMEMBERED = 500_000
+#: Units of text whose ids a Python worker remembers, some 200 bytes each; beyond them it forgets all.
+REMEMBERED = 1_200_000
+
+_SMALL = re.compile("[a-zß-öø-ÿ]+")
 
 _SPACE, _JOINED, _LETTER, _DIGIT, _OTHER = range(5)
 
@@ -90,7 +93,7 @@ class UnitTokenizer:
     """Ids of texts by a tokenizer that works on each unit of a text by itself, so that a unit is encoded
     once and remembered.
 
-    ``units=True`` is for tokenizers that lower-case, drop white space, and split letters, single
+    ``units=True`` is for byte-level tokenizers that lower-case, drop white space, and split letters, single
     digits and other characters, contractions (``'s``) apart. A unit then ends at ASCII white space and between two ASCII characters
     of different kinds, but not within a contraction, next to a non-ASCII character (it may combine with its
     neighbour) or next to a character that stands in a special token. ``units=False`` encodes each text as a whole.
@@ -98,8 +101,10 @@ class UnitTokenizer:
 
     def __init__(self, path: str, units: bool = True):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.letters = ByteLevel(add_prefix_space=False, use_regex=False)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.units = units
@@ -124,11 +129,14 @@ class UnitTokenizer:
                 yield e.ids
 
     def _encoded_units(self, units: list[str]) -> Iterator[list[int]]:
-        """Units of a-z alone need neither normalising nor splitting, only the tokenizer's model."""
-        plain = [u.isascii() and u.isalpha() and u.islower() for u in units]
+        """Units of small letters alone need neither normalising nor splitting, only the tokenizer's
+        model, and before it the bytes' letters where some are not ASCII."""
+        plain = [_SMALL.fullmatch(u) is not None for u in units]
         others = self._encoded([u for u, p in zip(units, plain, strict=True) if not p])
         tokenize = self.tokenizer.model.tokenize
         for u, p in zip(units, plain, strict=True):
+            if p and not u.isascii():
+                u = self.letters.pre_tokenize_str(u)[0][0]
             yield [t.id for t in tokenize(u)] if p else next(others)
 
     def bounds(self, data: np.ndarray, offsets: np.ndarray):
@@ -166,7 +174,7 @@ class UnitTokenizer:
         units = runs.take(pa.array(np.arange(0, len(turns) - 1, 2))).dictionary_encode()
         if len(self.known) > REMEMBERED or len(self.ids) > 16 * REMEMBERED:
             self._forget()
-        distinct = units.dictionary.to_pylist()
+        distinct = units.dictionary.to_numpy(zero_copy_only=False).tolist()
         new = [u for u in distinct if u not in self.known]
         for u, ids in zip(new, self._encoded_units(new), strict=True):
             self.known[u] = len(self.known)
