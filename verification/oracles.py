@@ -358,7 +358,108 @@ def _rounded(column: str) -> str:
     return f"cast(round(cast({column} as decimal(18, 8)), 2) as double) as {column}"
 
 
+_TRAINING = f"""
+select descripcion, grupo_forza, llave, desarrollo, kilos_cosechados, frutas,
+  {", ".join(f"cast({c.strip()} as double) as {c.strip()}" for c in _NUMERIC.split(","))},
+  kilos_cosechados / area as rendimiento
+from ({_FEATURES}) f where kilos_cosechados is not null and area <> 0"""
+
+
+def _models(folds: int) -> str:
+    """CTEs up to `model`: for each crop and fold (all rows with one fold) the labels' mean, and weight
+    and mean of each input. Correlations with a penalty, solved by elimination without pivoting."""
+    names = [c.strip() for c in _NUMERIC.split(",")]
+    p, label = len(names), len(names) + 1
+    first = [k for k, c in enumerate(names, 1) if c not in ("productividad_pc", "recuperacion_pc", "edad_inicio_sc")]
+    second = [k for k, c in enumerate(names, 1) if c != "dias_hasta_siembra_grupo"]
+    return f"""trained as materialized (
+  select *, row_number() over () as id, ('0x' || substr(md5(llave), 1, 7))::int % {folds} as parte,
+    [1.0, {", ".join(names)}, rendimiento]::double[] as x
+  from ({_TRAINING}) t
+), entry as materialized (select id, desarrollo, parte, k, x[k + 1] as x from trained, range({p + 2}) r(k) where x[k + 1] is not null
+), moment as materialized (
+  select a.desarrollo, a.parte, a.k as i, b.k as j, count(*) as n, sum(a.x) as si, sum(b.x) as sj, sum(a.x * b.x) as sij
+  from entry a join entry b on a.id = b.id and a.k <= b.k group by all
+), seen as (
+  select o.desarrollo, o.parte, i, j, sum(n) as n, sum(si) as si, sum(sj) as sj, sum(sij) as sij
+  from moment m join (select distinct desarrollo, parte from trained) o
+    on m.desarrollo = o.desarrollo and ({folds} = 1 or m.parte <> o.parte)
+  group by all
+), mean as (select desarrollo, parte, j as k, sj / n as m from seen where i = 0
+), spread as (
+  select s.desarrollo, s.parte, i, j, sij, sij - a.m * sj - b.m * si + n * a.m * b.m as c
+  from seen s join mean a on (a.desarrollo, a.parte, a.k) = (s.desarrollo, s.parte, s.i)
+  join mean b on (b.desarrollo, b.parte, b.k) = (s.desarrollo, s.parte, s.j)
+), used as (
+  select desarrollo, parte, i as k, sqrt(c) as unit from spread
+  where i = j and c > 1e-9 * sij
+    and list_contains(case desarrollo when 'PC' then {first} else {second} end, i)
+), cell as (
+  select s.desarrollo, s.parte, i, j, c / a.unit / case when j = {label} then 1 else b.unit end as v
+  from spread s join used a on (a.desarrollo, a.parte, a.k) = (s.desarrollo, s.parte, s.i)
+  left join used b on (b.desarrollo, b.parte, b.k) = (s.desarrollo, s.parte, s.j)
+  where j = {label} or b.unit is not null
+), full_cell as (
+  select desarrollo, parte, i, j, case when i = j then 1 + 0.01 else v end as v from cell
+  union all select desarrollo, parte, j, i, v from cell where i < j and j < {label}
+), equation as (
+  select desarrollo, parte, list(line order by i) as a from (
+    select o.desarrollo, o.parte, i, list(coalesce(v, case when i = j then 1 else 0 end) order by j) as line
+    from (select distinct desarrollo, parte from mean) o cross join range(1, {p + 1}) r(i) cross join range(1, {p + 2}) q(j)
+    left join full_cell f using (desarrollo, parte, i, j) group by all) l
+  group by all
+), solving as (
+  select desarrollo, parte, 1 as k, a from equation
+  union all select desarrollo, parte, k + 1, list_transform(a, lambda line, i: case when i = k
+      then list_transform(line, lambda v: v / line[k])
+      else list_transform(line, lambda v, j: v - line[k] * a[k][j] / a[k][k]) end)
+  from solving where k <= {p}
+), term as (
+  select desarrollo, parte, r.k, a[r.k][{label}] / unit as w, m
+  from (select desarrollo, parte, a from solving where k = {label}) s cross join range(1, {label}) r(k)
+  join used using (desarrollo, parte, k) join mean using (desarrollo, parte, k)
+), model as (
+  select b.desarrollo, b.parte, b.m as base, list([t.k, w, t.m]) filter (t.k is not null) as terms
+  from mean b left join term t on (t.desarrollo, t.parte) = (b.desarrollo, b.parte) where b.k = {label} group by all
+)"""
+
+
+def _predicted(x: str) -> str:
+    """The model's prediction for a list of inputs."""
+    return (
+        f"base + coalesce(list_sum(list_transform(terms, lambda t: coalesce(t[2] * (({x})[t[1]::int] - t[3]), 0))), 0)"
+    )
+
+
+_FOLDS = f"""with recursive {_models(5)}
+select llave, desarrollo, cast(parte as int) as parte, rendimiento, {_predicted("x[2:]")} as prediccion
+from trained left join model using (desarrollo, parte)"""
+
 _SQL = {
+    "harvest_forecast_linear": f"""select * from (with recursive {_models(1)}
+select llave, desarrollo, "Semanas adicionales", "peso forza proyectado", area, round(prediccion, 6) as prediccion,
+  round(prediccion * area, 3) as "kilos proyectados"
+from (
+  select f.*, {_predicted("[" + _NUMERIC + "]::double[]")} as prediccion
+  from (__FEATURED__) f left join model using (desarrollo)) p) q""".replace(
+        "__FEATURED__",
+        _FEATURES.replace("select area,", 'select "Semanas adicionales", "peso forza proyectado", area,').replace(
+            _MODEL_BASE,
+            f"""
+select m.* exclude (finduccion, mean_fecha_cosecha, peso_forza), paso as "Semanas adicionales",
+  r.peso + 200 * paso as "peso forza proyectado", (r.peso + 200 * paso) / 1000 as peso_forza,
+  {AS_OF} + dias as finduccion, {AS_OF} + dias + 140 as mean_fecha_cosecha
+from ({_READY}) r join ({_MODEL_BASE}) m on m.llave = r.bloque
+cross join (values (0, 0), (1, 7), (2, 15), (3, 21), (4, 29)) v(paso, dias)""",
+        ),
+    ),
+    "harvest_folds": f"""
+select * replace (round(rendimiento, 6) as rendimiento, round(prediccion, 6) as prediccion) from ({_FOLDS}) f""",
+    "harvest_fold_errors": f"""
+select desarrollo, count(*) as filas, round(avg(abs(prediccion - rendimiento)), 6) as error_medio,
+  round(sqrt(avg((prediccion - rendimiento) ** 2)), 6) as error_cuadratico,
+  round(1 - avg((prediccion - rendimiento) ** 2) / var_pop(rendimiento), 6) as explicado
+from ({_FOLDS}) f where prediccion is not null group by desarrollo""",
     "in_list_filter": """
 select bloque, grupo, fecha, etapa, categoria, codigo_cedula from aplicaciones
 where etapa in ('Post Siembra', 'Post Deshija')""",
@@ -560,11 +661,7 @@ from ({_FEATURES}) f where desarrollo = 'PC'""",
     "features_sc": f"""
 select * exclude (media, ancho, dias_hasta_siembra_grupo)
 from ({_FEATURES}) f where desarrollo = 'SC'""",
-    "training_rows": f"""
-select descripcion, grupo_forza, llave, desarrollo, kilos_cosechados, frutas,
-  {", ".join(f"cast({c.strip()} as double) as {c.strip()}" for c in _NUMERIC.split(","))},
-  kilos_cosechados / area as rendimiento
-from ({_FEATURES}) f where kilos_cosechados is not null and area <> 0""",
+    "training_rows": _TRAINING,
     "projected_kilos": f"""
 select *, prediccion * area as "kilos proyectados" from (
   select m.llave, paso as "Semanas adicionales", s.peso + 200 * paso as "peso forza proyectado", area,

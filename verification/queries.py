@@ -17,6 +17,7 @@ from fieldspark.plans import (
     forecast,
     group_detail,
     groups,
+    harvest_model,
     program,
     status,
     weights,
@@ -158,6 +159,11 @@ def projected_kilos(t: Tables) -> DataFrame:
     return projected.select("llave", *extra, "area", "prediccion", "kilos proyectados")
 
 
+def rounded(df: DataFrame, digits: int, *names: str) -> DataFrame:
+    """What follows from sums in any order, to digits that all orders agree on."""
+    return df.withColumns({c: F.round(F.col(f"`{c}`"), digits) for c in names})
+
+
 ON_TABLES: dict[str, Callable[[Tables], DataFrame]] = {
     # Expressions and filters.
     "in_list_filter": in_list_filter,
@@ -244,6 +250,17 @@ ON_TABLES: dict[str, Callable[[Tables], DataFrame]] = {
     ),
     "training_rows": forecast.training_rows,
     "projected_kilos": projected_kilos,
+    "harvest_forecast_linear": lambda t: rounded(
+        rounded(
+            harvest_model.harvest_forecast_linear(t, AS_OF, PLANTED_SINCE), 3, "kilos proyectados"
+        ),
+        6,
+        "prediccion",
+    ),
+    "harvest_folds": lambda t: rounded(harvest_model.harvest_folds(t), 6, "rendimiento", "prediccion"),
+    "harvest_fold_errors": lambda t: rounded(
+        harvest_model.harvest_fold_errors(t), 6, "error_medio", "error_cuadratico", "explicado"
+    ),
     "harvest_forecast": lambda t: forecast.harvest_forecast(t, AS_OF, PLANTED_SINCE),
 }
 
