@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldspark.functions.rules import ratio
+from fieldspark.operators.asof import asof_join
 from fieldspark.operators.frames import first_per_key, where_equal
 from fieldspark.operators.quantiles import distribution
 from fieldspark.sources.tables import Tables
@@ -76,3 +77,15 @@ def last_weight_before_induction(t: Tables, of_blocks: DataFrame | None = None)
             (ratio(F.col("ultimo.suma"), F.col("ultimo.n")) / 1000).alias("peso_forza"),
         )
     )
+
+
+def weight_before_treatment(t: Tables) -> DataFrame:
+    """Every treatment with the last sampling day of its block before it, and that day's mean weight."""
+    treatments = t.aplicaciones.select("bloque", "codigo_cedula", "etapa", "categoria", "fecha")
+    days = daily_weights(t).select(
+        F.col("llave").alias("bloque"), F.col("fecha").alias("fecha_muestreo"), "suma", "n"
+    )
+    days = days.withColumn("dia", F.col("fecha_muestreo"))
+    found = asof_join(treatments, days, ["bloque"], "fecha", "dia", ["fecha_muestreo", "suma", "n"])
+    weight = ratio(F.col("suma"), F.col("n"))
+    return found.select(*treatments.columns, "fecha_muestreo", weight.alias("peso_planta"))

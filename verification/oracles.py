@@ -588,6 +588,12 @@ from pesoplanta group by llave, fecha""",
 select llave, fecha, cast(sum(valor) as double) / count(valor) as peso_planta
 from pesoplanta group by llave, fecha""",
     "last_weight_before_induction": _LAST_WEIGHT,
+    "weight_before_treatment": """
+select a.bloque, a.codigo_cedula, a.etapa, a.categoria, a.fecha, w.fecha as fecha_muestreo, w.peso as peso_planta
+from aplicaciones a asof left join (
+  select llave, fecha, cast(sum(valor) as double) / count(valor) as peso from pesoplanta
+  where fecha is not null group by llave, fecha) w
+  on a.bloque = w.llave and a.fecha > w.fecha""",
     "block_list": """
 select desarrollo || descripcion as label, desarrollo || blocknumber as value
 from blocks_desarrollo""",

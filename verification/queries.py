@@ -206,6 +206,7 @@ ON_TABLES: dict[str, Callable[[Tables], DataFrame]] = {
     "weight_distribution": weights.weight_distribution,
     "weights_by_day": weights.weights_by_day,
     "last_weight_before_induction": weights.last_weight_before_induction,
+    "weight_before_treatment": weights.weight_before_treatment,
     # Block detail.
     "block_list": blocks.block_list,
     "block_applications": blocks.block_applications,
