@@ -588,6 +588,11 @@ from pesoplanta group by llave, fecha""",
 select llave, fecha, cast(sum(valor) as double) / count(valor) as peso_planta
 from pesoplanta group by llave, fecha""",
     "last_weight_before_induction": _LAST_WEIGHT,
+    "last_weight_co_located": _LAST_WEIGHT,
+    "latest_weight_from_days": """
+select llave, fecha as fecha_muestreo, cast(sum(valor) as double) / count(valor) as peso_planta
+from pesoplanta group by llave, fecha
+qualify row_number() over (partition by llave order by fecha desc nulls first) = 1""",
     "weight_before_treatment": """
 select a.bloque, a.codigo_cedula, a.etapa, a.categoria, a.fecha, w.fecha as fecha_muestreo, w.peso as peso_planta
 from aplicaciones a asof left join (

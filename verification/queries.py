@@ -22,7 +22,8 @@ from fieldspark.plans import (
     status,
     weights,
 )
-from fieldspark.sources import store
+from fieldspark.sources import blockstore, daystate, store
+from fieldspark.sources.folders import new_folder
 from fieldspark.sources.fixture import AS_OF, PLANTED_SINCE, fixture_tables
 from fieldspark.sources.tables import Tables
 
@@ -164,6 +165,26 @@ def rounded(df: DataFrame, digits: int, *names: str) -> DataFrame:
     return df.withColumns({c: F.round(F.col(f"`{c}`"), digits) for c in names})
 
 
+def last_weight_co_located(t: Tables) -> DataFrame:
+    """The weights before induction from a store in buckets by block."""
+    spark, names = t.pesoplanta.sparkSession, ("pesoplanta", "blocks_desarrollo")
+    root = new_folder(spark, "blocks")
+    blockstore.write_block_store(t, root, 16, names)
+    return blockstore.BlockStore(spark, root, 16, names).by_block(weights.last_weight_before_induction)
+
+
+def latest_weight_from_days(t: Tables) -> DataFrame:
+    """Deliveries by month parity: late days after newer ones, wrong days corrected, and a repeat."""
+    spark, samples = t.pesoplanta.sparkSession, t.pesoplanta
+    state = daystate.weight_state(new_folder(spark, "days"))
+    even = F.coalesce(F.month("fecha") % 2 == 0, F.lit(False))
+    state.update(samples.where(even).withColumn("valor", F.lit(1).cast("decimal(12,2)")))  # wrong
+    state.update(samples.where(~even))
+    for _ in range(2):
+        state.update(samples.where(even))
+    return daystate.latest_weight(spark, state)
+
+
 ON_TABLES: dict[str, Callable[[Tables], DataFrame]] = {
     # Expressions and filters.
     "in_list_filter": in_list_filter,
@@ -206,6 +227,8 @@ ON_TABLES: dict[str, Callable[[Tables], DataFrame]] = {
     "weight_distribution": weights.weight_distribution,
     "weights_by_day": weights.weights_by_day,
     "last_weight_before_induction": weights.last_weight_before_induction,
+    "last_weight_co_located": last_weight_co_located,
+    "latest_weight_from_days": latest_weight_from_days,
     "weight_before_treatment": weights.weight_before_treatment,
     # Block detail.
     "block_list": blocks.block_list,
