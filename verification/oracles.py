@@ -658,6 +658,22 @@ select * replace ({_spanish("fecha_siembra")} as fecha_siembra) from (
     "current_group": _CURRENT,
     "weekly_program_rows": _program_rows(),
     "weekly_program_area": _PROGRAM_AREA,
+    "sql_last_samples": """
+select llave, fecha as fecha_muestreo, cast(sum(valor) as double) / count(valor) as peso_planta
+from pesoplanta group by llave, fecha
+qualify row_number() over (partition by llave order by fecha desc nulls first) = 1""",
+    "sql_formula_inputs": """
+select d.codigo as codigo_formula, d.insumo, a.nombre_insumo, d.categoria, d.cantha, d.descripcion
+from formulas_det d left join agroinsumos a on trim(d.insumo) = trim(a.insumo)""",
+    "sql_group_quality": """
+select grupo, categoria, etapa2, bloque, cast(aplicaciones_pendientes as bigint) as pendientes,
+  cast(num_aplicaciones_realizadas as bigint) as realizadas, cast(aplicaciones_con_retraso as bigint) as tardias,
+  cast(aplicaciones_muy_proximas as bigint) as adelantadas
+from calidad_aplicaciones where categoria = 'nutricion'""",
+    "sql_new_blocks": _NEW,
+    "sql_program_area": _PROGRAM_AREA,
+    "sql_program_area_page": f"""
+select * from ({_PROGRAM_AREA}) p where year(fecha) = 1999 and weekofyear(fecha) = 20""",
     "weekly_program": _program(),
     "weekly_program_page": _program("where year(fecha) = 1999 and weekofyear(fecha) = 20"),
     "forcing_candidates": _CANDIDATES,

@@ -19,6 +19,7 @@ from fieldspark.plans import (
     groups,
     harvest_model,
     program,
+    statements,
     status,
     weights,
 )
@@ -173,6 +174,17 @@ def last_weight_co_located(t: Tables) -> DataFrame:
     return blockstore.BlockStore(spark, root, 16, names).by_block(weights.last_weight_before_induction)
 
 
+def by_statement(name: str, **arguments) -> Callable[[Tables], DataFrame]:
+    """A report as SQL text, called with bound arguments."""
+
+    def run(t: Tables) -> DataFrame:
+        spark = t.pesoplanta.sparkSession
+        statements.register(spark, t, "granja_")
+        return statements.statement(spark, name, "granja_", **arguments)
+
+    return run
+
+
 def latest_weight_from_days(t: Tables) -> DataFrame:
     """Deliveries by month parity: late days after newer ones, wrong days corrected, and a repeat."""
     spark, samples = t.pesoplanta.sparkSession, t.pesoplanta
@@ -262,6 +274,13 @@ ON_TABLES: dict[str, Callable[[Tables], DataFrame]] = {
     "weekly_program_area": program.weekly_program_area,
     "weekly_program": program.weekly_program,
     "weekly_program_page": lambda t: program.weekly_program(t, 1999, 20),
+    # Reports as SQL text.
+    "sql_last_samples": by_statement("ultimo_muestreo"),
+    "sql_formula_inputs": by_statement("insumos_formula"),
+    "sql_group_quality": by_statement("calidad_grupo", de_categoria="nutricion"),
+    "sql_new_blocks": by_statement("bloques_nuevos", hoy=AS_OF),
+    "sql_program_area": by_statement("programa_semanal"),
+    "sql_program_area_page": by_statement("programa_semanal", anio=1999, semana=20),
     # Forcing and forecast.
     "forcing_candidates": lambda t: forcing.forcing_candidates(t, AS_OF, PLANTED_SINCE),
     "forcing_table": lambda t: forcing.forcing_table(t, AS_OF, PLANTED_SINCE),
