@@ -9,7 +9,7 @@ from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from fieldspark.functions.dates import months_between_days, quarter_share
@@ -104,6 +104,18 @@ def checked_crop(df: DataFrame) -> DataFrame:
     return df.withColumn("desarrollo", known)
 
 
+def counted_crops(df: DataFrame) -> tuple[DataFrame, Observation]:
+    """`df` as it is, and counts that are there once it has run: `observation.get` has `filas`, `desconocidas`
+    (neither PC nor SC) and `vacias` (null). For runs that report odd crops instead of failing on them."""
+    crop, observation = F.col("desarrollo"), Observation()
+    return df.observe(
+        observation,
+        F.count(F.lit(1)).alias("filas"),
+        F.count_if(~crop.isin("PC", "SC")).alias("desconocidas"),
+        F.count_if(crop.isNull()).alias("vacias"),
+    ), observation
+
+
 def model_features(base: DataFrame, *extra: str) -> DataFrame:
     """All features of the model base; `extra` columns are carried along."""
     chosen = checked_crop(base).select(*VARIABLES, *extra)

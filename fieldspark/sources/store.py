@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldspark.functions.text import plain_text
+from fieldspark.functions.markup import markup_text
 from fieldspark.sources.schemas import DATED, SCHEMAS
 from fieldspark.sources.tables import YEAR_PARTITION, Tables
 
@@ -41,10 +41,10 @@ def write_tables(tables: Tables, root: str, names: Iterable[str] | None = None)
 
 
 def export_plain(df: DataFrame) -> DataFrame:
-    """`df` with link markup in text columns reduced to its label, as exported tables show it."""
+    """`df` with the markup in text columns reduced to its text, as exported tables show it."""
     return df.select(
         *[
-            plain_text(F.col(f"`{f.name}`")).alias(f.name)
+            markup_text(F.col(f"`{f.name}`")).alias(f.name)
             if isinstance(f.dataType, T.StringType)
             else F.col(f"`{f.name}`")
             for f in df.schema.fields
@@ -58,3 +58,27 @@ def export_table(df: DataFrame, path: str, format: str = "csv") -> None:
     if format == "csv":
         writer = writer.option("header", True)
     writer.format(format).save(path)
+
+
+def export_files(
+    df: DataFrame, path: str, order: Sequence[Column], most_rows: int = 1_000_000, format: str = "csv"
+) -> None:
+    """Writes a result without markup in files of at most `most_rows` rows (a spreadsheet's, say) in the order of
+    `order`: the files by name, and the rows within each. Spark sorts by ranges, so no task has the whole result."""
+    ordered = export_plain(df).orderBy(*order)
+    writer = ordered.write.mode("overwrite").option("maxRecordsPerFile", most_rows)
+    if format == "csv":
+        writer = writer.option("header", True)
+    writer.format(format).save(path)
+
+
+def read_export(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of a parquet export with `orden`, their place in it from 0. The files before a file are
+    counted over one row a file."""
+    rows = spark.read.parquet(path).select(
+        "*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row")
+    )
+    before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    files = rows.groupBy("_file").agg(F.count("*").alias("_n"))
+    files = files.select("_file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return rows.join(F.broadcast(files), "_file").withColumn("orden", F.col("_before") + F.col("_row")).drop("_file", "_row", "_before")

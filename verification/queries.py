@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldspark.functions import dates, rules, text
+from fieldspark.functions.markup import markup_text
 from fieldspark.operators.frames import round_numbers
 from fieldspark.plans import (
     alerts,
@@ -174,6 +175,29 @@ def last_weight_co_located(t: Tables) -> DataFrame:
     return blockstore.BlockStore(spark, root, 16, names).by_block(weights.last_weight_before_induction)
 
 
+def markup_cells(t: Tables) -> DataFrame:
+    """Cells with every kind of markup around the values of each block."""
+    group, code, day = F.col("grupo_siembra"), F.col("descripcion"), F.col("fecha_siembra").cast("string")
+    link = text.link(F.concat(F.lit("**"), group, F.lit("**")), "/detalle?g=(", group, ")")
+    cells = t.blocks_desarrollo.select(
+        "bloque",
+        F.concat(F.lit("_"), F.col("desarrollo"), F.lit("_ de "), link, F.lit(" y *"), day, F.lit("*")).alias("a"),
+        F.concat(F.lit("`"), text.underscored(code), F.lit("*` \\*"), F.col("bloque"), F.lit("\\*")).alias("b"),
+        F.concat(F.lit("![foto](/f?b="), F.col("bloque"), F.lit(")[_"), code, F.lit("_ ![x](y)](z) a_b_c")).alias("c"),
+        F.concat(F.lit("2 * 3 **"), code, F.lit(" [sin fin")).alias("d"),
+    )
+    return cells.select("bloque", *[markup_text(F.col(c)).alias(c) for c in "abcd"])
+
+
+def export_in_order(t: Tables) -> DataFrame:
+    """Lot status, written in files of 300 rows in the order of lots and blocks, and read back."""
+    spark = t.historia_bloques.sparkSession
+    path = new_folder(spark, "export")
+    order = [F.col(c).asc_nulls_last() for c in ("lote", "bloque")]
+    store.export_files(status.lot_table(t), path, order, 300, "parquet")
+    return store.read_export(spark, path).select("orden", "lote", "bloque", "grupo de siembra", "siembra")
+
+
 def by_statement(name: str, **arguments) -> Callable[[Tables], DataFrame]:
     """A report as SQL text, called with bound arguments."""
 
@@ -257,6 +281,8 @@ ON_TABLES: dict[str, Callable[[Tables], DataFrame]] = {
     "lot_block_status": status.lot_block_status,
     "fill_blank": status.lot_table,
     "export_plain": lambda t: store.export_plain(status.lot_block_status(t)),
+    "markup_cells": markup_cells,
+    "export_in_order": export_in_order,
     "formula_list": status.formula_list,
     "formula_inputs": status.formula_inputs,
     # Alerts.
