@@ -179,16 +179,12 @@ def _month_treatments(
     return done.unionByName(pending).dropna(subset=["mes", "calidad"])
 
 
-def monthly_quality_by_group(
-    t: Tables, etapa2: str | None = None, categoria: str | None = None, anio: int | None = None
+def _monthly_counts(
+    t: Tables, keys: list[str], etapa2: str | None, categoria: str | None, anio: int | None
 ) -> DataFrame:
-    """Treatments per month, group and class; rows without a month, group or class are dropped.
-
-    Pending treatments are counted also where no treatment was done. In the row-level join a block
-    listed more than once counts that often, so treatments are counted per block first, in one pass
-    over each table, and the counts meet the number of listings.
-    """
-    keys = [*free(etapa2=etapa2, categoria=categoria), "mes", "grupo", "calidad"]
+    """Treatments of groups by `keys`. In the row-level join a block listed more than once counts that
+    often, so treatments are counted per block first, in one pass over each table, and the
+    counts meet the number of listings."""
     rows = _month_treatments(t, etapa2, categoria, anio).where(F.col("grupo").isNotNull())
     cells = rows.groupBy(*keys, "blocknumber").agg(F.count(F.lit(1)).alias("n"))
     listings = t.blocks.groupBy("codigo").agg(F.count(F.lit(1)).alias("veces"))
@@ -197,6 +193,17 @@ def monthly_quality_by_group(
     return listed.groupBy(*keys).agg(conteo.alias("conteo"))
 
 
+def monthly_quality_by_group(
+    t: Tables, etapa2: str | None = None, categoria: str | None = None, anio: int | None = None
+) -> DataFrame:
+    """Treatments per month, group and class; rows without a month, group or class are dropped.
+
+    Pending treatments are counted also where no treatment was done.
+    """
+    keys = [*free(etapa2=etapa2, categoria=categoria), "mes", "grupo", "calidad"]
+    return _monthly_counts(t, keys, etapa2, categoria, anio)
+
+
 def monthly_quality_area_by_lot(
     t: Tables, etapa2: str | None = None, categoria: str | None = None, anio: int | None = None
 ) -> DataFrame:
@@ -228,10 +235,10 @@ def monthly_quality_area_by_lot(
 def monthly_quality_totals(
     t: Tables, etapa2: str | None = None, categoria: str | None = None, anio: int | None = None
 ) -> DataFrame:
-    """Treatments per month and class, the heights of the monthly chart."""
+    """Treatments per month and class, the heights of the monthly chart. Groups only decide which
+    treatments count, so they are no key on the way."""
     keys = [*free(etapa2=etapa2, categoria=categoria), "mes", "calidad"]
-    by_group = monthly_quality_by_group(t, etapa2, categoria, anio)
-    return by_group.groupBy(*keys).agg(F.sum("conteo").alias("conteo"))
+    return _monthly_counts(t, keys, etapa2, categoria, anio)
 
 
 def monthly_quality_share(

@@ -1,4 +1,4 @@
-"""The store in buckets by block, and the sums by day."""
+"""The store in buckets by block, and the sums and sketches by day."""
 
 import datetime as dt
 import re
@@ -96,3 +96,31 @@ def test_late_repeated_and_corrected_days(spark, tmp_path):
     assert rows(state.between(spark, day(10), day(45))) == rows(want)
     plan = state.between(spark, day(10), day(45))._jdf.queryExecution().executedPlan().toString()
     assert "_mes" in re.search(r"PartitionFilters: \[(.*?)\]", plan).group(1)
+
+
+def test_merged_sketches_are_near_the_exact_ranks(spark, tmp_path):
+    """Many samples over many days: counts and ends are exact, ranks within the bound."""
+    rows_ = spark.range(120_000).select(
+        F.when(F.col("id") % 3 == 0, "big").otherwise(F.concat(F.lit("b"), F.col("id") % 400)).alias("llave"),
+        F.date_add(F.lit(day(0)), (F.col("id") % 90).cast("int")).alias("fecha"),
+        (F.pmod(F.col("id") * 7919, F.lit(100_003)) / 100).cast("decimal(12,2)").alias("valor"),
+    )
+    state = daystate.weight_sketches(f"file://{tmp_path}/q")
+    state.update(rows_.where(F.col("fecha") > day(50)))
+    state.update(rows_.where(F.col("fecha") <= day(50)))
+    first, last = day(10), day(75)
+    got = {r.llave: r for r in daystate.weight_quantiles(spark, state, first, last).collect()}
+    values = {}
+    for r in rows_.where(F.col("fecha").between(first, last)).collect():
+        values.setdefault(r.llave, []).append(float(r.valor))
+    assert got.keys() == values.keys()
+    off = []
+    for block, found in values.items():
+        found.sort()
+        r = got[block]
+        assert (r.muestras, r.minimo, r.maximo) == (len(found), found[0], found[-1])
+        for p, q in ((0.25, r.q1), (0.5, r.mediana), (0.75, r.q3)):
+            low, high = sum(v < q for v in found), sum(v <= q for v in found)
+            off.append(max(0.0, low / len(found) - p, p - high / len(found)))
+    assert sum(x > 0.017 for x in off) <= 0.02 * len(off) and max(off) < 0.04
+    assert state.read(spark).where("llave = 'big'").selectExpr("max(length(dibujo))").first()[0] < 8000

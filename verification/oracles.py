@@ -593,6 +593,11 @@ from pesoplanta group by llave, fecha""",
 select llave, fecha as fecha_muestreo, cast(sum(valor) as double) / count(valor) as peso_planta
 from pesoplanta group by llave, fecha
 qualify row_number() over (partition by llave order by fecha desc nulls first) = 1""",
+    "weight_quantiles_from_days": """
+select llave, count(valor) as muestras, cast(min(valor) as double) as minimo,
+  cast(quantile_disc(valor, 0.25) as double) as q1, cast(quantile_disc(valor, 0.5) as double) as mediana,
+  cast(quantile_disc(valor, 0.75) as double) as q3, cast(max(valor) as double) as maximo
+from pesoplanta where fecha between date '1998-07-01' and date '1999-06-30' group by llave having count(valor) > 0""",
     "weight_before_treatment": """
 select a.bloque, a.codigo_cedula, a.etapa, a.categoria, a.fecha, w.fecha as fecha_muestreo, w.peso as peso_planta
 from aplicaciones a asof left join (

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -198,6 +199,15 @@ def export_in_order(t: Tables) -> DataFrame:
     return store.read_export(spark, path).select("orden", "lote", "bloque", "grupo de siembra", "siembra")
 
 
+def weight_quantiles_from_days(t: Tables) -> DataFrame:
+    """Two years of stored sketches, merged over the second half of one and the first of the other."""
+    spark, samples = t.pesoplanta.sparkSession, t.pesoplanta
+    sketches = daystate.weight_sketches(new_folder(spark, "sketches"))
+    for year in (1998, 1999):
+        sketches.update(samples.where(dates.in_ranges(F.col("fecha"), dates.year_ranges(year))))
+    return daystate.weight_quantiles(spark, sketches, dt.date(1998, 7, 1), dt.date(1999, 6, 30))
+
+
 def by_statement(name: str, **arguments) -> Callable[[Tables], DataFrame]:
     """A report as SQL text, called with bound arguments."""
 
@@ -265,6 +275,7 @@ ON_TABLES: dict[str, Callable[[Tables], DataFrame]] = {
     "last_weight_before_induction": weights.last_weight_before_induction,
     "last_weight_co_located": last_weight_co_located,
     "latest_weight_from_days": latest_weight_from_days,
+    "weight_quantiles_from_days": weight_quantiles_from_days,
     "weight_before_treatment": weights.weight_before_treatment,
     # Block detail.
     "block_list": blocks.block_list,
