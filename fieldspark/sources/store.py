@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -74,11 +75,11 @@ def export_files(
 
 def read_export(spark: SparkSession, path: str) -> DataFrame:
     """Rows of a parquet export with `orden`, their place in it from 0. The files before a file are
-    counted over one row a file."""
+    counted on the driver, one row a file."""
     rows = spark.read.parquet(path).select(
         "*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row")
     )
-    before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
-    files = rows.groupBy("_file").agg(F.count("*").alias("_n"))
-    files = files.select("_file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    files = rows.groupBy("_file").count().orderBy("_file").collect()
+    starts = accumulate((r["count"] for r in files), initial=0)
+    files = spark.createDataFrame([(r["_file"], n) for r, n in zip(files, starts, strict=False)], "_file string, _before long")
     return rows.join(F.broadcast(files), "_file").withColumn("orden", F.col("_before") + F.col("_row")).drop("_file", "_row", "_before")
