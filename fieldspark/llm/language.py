@@ -23,8 +23,10 @@ from .scratch import received, shipped, stored
 from .words import slices, text_buffer
 
 SPECTRUM, BUCKETS = 4, 1 << 14
-#: Training texts and landmarks per language; languages.
-TRAIN, LANDMARKS, LANGUAGES = 1_000, 40, 200
+#: Training texts per language; landmarks per language, and of all languages together.
+TRAIN, LANDMARKS, ALL_LANDMARKS = 1_000, 40, 2_000
+#: Chosen ids that are broadcast; more of them meet the documents in an ordinary join.
+BROADCAST = 1_000_000
 RIDGE = 1e-2
 #: Rows scored by one product.
 ROWS = 128
@@ -83,19 +85,18 @@ class Model:
         return names, np.where(letters, share, 0.0)
 
 
-def fit(landmarks: np.ndarray, to_landmarks: np.ndarray, languages: list[str], known: np.ndarray) -> Model:
-    """``to_landmarks``: kernel of training texts to the landmarks; ``known``: their language."""
-    between = kernel(landmarks, landmarks).astype(np.float64)
-    values, vectors = np.linalg.eigh(between)
+def whitening(landmarks: np.ndarray) -> np.ndarray:
+    """K^(-1/2) of the kernel between landmarks."""
+    values, vectors = np.linalg.eigh(kernel(landmarks, landmarks).astype(np.float64))
     values = np.maximum(values, 1e-6 * values.max())
-    root = (vectors / np.sqrt(values)) @ vectors.T
-    z = to_landmarks.astype(np.float64) @ root
-    target = np.where(known[:, None] == np.arange(len(languages)), 1.0, -1.0)
-    share = np.bincount(known, minlength=len(languages))
-    weight = (len(known) / (len(languages) * np.maximum(share, 1)))[known][:, None]
-    gram = z.T @ (weight * z) + RIDGE * np.eye(z.shape[1]) * max(1, len(known)) / 100
-    beta = np.linalg.solve(gram, z.T @ (weight * target))
-    return Model(languages, landmarks, (root @ beta).astype(np.float32))
+    return (vectors / np.sqrt(values)) @ vectors.T
+
+
+def fit(landmarks: np.ndarray, root: np.ndarray, sums: np.ndarray, languages: list[str], rows: int) -> Model:
+    """``sums``: z'z and behind it z'y over the ``rows`` training texts, each weighted by its language."""
+    m = len(landmarks)
+    gram = sums[:, :m] + RIDGE * np.eye(m) * max(1, rows) / 100
+    return Model(languages, landmarks, (root @ np.linalg.solve(gram, sums[:, m:])).astype(np.float32))
 
 
 def _pieces(batch: pa.RecordBatch, text: str):
@@ -113,46 +114,70 @@ def _packed(batches):
             )
 
 
-def _kernels(landmarks):
+def _sums(shipped_base):
+    """The rows of z'z and z'y over the texts of a task."""
+
     def run(batches):
-        base = np.unpackbits(received(landmarks), axis=1).astype(np.float32)
+        bits, root, languages, weights = received(shipped_base)
+        base = np.unpackbits(bits, axis=1).astype(np.float32)
+        at = {name: k for k, name in enumerate(languages)}
+        m, total = len(base), None
         for batch in batches:
             for part in _pieces(batch, "text"):
-                k = kernel(presence(part["text"]), base)
-                yield pa.RecordBatch.from_pydict(
-                    {"lang": part["lang"], "k": pa.array([x.tobytes() for x in k.astype(np.float32)], pa.binary())}
-                )
+                own = np.array([at[x] for x in part["lang"].to_pylist()], np.int64)
+                z = kernel(presence(part["text"]), base).astype(np.float64) @ root
+                target = np.full((len(own), len(languages)), -1.0)
+                target[np.arange(len(own)), own] = 1.0
+                weighted = z.T * weights[own]
+                if total is None:
+                    total = np.zeros((m, m + len(languages)))
+                total[:, :m] += weighted @ z
+                total[:, m:] += weighted @ target
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(m)), pa.array([x.tobytes() for x in total], pa.binary())], ["i", "sums"])
 
     return run
 
 
+def _added(table: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(x, np.float64) for x in sorted(table["sums"].to_pylist()))
+    return pa.table({"i": table["i"][:1], "sums": pa.array([total.tobytes()], pa.binary())})
+
+
 def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
-    """Fits on at most ``TRAIN`` documents of each of the ``LANGUAGES`` most frequent languages that
-    have text and language and are not held out. Of rows with the same doc_id one counts, that with
-    the least language and text."""
+    """Fits on at most ``TRAIN`` documents of every language, of those that have text and language and are
+    not held out. Of rows with the same doc_id one counts, that with the least language and text. Each language has ``LANDMARKS``
+    landmarks, fewer (but one) where there would be more than ``ALL_LANDMARKS``. What the driver gets grows with the
+    number of languages, not of texts."""
+    spark = docs.sparkSession
     known = docs.where(~held_out(4, 2) & F.col(text).isNotNull() & F.col(lang).isNotNull())
     known = known.groupBy("doc_id").agg(F.min(lang).alias("lang"))
-    frequent = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
-    chosen = sample_of_each(known, "lang", TRAIN, frequent)
-    chosen = chosen.select(F.col("doc_id").alias("id"))  # LANGUAGES * TRAIN rows at most
-    rows = docs.join(F.broadcast(chosen), docs["doc_id"].eqNullSafe(F.col("id"))).select(
+    chosen = sample_of_each(known, "lang", TRAIN, known.groupBy("lang").count())
+    chosen = stored(chosen.select(F.col("doc_id").alias("id")))
+    ids = F.broadcast(chosen) if chosen.count() <= BROADCAST else chosen
+    rows = docs.join(ids, docs["doc_id"].eqNullSafe(F.col("id"))).select(
         "doc_id", F.col(text).alias("text"), F.col(lang).alias("lang")
     )
     rows = rows.where("text is not null and lang is not null")
     least = F.min(F.struct("lang", "text")).alias("least")
     rows = stored(rows.groupBy("doc_id").agg(least).select("doc_id", "least.*"))  # read three times below
-    base = sample_of_each(rows, "lang", LANDMARKS, rows.groupBy("lang").count())
-    base = base.select("text", "lang").mapInArrow(_packed, "lang string, bits binary").orderBy("lang", "bits").collect()
-    if not base:
+    counts = rows.groupBy("lang").count()
+    share = {r.lang: r["count"] for r in counts.collect()}
+    languages = sorted(share)
+    if not languages:
         return Model([], np.zeros((0, BUCKETS), np.float32), np.zeros((0, 0), np.float32))
+    each = max(1, min(LANDMARKS, ALL_LANDMARKS // len(languages)))
+    base = sample_of_each(rows, "lang", each, counts)
+    base = base.select("text", "lang").mapInArrow(_packed, "lang string, bits binary").orderBy("lang", "bits").collect()
     bits = np.stack([np.frombuffer(r.bits, np.uint8) for r in base])
-    found = rows.select("text", "lang").mapInArrow(_kernels(shipped(docs.sparkSession, bits)), "lang string, k binary")
-    found = found.orderBy("lang", "k").collect()
-    languages = sorted({r.lang for r in base})
-    found = [r for r in found if r.lang in set(languages)]
     landmarks = np.unpackbits(bits, axis=1).astype(np.float32)
-    to_landmarks = np.stack([np.frombuffer(r.k, np.float32) for r in found])
-    return fit(landmarks, to_landmarks, languages, np.array([languages.index(r.lang) for r in found]))
+    root, total = whitening(landmarks), sum(share.values())
+    weights = np.array([total / (len(languages) * share[x]) for x in languages])
+    task = shipped(spark, (bits, root, languages, weights))
+    sums = rows.select("text", "lang").mapInArrow(_sums(task), "i long, sums binary")
+    sums = sums.groupBy("i").applyInArrow(_added, "i long, sums binary").collect()
+    by_row = {r.i: np.frombuffer(r["sums"], np.float64) for r in sums}
+    return fit(landmarks, root, np.stack([by_row[i] for i in range(len(bits))]), languages, total)
 
 
 def _identified(model, text: str):

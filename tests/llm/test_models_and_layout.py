@@ -1,6 +1,7 @@
 """Classifiers on held-out rows, exact sums of the language model, mixing, sharding, extraction."""
 
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -367,3 +368,19 @@ def test_rows_of_the_sql(spark, tables, name):
 def test_every_operator_is_registered():
     assert [q.split("_")[0] for q in QUERIES] == [f"op{n}" for n in range(1, 11)]
     assert set(ORACLES) <= set(QUERIES)
+
+
+def test_every_language_can_be_predicted(docs):
+    """250 languages, each with letters of its own, and every landmark budget is kept."""
+    rng = random.Random(3)
+    rows = []
+    for k in range(250):
+        own = [chr(0x4E00 + 20 * k + j) for j in range(12)]
+        for _ in range(6):
+            rows.append((len(rows), " ".join("".join(rng.choices(own, k=3)) for _ in range(12)), f"l{k:03}"))
+    model = language.train(docs(rows))
+    assert len(model.languages) == 250 and len(model.landmarks) <= 2000
+    got = {r.doc_id: r for r in language.languages(docs(rows)).collect()}
+    right = [got[i].lang_pred == name for i, _, name in rows if got[i].held_out]
+    assert len(right) > 200 and sum(right) > 0.9 * len(right)
+    assert len({r.lang_pred for r in got.values()}) > 240
