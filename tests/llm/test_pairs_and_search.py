@@ -213,3 +213,15 @@ def test_fewer_candidates_than_asked(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<double>")
     got = neighbours.nearest(df, F.col("vec_id") % 50 == 0).collect()
     assert [(r["rank"], r.vec_id) for r in sorted(got, key=lambda r: r["rank"])] == [(1, 1), (2, 2)]
+
+
+def test_each_length_is_searched_among_its_own(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.standard_normal(8).tolist()) for i in range(120)]
+    rows += [(1000 + i, rng.standard_normal(4).tolist()) for i in range(100)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = {}
+    for r in neighbours.nearest(df, F.col("vec_id") % 50 == 0).collect():
+        found.setdefault(r.query_id, []).append(r.vec_id)
+    assert found.keys() == {0, 50, 100, 1000, 1050} and all(len(v) == 5 for v in found.values())
+    assert all((v >= 1000) == (q >= 1000) for q, vs in found.items() for v in vs)
