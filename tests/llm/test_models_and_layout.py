@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -292,6 +293,50 @@ def test_cards_do_not_displace_the_text_of_a_page():
     assert kept.split("\n") == [long.strip()] * 2
 
 
+PROSE = ("The rain in the north of the land was heavy and it fell for a day, as it had in the week before. " * 4).strip()
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ('<div class="elementor-widget-container"><p>{}</p></div>', "{}"),
+        ('<div class="content with-sidebar"><p>{}</p><div class="sidebar"><p>Latest news</p></div></div>', "{}"),
+        ('<div class="layout no-sidebar"><article><h1>Head</h1><p>{}</p></article></div>', "Head\n{}"),
+        ("<form><h1>Head</h1><p>{}</p></form>", "Head\n{}"),
+        ('<div class="single-post social-news"><p>{}</p></div>', "{}"),
+        ('<div id="post-search-engine"><p>{}</p></div>', "{}"),
+        ("<aside><p>More</p><article><h1>Head</h1><p>{}</p></article>", "Head\n{}"),
+        ('<article><div class="article-header"><h1>Head</h1></div><p>{}</p></article>', "Head\n{}"),
+        ("<option>x<article><p>{}</p></article><select><option>a</option></select>", "{}"),
+        ("<nav>m</nav><article><h1><a href=x>A head</a></h1><p>{}</p><p><a href=y>The source</a></p></article><footer>f</footer>", "A head\n{}\nThe source"),
+        ('<article><p>{0}</p></article><ol class="commentlist"><li><article><p>{0} No.</p></article></li></ol>', "{}"),
+        ("<article><p>{0}</p></article><section><h3>3 responses</h3><div><p>{0} No.</p></div></section>", "{}"),
+        ("<article><p>Short.</p></article><div class=sidebar><p>{0}</p></div><footer><p>{0}</p></footer>", "Short."),
+        ("<footer><p>{}</p></footer>", ""),
+    ],
+)
+def test_parts_that_name_themselves(page, want):
+    for doc in (page, f"<html><head><title>t</title></head><body>{page}</body></html>"):
+        assert extraction.main_text(doc.format(PROSE)) == want.format(PROSE)
+
+
+@pytest.mark.parametrize(
+    "unit",
+    ["<a ", '<a x="', '<a x=">" ', "<option>", "<svg>", "<button>", "<select><option>x", "<div><p>x</p>", "<div></section>"]
+    + ["<article><p>x", "<!--", "<a =", "&", "<", "<p class=ad>x", "<p class ", "<div class='comment \"", "<h2>3 responses</h2>"],
+)
+def test_broken_pages_are_read_in_proportion(unit):
+    def seconds(n):
+        page = unit * (n // len(unit))
+        start = time.process_time()
+        for end in ("", ">", '">x</a>'):
+            extraction.main_text(page + end)
+        return time.process_time() - start
+
+    small = min(seconds(40_000) for _ in range(3))
+    assert seconds(800_000) < 60 * small + 2  # 20 times the size; 400 if in the square
+
+
 @pytest.mark.parametrize(
     "text",
     [
