@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from .components import components
-from .scratch import stored
+from .scratch import stored, whole_row
 from .words import SPACED, U64, mix, slices, words
 
 #: Ratio of the sizes at the ends of a size band.
@@ -379,7 +379,7 @@ def _with_set(width: int, text: str):
         for batch in batches:
             for part in slices(batch, text):
                 codes = [set_code(x) for x in shingle_sets(part[text], width)]
-                yield part.append_column("__id", pa.array(codes, pa.int64()))
+                yield part.append_column("set", pa.array(codes, pa.int64()))
 
     return run
 
@@ -387,26 +387,25 @@ def _with_set(width: int, text: str):
 def one_of_each(docs: DataFrame, text: str = "text", width: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """One row of each component of ``docs``, that with the smallest doc_id; all columns stay. Of rows
     of one component that share this doc_id one is kept, that with the least text; texts without words
-    are one row for each doc_id and text. Documents without doc_id are kept."""
+    are one row for each doc_id and text. Documents without doc_id are kept. Columns of any further name stay
+    as they are."""
     of = stored(_of_components(docs, width, num, den, text))
     dropped = of.where("doc_id != component_id").select("doc_id").distinct()
     repeated = of.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    rows = docs.select("doc_id", F.col(text).alias("text"), whole_row(docs).alias("row"))
     if repeated.isEmpty():
-        return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+        return rows.join(dropped, "doc_id", "left_anti").select("row.*")
     repeated = stored(repeated)
-    single = docs.join(dropped.unionByName(repeated), "doc_id", "left_anti").select(*docs.columns)
+    single = rows.join(dropped.unionByName(repeated), "doc_id", "left_anti").select("row")
     # a doc_id does not tell its rows apart: they are known by their sets too
-    several = docs.join(repeated, "doc_id", "left_semi").select(*docs.columns)
-    several = several.mapInArrow(_with_set(width, text), StructType([*several.schema, StructField("__id", LongType())]))
-    own = of.join(repeated, "doc_id", "left_semi").distinct().select(
-        F.col("doc_id").alias("__doc"), F.col("id").alias("__set"), F.struct("n", "component", "component_id").alias("__of")
-    )
-    several = several.join(own, (F.col("doc_id") == F.col("__doc")) & (F.col("__id") == F.col("__set")))
-    empty = several.where("__of.n = 0").dropDuplicates(["doc_id", text])
-    order = Window.partitionBy("__of.component").orderBy(text)
-    first = several.where("__of.n > 0 and doc_id = __of.component_id").withColumn("__k", F.row_number().over(order))
-    first = first.where("__k = 1")
-    return single.unionByName(empty.select(*docs.columns)).unionByName(first.select(*docs.columns))
+    several = rows.join(repeated, "doc_id", "left_semi")
+    several = several.mapInArrow(_with_set(width, "text"), StructType([*several.schema, StructField("set", LongType())]))
+    own = of.join(repeated, "doc_id", "left_semi").distinct().withColumnRenamed("id", "set")
+    several = several.join(own, ["doc_id", "set"])
+    empty = several.where("n = 0").dropDuplicates(["doc_id", "text"])
+    order = Window.partitionBy("component").orderBy("text")
+    first = several.where("n > 0 and doc_id = component_id").withColumn("k", F.row_number().over(order)).where("k = 1")
+    return single.unionByName(empty.select("row")).unionByName(first.select("row")).select("row.*")
 
 
 #: The query over ``documents`` as SQL, by counting the common shingles of all pairs that have any.

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import stored
+from .scratch import stored, whole_row
 
 #: Rank buckets of a source.
 BUCKETS = 4096
@@ -152,10 +152,11 @@ def mixed(docs: DataFrame, seed: int = 7, text: str = "text", weight: str | None
     with the same doc_id and source draw the same number and are taken together. A source without
     words has target 0. Columns other than those named are ignored; an empty table gives no rows.
     """
-    columns = ["doc_id", "source", size_of(text).alias("size"), *([weight] if weight else [])]
-    sized = stored(docs.select(*columns))
-    plan = stored(mixing_plan(sized, seed, weight))
-    return _ranked(sized, plan, seed, weight).select(
+    weighed = [F.col(weight).alias("weight")] if weight else []
+    sized = stored(docs.select("doc_id", "source", size_of(text).alias("size"), *weighed))
+    own = "weight" if weight else None
+    plan = stored(mixing_plan(sized, seed, own))
+    return _ranked(sized, plan, seed, own).select(
         "doc_id",
         "size",
         F.col("__m.source_size").alias("source_size"),
@@ -165,12 +166,15 @@ def mixed(docs: DataFrame, seed: int = 7, text: str = "text", weight: str | None
 
 
 def mixture(docs: DataFrame, seed: int = 7, text: str = "text", weight: str | None = None) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it, with its columns."""
-    columns = ["doc_id", "source", size_of(text).alias("size"), *([weight] if weight else [])]
-    plan = stored(mixing_plan(stored(docs.select(*columns)), seed, weight))
-    ranked = _ranked(docs, plan, seed, weight)
+    """The rows of ``docs``, each as often as the mix takes it, with its columns. Columns of any
+    further name stay as they are; nulls, repeats and empty tables as in ``mixed``."""
+    weighed = [F.col(weight).alias("weight")] if weight else []
+    sized = docs.select("doc_id", "source", size_of(text).alias("size"), *weighed)
+    own = "weight" if weight else None
+    plan = stored(mixing_plan(stored(sized), seed, own))
+    ranked = _ranked(docs.select("doc_id", "source", *weighed, whole_row(docs).alias("row")), plan, seed, own)
     again = F.array_repeat(F.lit(1), _copies().cast("int"))
-    return ranked.withColumn("__again", F.explode(again)).select(*docs.columns)
+    return ranked.select("row", F.explode(again)).select("row.*")
 
 
 #: The query over ``documents`` as SQL.

@@ -8,7 +8,8 @@ import tempfile
 import uuid
 
 from pyspark import Broadcast, cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _local: list[str] = []
 
@@ -48,3 +49,8 @@ def shipped(spark: SparkSession, value) -> Broadcast:
 
 def received(broadcast: Broadcast):
     return cloudpickle.loads(broadcast.value)
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns of a frame as one struct, which no column added beside it can clash with."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns])

@@ -214,6 +214,18 @@ def test_mixing_reaches_targets(tables):
     assert mix.agg(F.sum(mixing.size_of("text"))).first()[0] == mixing.mixed(docs).agg(F.sum("taken")).first()[0]
 
 
+def test_mixture_keeps_columns_of_any_name(docs):
+    rows = [(i, "a b c " * (i % 5), "en", "st"[i % 2]) for i in range(200)]
+    names = "__q __bucket __again __m __source row col weight size closing a.b".split()
+    df = docs(rows).withColumns({n: F.concat(F.lit(f"{n} "), F.col("doc_id")) for n in names})
+    got = mixing.mixture(df)
+    assert got.columns == df.columns
+    want = sorted(r.doc_id for r in mixing.mixture(docs(rows)).collect())
+    got = got.collect()
+    assert sorted(r.doc_id for r in got) == want
+    assert all(r[n] == f"{n} {r.doc_id}" for r in got for n in names)
+
+
 def test_mixing_weight_raises_inclusion(docs):
     rows = [(i, "a b c", "en", "s") for i in range(2000)] + [(5000 + i, "a b", "en", "t") for i in range(1500)]
     df = docs(rows).withColumn("w", F.when(F.col("doc_id") % 2 == 0, 4.0).otherwise(1.0))

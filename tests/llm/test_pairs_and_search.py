@@ -104,6 +104,18 @@ def test_one_of_each_tells_rows_of_a_doc_id_apart(docs, clashing):
     assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(want, key=str)
 
 
+def test_one_of_each_keeps_columns_of_any_name(docs):
+    a, b = "a b c d e f", "other words in here now"
+    names = "__id __doc __set __of __k row set k n count component_id a.b".split()
+    for rows in ([(3, a), (5, a), (5, b)], [(3, a), (5, a), (6, b)]):
+        df = docs(rows).withColumns({n: F.concat(F.lit(f"{n} "), F.col("doc_id")) for n in names})
+        kept = one_of_each(df, width=5, num=80)
+        assert kept.columns == df.columns
+        kept = kept.collect()
+        assert sorted(r.text for r in kept) == [a, b]
+        assert all(r[n] == f"{n} {r.doc_id}" for r in kept for n in names)
+
+
 def test_empty_tables(spark, docs):
     none = docs([])
     assert jaccard_components(none).count() == 0
