@@ -2,28 +2,26 @@
 
 Documents with equal texts are a group that stays together. Groups enter bins by falling size, each
 into the bin with the least room that still holds it, found in a balanced tree of the rooms; the
-least capacity at which the wanted number of bins is enough is found by bisection.
+least capacity at which the wanted number of bins is enough is found by search.
 
-What is packed has a bounded count. Groups of at least 1/256 of a shard are packed one by one (there
-are at most 256 per shard). Smaller groups are first put together by hash, into a fixed number of
-bundles per shard, most of a medium size and some very small ones to fill the gaps.
+Groups of one size are interchangeable, so the driver packs sizes with their numbers of groups, which gives
+the same bins as packing group by group: after one group of a size, the tightest bin for the next is the same
+one until it is full. Which of its size's groups goes where follows from a group's rank within its size;
+ranks are counted in buckets, and only for sizes that are spread over several bins. Of b bytes in all
+there are at most sqrt(2 b) distinct sizes.
 """
 
 from __future__ import annotations
 
-import bisect
 from collections.abc import Iterable
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import stored
 
-#: A group of a shard's size over this is packed by itself.
-LARGE = 256
-#: Bundles per shard of medium and of very small size; one small group in twenty is in the latter.
-MEDIUM, SMALL, SMALL_SHARE = 128, 256, 20
-#: Buckets in which the documents of a shard are numbered.
+#: Buckets in which the documents of a shard, and the groups of a size, are numbered.
 BUCKETS = 1024
 
 
@@ -93,41 +91,70 @@ class Rooms:
         return found
 
 
-def best_fit(sizes: Iterable[int], capacity: int, most: int | None = None) -> list[int] | None:
-    """The bin of each size (falling), opening bins as needed; None if more than ``most`` are."""
+Runs = list[tuple[int, int]]  # bins, and how many groups of a size go into each
+
+
+def best_fit_runs(classes: Iterable[tuple[int, int]], capacity: int, most: int | None = None) -> list[Runs] | None:
+    """The bins of the groups of each size (size and number of groups, sizes falling), opening bins as needed;
+    None if more than ``most`` are. A size above the capacity has bins of its own."""
     rooms, bins, out = Rooms(), 0, []
-    for size in sizes:
-        found = rooms.tightest(size)
-        if found is None:
-            if bins == most:
-                return None
-            found, bins = (max(capacity, size), bins), bins + 1
-        else:
-            rooms.remove(found)
-        rooms.add((found[0] - size, found[1]))
-        out.append(found[1])
+    for size, count in classes:
+        runs: Runs = []
+        while count:
+            found = rooms.tightest(size)
+            if found is None:
+                if bins == most:
+                    return None
+                found, bins = (max(capacity, size), bins), bins + 1
+            else:
+                rooms.remove(found)
+            n = min(count, found[0] // size)
+            rooms.add((found[0] - n * size, found[1]))
+            runs.append((found[1], n))
+            count -= n
+        out.append(runs)
     return out
 
 
-def pack(sizes: list[int], bins: int) -> list[int]:
-    """Puts falling sizes into ``bins`` bins of near equal load. A size of more than an equal share
-    has a bin for itself."""
-    alone, left = 0, sum(sizes)
-    while alone < min(len(sizes), bins - 1) and sizes[alone] * (bins - alone) >= left:
-        left -= sizes[alone]
-        alone += 1
-    rest, n = sizes[alone:], bins - alone
+def best_fit(sizes: Iterable[int], capacity: int, most: int | None = None) -> list[int] | None:
+    """The bin of each size (falling), opening bins as needed; None if more than ``most`` are."""
+    runs = best_fit_runs(((size, 1) for size in sizes), capacity, most)
+    return None if runs is None else [r[0][0] for r in runs]
+
+
+def pack(classes: list[tuple[int, int]], bins: int) -> list[Runs]:
+    """Puts groups of falling sizes (size, number of groups) into ``bins`` bins of near equal load. A group of
+    at least an equal share of what is left has a bin for itself.
+
+    The rest fits at the latest at twice the share: no group is larger than it, so a group that found no
+    room would leave more than a share in every bin.
+    """
+    alone, left, rest = 0, sum(size * n for size, n in classes), []
+    own: list[Runs] = []
+    for size, n in classes:
+        runs: Runs = []
+        while n and not rest and alone < bins - 1 and size * (bins - alone) >= left:
+            runs.append((alone, 1))
+            alone, left, n = alone + 1, left - size, n - 1
+        own.append(runs)
+        if n:
+            rest.append((size, n))
+    n = bins - alone
     share = -(-left // n)
-    low, step = share, max(1, share // 20_000)
-    slack = bisect.bisect_left(range(40_000), True, key=lambda k: best_fit(rest, low + k * step, n) is not None)
-    found = best_fit(rest, low + slack * step, n)
-    if found is None:  # fewer groups than bins, or none that fits: by least load
-        found, load = [], [0] * n
-        for size in rest:
-            at = min(range(n), key=load.__getitem__)
-            load[at] += size
-            found.append(at)
-    return [*range(alone), *(alone + b for b in found)]
+    step = max(1, share // 20_000)
+    high = 0  # steps above the share that are enough; one of nearly equal load is found near none
+    while (found := best_fit_runs(rest, share + high * step, n)) is None:
+        high = 2 * high + 1
+    low = high // 2  # not enough, unless both are 0
+    while high - low > 1:
+        middle = (low + high) // 2
+        tried = best_fit_runs(rest, share + middle * step, n)
+        low, high, found = (middle, high, found) if tried is None else (low, middle, tried)
+    packed = iter(found)
+    return [
+        r if sum(k for _, k in r) == count else [*r, *((alone + b, k) for b, k in next(packed))]
+        for r, (_, count) in zip(own, classes, strict=True)
+    ]
 
 
 def sharded(docs: DataFrame, shards: int = 40, text: str = "text") -> DataFrame:
@@ -151,27 +178,25 @@ def sharded(docs: DataFrame, shards: int = 40, text: str = "text") -> DataFrame:
             .alias("group"),
         )
     )
-    groups = narrow.groupBy("group").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
-    groups = stored(groups)
-    total = groups.agg(F.sum("bytes")).first()[0] or 0
-    large = F.col("bytes") * F.lit(LARGE * shards) >= F.lit(total)
-    h = F.xxhash64("group")
-    medium = F.pmod(F.shiftright(h, 8), F.lit(MEDIUM * shards))
-    small = F.pmod(F.shiftright(h, 8), F.lit(SMALL * shards)) + MEDIUM * shards
-    part = F.when(F.pmod(h, F.lit(SMALL_SHARE)) == 0, small).otherwise(medium)
-    items = groups.withColumn("bundle", F.when(~large, part)).withColumn("single", F.when(large, F.col("group")))
-    sums = items.groupBy("single", "bundle").agg(F.sum("bytes").alias("bytes"))
-    # at most (LARGE + MEDIUM + SMALL) * shards rows
-    rows = sorted(sums.collect(), key=lambda r: (-r.bytes, r.single or 0, r.bundle or 0))
-    shard = pack([r.bytes for r in rows], shards)
+    groups = stored(narrow.groupBy("group").agg(F.sum("size").alias("bytes")))
+    classes = [(r.bytes, r["count"]) for r in groups.groupBy("bytes").count().collect()]
+    classes.sort(reverse=True)
+    plan = [
+        (size, [b for b, _ in runs], list(accumulate(n for _, n in runs)))
+        for (size, _), runs in zip(classes, pack(classes, shards), strict=True)
+    ]
     spark = docs.sparkSession
-    placed = spark.createDataFrame(
-        [(r.single, r.bundle, s) for r, s in zip(rows, shard, strict=True)], "single long, bundle long, shard int"
-    )
-    one = placed.where("single is not null").select("single", F.col("shard").alias("s1"))
-    many = placed.where("bundle is not null").select("bundle", F.col("shard").alias("s2"))
-    of_group = items.join(F.broadcast(one), "single", "left").join(F.broadcast(many), "bundle", "left")
-    of_group = of_group.select("group", F.coalesce("s1", "s2").alias("shard"))
+    plan = stored(spark.createDataFrame(plan, "bytes long, bins array<int>, ends array<long>"))
+    spread = F.size("bins") > 1
+    whole = groups.join(plan.where(~spread), "bytes").select("group", F.element_at("bins", 1).alias("shard"))
+    of_spread = groups.join(plan.where(spread), "bytes").withColumn("bucket", F.pmod("group", F.lit(BUCKETS)))
+    before = Window.partitionBy("bytes").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counts = of_spread.groupBy("bytes", "bucket").agg(F.count("*").alias("n"))
+    offsets = counts.select("bytes", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    at = F.row_number().over(Window.partitionBy("bytes", "bucket").orderBy("group")) - 1
+    ranked = of_spread.withColumn("at", at).join(offsets, ["bytes", "bucket"]).withColumn("rank", F.col("offset") + F.col("at"))
+    full = F.size(F.filter("ends", lambda end: end <= F.col("rank")))
+    of_group = whole.unionByName(ranked.select("group", F.get("bins", full).alias("shard")))
     out = stored(
         narrow.join(of_group, "group").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(BUCKETS)))
     )

@@ -266,6 +266,34 @@ def test_best_fit_is_that_of_a_plain_search():
         rooms[fit[1]] -= s
         want.append(fit[1])
     assert sharding.best_fit(sizes, 100) == want
+    # sizes with counts give the same loads as group by group
+    runs = sharding.best_fit_runs(sorted(Counter(sizes).items(), reverse=True), 100)
+    load = Counter()
+    for size, of in zip(sorted(set(sizes), reverse=True), runs, strict=True):
+        assert sum(n for _, n in of) == sizes.count(size)
+        for b, n in of:
+            load[b] += size * n
+    assert load == Counter({i: 100 - r for i, r in enumerate(rooms)})
+
+
+@pytest.mark.parametrize("bins", [1, 2, 7, 40])
+def test_pack_places_every_group(bins):
+    rng = random.Random(bins)
+    for classes in (
+        [],
+        [(16, 3)],
+        [(16, 100_000)],
+        [(10_000, 2), (500, 1), (16, 10)],
+        sorted(Counter(rng.randint(16, 5000) for _ in range(20_000)).items(), reverse=True),
+    ):
+        runs, load = sharding.pack(classes, bins), Counter()
+        for (size, count), of in zip(classes, runs, strict=True):
+            assert sum(n for _, n in of) == count and all(n > 0 and 0 <= b < bins for b, n in of)
+            for b, n in of:
+                load[b] += size * n
+        if sum(n for _, n in classes) >= 20_000:
+            mean = sum(load.values()) / bins
+            assert len(load) == bins and all(abs(x - mean) <= 0.01 * mean for x in load.values())
 
 
 PAGE = """<html><head><title>t</title><script>var a="</p>";</script></head><body>
