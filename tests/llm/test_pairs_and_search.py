@@ -237,3 +237,21 @@ def test_each_length_is_searched_among_its_own(spark):
         found.setdefault(r.query_id, []).append(r.vec_id)
     assert found.keys() == {0, 50, 100, 1000, 1050} and all(len(v) == 5 for v in found.values())
     assert all((v >= 1000) == (q >= 1000) for q, vs in found.items() for v in vs)
+
+
+def test_search_is_widened_until_true_neighbours_are_found(spark, monkeypatch):
+    """Vectors without clusters, whose neighbours lie in many lists."""
+    monkeypatch.setattr(neighbours, "LIST", 10)
+    rng = np.random.default_rng(8)
+    x = np.sign(rng.standard_normal((3000, 48)))
+    x[::50] += 2  # queries are unlike the others
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = {}
+    for r in neighbours.nearest(df, F.col("vec_id") % 50 == 0).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q in range(0, 3000, 50):
+        score = neighbours.cosine(np.repeat(x[q : q + 1], len(x), 0), x)
+        score[q] = -2
+        hits += len(found[q] & set(np.lexsort((np.arange(len(x)), -score))[:5].tolist()))
+    assert hits >= 0.9 * 300
