@@ -54,3 +54,9 @@ def round_numbers(df: DataFrame, digits: int = 2) -> DataFrame:
             for f in df.schema.fields
         ]
     )
+
+
+def spread(df: DataFrame, per_core: int = 4) -> DataFrame:
+    """The rows dealt evenly to `per_core` tasks for each core. For costly expressions over a table of few
+    bytes, which Spark would read, and work on, in one task."""
+    return df.repartition(per_core * df.sparkSession.sparkContext.defaultParallelism)

@@ -126,3 +126,10 @@ def test_blank_and_round(spark):
     df = spark.createDataFrame([(None, 1.005, 2), ("x", None, None)], "a string, `b c` double, d int")
     assert [tuple(r) for r in fill_blank(df).collect()] == [("", "1.005", "2"), ("x", "", "")]
     assert [tuple(r) for r in round_numbers(df).collect()] == [(None, 1.01, 2), ("x", None, None)]
+
+
+def test_costly_expressions_over_a_small_file_are_spread(spark, sf_dir):
+    from verification.queries import QUERIES
+
+    cells = QUERIES["markup_cells"](spark, sf_dir)
+    assert cells.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism > 1

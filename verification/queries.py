@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from fieldspark.functions import dates, rules, text
 from fieldspark.functions.markup import markup_text
-from fieldspark.operators.frames import round_numbers
+from fieldspark.operators.frames import round_numbers, spread
 from fieldspark.plans import (
     alerts,
     blocks,
@@ -180,7 +180,8 @@ def markup_cells(t: Tables) -> DataFrame:
     """Cells with every kind of markup around the values of each block."""
     group, code, day = F.col("grupo_siembra"), F.col("descripcion"), F.col("fecha_siembra").cast("string")
     link = text.link(F.concat(F.lit("**"), group, F.lit("**")), "/detalle?g=(", group, ")")
-    cells = t.blocks_desarrollo.select(
+    rows = t.blocks_desarrollo.select("bloque", "desarrollo", "grupo_siembra", "descripcion", "fecha_siembra")
+    cells = spread(rows).select(
         "bloque",
         F.concat(F.lit("_"), F.col("desarrollo"), F.lit("_ de "), link, F.lit(" y *"), day, F.lit("*")).alias("a"),
         F.concat(F.lit("`"), text.underscored(code), F.lit("*` \\*"), F.col("bloque"), F.lit("\\*")).alias("b"),
