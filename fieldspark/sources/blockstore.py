@@ -28,6 +28,13 @@ BLOCK_KEYS = {
 
 #: A block is kept apart when it has more rows than this many average buckets of a table.
 HEAVY = 2.0
+#: Rows of a bucket, which one task sorts when it is written and groups when it is read.
+BUCKET_ROWS = 500_000
+
+
+def buckets_for(tables: Tables, names: Iterable[str] = tuple(BLOCK_KEYS), least: int = 1) -> int:
+    """As many buckets as keep those of the largest table at `BUCKET_ROWS` rows, `least` at least."""
+    return max(least, -(-max(getattr(tables, name).count() for name in names) // BUCKET_ROWS))
 
 
 def heavy_blocks(tables: Tables, names: Iterable[str], buckets: int, heavy: float = HEAVY) -> DataFrame:

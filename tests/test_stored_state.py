@@ -11,6 +11,7 @@ from fieldspark.plans import weights
 from fieldspark.sources import blockstore, daystate
 from fieldspark.sources.blockstore import BlockStore, write_block_store
 from fieldspark.sources.tables import frame_tables
+from verification.queries import QUERIES
 
 NAMES = ("pesoplanta", "blocks_desarrollo")
 
@@ -124,3 +125,14 @@ def test_merged_sketches_are_near_the_exact_ranks(spark, tmp_path):
             off.append(max(0.0, low / len(found) - p, p - high / len(found)))
     assert sum(x > 0.017 for x in off) <= 0.02 * len(off) and max(off) < 0.04
     assert state.read(spark).where("llave = 'big'").selectExpr("max(length(dibujo))").first()[0] < 8000
+
+
+def test_buckets_grow_with_the_rows(spark, tables, sf_dir, monkeypatch):
+    """A task sorts and groups one bucket, so a larger table has more of them, not larger ones."""
+    used, write = [], blockstore.write_block_store
+    monkeypatch.setattr(blockstore, "write_block_store", lambda t, root, buckets, names: used.append(buckets) or write(t, root, buckets, names))
+    expected = sorted(map(tuple, QUERIES["last_weight_co_located"](spark, sf_dir).collect()))
+    monkeypatch.setattr(blockstore, "BUCKET_ROWS", 300)
+    rows = tables.pesoplanta.count()
+    assert sorted(map(tuple, QUERIES["last_weight_co_located"](spark, sf_dir).collect())) == expected != []
+    assert used == [16, -(-rows // 300)] and used[1] > 16

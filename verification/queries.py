@@ -172,8 +172,9 @@ def last_weight_co_located(t: Tables) -> DataFrame:
     """The weights before induction from a store in buckets by block."""
     spark, names = t.pesoplanta.sparkSession, ("pesoplanta", "blocks_desarrollo")
     root = new_folder(spark, "blocks")
-    blockstore.write_block_store(t, root, 16, names)
-    return blockstore.BlockStore(spark, root, 16, names).by_block(weights.last_weight_before_induction)
+    buckets = blockstore.buckets_for(t, names, 16)
+    blockstore.write_block_store(t, root, buckets, names)
+    return blockstore.BlockStore(spark, root, buckets, names).by_block(weights.last_weight_before_induction)
 
 
 def markup_cells(t: Tables) -> DataFrame:
