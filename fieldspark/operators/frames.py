@@ -7,6 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Rows of a task, on average, that groups what `dealt` gives it.
+TASK_ROWS = 250_000
+
 
 def where_equal(df: DataFrame, **values) -> DataFrame:
     """Rows whose columns equal the given values; None leaves a column free."""
@@ -60,3 +63,13 @@ def spread(df: DataFrame, per_core: int = 4) -> DataFrame:
     """The rows dealt evenly to `per_core` tasks for each core. For costly expressions over a table of few
     bytes, which Spark would read, and work on, in one task."""
     return df.repartition(per_core * df.sparkSession.sparkContext.defaultParallelism)
+
+
+def dealt(df: DataFrame, *keys: str, rows: int | None = None) -> DataFrame:
+    """The rows dealt to tasks by `keys`, as many tasks as keep them at `TASK_ROWS` rows on average, so that what
+    a task needs to group them does not grow with the table. What is grouped by `keys`, with or without further
+    columns, needs no further exchange. `rows` is their number, or a bound; left out, they are counted. No more
+    rows than one task has stay where they are.
+    """
+    tasks = -(-(df.count() if rows is None else rows) // TASK_ROWS)
+    return df.repartition(tasks, *keys) if tasks > 1 else df

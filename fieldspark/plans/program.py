@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fieldspark.functions import rules
 from fieldspark.functions.dates import spanish_date, week_ranges
 from fieldspark.functions.text import labelled
+from fieldspark.operators.frames import dealt
 from fieldspark.operators.lists import cell_text, entries, totals
 from fieldspark.sources.tables import Tables
 
@@ -26,9 +27,10 @@ def current_groups(t: Tables) -> DataFrame:
 def _planned(t: Tables, anio: int | None, semana: int | None) -> DataFrame:
     """Planned blocks and area by date, formula and current group."""
     plan = t.dated("programacionaplicaciones", week_ranges(anio, semana))
+    rows = plan.count()
     # Counted per block before the join, so that a busy block joins as one row per order.
     planned = (
-        plan.select(*ORDER, "block", "area")
+        dealt(plan.select(*ORDER, "block", "area"), *ORDER, "block", rows=rows)
         .distinct()
         .groupBy(*ORDER, "block")
         .agg(
@@ -36,7 +38,8 @@ def _planned(t: Tables, anio: int | None, semana: int | None) -> DataFrame:
             F.sum(F.col("area").cast("decimal(18,4)")).alias("area"),
         )
     )
-    return planned.join(current_groups(t), F.col("block") == F.col("bloque"), "left")
+    by_block = dealt(planned, "block", rows=rows)
+    return by_block.join(current_groups(t), F.col("block") == F.col("bloque"), "left")
 
 
 def _sorted(rows: DataFrame, semana: int | None, *columns: str) -> DataFrame:
