@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from fieldspark.operators.frames import dealt
+
 
 def _times(rows: DataFrame, on: Sequence[str], time: str, span: str, side: int, value: Column) -> DataFrame:
     known = F.col(time).isNotNull()
@@ -43,12 +45,13 @@ def asof_join(
     Both sides are first reduced to one row per key and time, so many rows of a key at one time cost
     nothing here and meet their match in an ordinary join, which Spark can split. The times of a key are cut into spans
     (`date_trunc` units): values are carried forward within each, and what a span ends with is carried to the later
-    ones over one row per key and span. So no task needs all times of a key.
+    ones over one row per key and span. So no task needs all times of a key. A `right` of many rows should be
+    `dealt` by `on` and `right_time`; `left` is here.
     """
     if clash := set(carry) & set(left.columns):
         raise ValueError(f"columns of both sides: {sorted(clash)}")
     found = F.max(F.struct(*[F.col(c).alias(c) for c in carry]))
-    asked = _times(left, on, left_time, span, 0 if strict else 1, F.first(F.lit(None)).cast(_kind(right, carry)))
+    asked = _times(dealt(left.select(*on, left_time), *on, left_time), on, left_time, span, 0 if strict else 1, F.first(F.lit(None)).cast(_kind(right, carry)))
     there = _times(right.select(*on, right_time, *carry), on, right_time, span, 1 if strict else 0, found)
     asks = 0 if strict else 1
 

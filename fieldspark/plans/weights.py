@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fieldspark.functions.rules import ratio
 from fieldspark.operators.asof import asof_join
-from fieldspark.operators.frames import first_per_key, where_equal
+from fieldspark.operators.frames import dealt, first_per_key, where_equal
 from fieldspark.operators.quantiles import distribution
 from fieldspark.sources.tables import Tables
 
@@ -26,11 +26,14 @@ def weight_distribution(t: Tables, llave: str | None = None) -> DataFrame:
 def daily_weights(t: Tables, of_blocks: DataFrame | None = None) -> DataFrame:
     """Sum and number of samples per block and day, the form in which weights travel.
 
-    `of_blocks` (one column `llave`) limits the samples to some blocks.
+    `of_blocks` (one column `llave`) limits the samples to some blocks. Samples are dealt by block and day before
+    they are summed, unless they lie in buckets of blocks.
     """
     samples = t.pesoplanta
     if of_blocks is not None:
         samples = samples.join(of_blocks.distinct(), "llave", "left_semi")
+    if not t.co_located:
+        samples = dealt(samples, "llave", "fecha", rows=t.pesoplanta.count())
     return samples.groupBy("llave", "fecha").agg(
         F.sum("valor").alias("suma"), F.count("valor").alias("n")
     )

@@ -92,7 +92,7 @@ class BlockStore:
 
             return table
 
-        return Tables(read("")), Tables(read("_apart"))
+        return Tables(read(""), co_located=True), Tables(read("_apart"))
 
     def by_block(self, plan: Callable[[Tables], DataFrame], others: Tables | None = None) -> DataFrame:
         """`plan` over all blocks. It must treat each block by itself: join and group by block, with

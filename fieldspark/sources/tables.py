@@ -63,10 +63,11 @@ class Tables:
     """The domain tables as DataFrames: `tables.aplicaciones`, `tables.blocks`, ...
 
     `read` returns the stored DataFrame for a table name. Nothing is read before it is asked for.
+    `co_located` tables lie in buckets of blocks, which reports are to leave where they are.
     """
 
-    def __init__(self, read: Callable[[str], DataFrame]):
-        self._read = read
+    def __init__(self, read: Callable[[str], DataFrame], co_located: bool = False):
+        self._read, self.co_located = read, co_located
         self._stored: dict[str, DataFrame] = {}
         self._conformed: dict[str, DataFrame] = {}
 

@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldspark.operators import frames
-from fieldspark.plans import program
+from fieldspark.plans import program, weights
+from fieldspark.sources.tables import Tables
 
 
 def rows(df):
@@ -34,3 +35,19 @@ def test_the_programme_in_many_tasks(tables, monkeypatch, report):
     assert rows(report(tables)) == before
     if report is not program.weekly_program_area:  # its totals are few rows, in one more exchange
         assert most_in_a_task(report(tables)) < 2 * 200
+
+
+def test_samples_are_dealt_by_block_and_day(tables, monkeypatch):
+    before = rows(weights.daily_weights(tables)), rows(weights.weight_before_treatment(tables))
+    monkeypatch.setattr(frames, "TASK_ROWS", 300)
+    assert (rows(weights.daily_weights(tables)), rows(weights.weight_before_treatment(tables))) == before
+    assert most_in_a_task(weights.daily_weights(tables)) < 2 * 300
+    plan = weights.weight_before_treatment(tables)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == 2  # samples and treatments
+
+
+def test_buckets_of_blocks_stay_where_they_are(tables, monkeypatch):
+    monkeypatch.setattr(frames, "TASK_ROWS", 300)
+    bucketed = Tables(lambda name: getattr(tables, name), co_located=True)
+    plan = weights.daily_weights(bucketed)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" not in plan
