@@ -73,3 +73,10 @@ def dealt(df: DataFrame, *keys: str, rows: int | None = None) -> DataFrame:
     """
     tasks = -(-(df.count() if rows is None else rows) // TASK_ROWS)
     return df.repartition(tasks, *keys) if tasks > 1 else df
+
+
+def merged(df: DataFrame, rows: int) -> DataFrame:
+    """A side of a join that is sorted, not broadcast, if `rows` (its number of rows or a bound) are more than
+    `TASK_ROWS`. Spark takes a few compressed columns of a long table for small, and each task of a join has the
+    whole of what is broadcast to it."""
+    return df.hint("merge") if rows > TASK_ROWS else df

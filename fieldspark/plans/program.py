@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fieldspark.functions import rules
 from fieldspark.functions.dates import spanish_date, week_ranges
 from fieldspark.functions.text import labelled
-from fieldspark.operators.frames import dealt
+from fieldspark.operators.frames import dealt, merged
 from fieldspark.operators.lists import cell_text, entries, totals
 from fieldspark.sources.tables import Tables
 
@@ -39,7 +39,8 @@ def _planned(t: Tables, anio: int | None, semana: int | None) -> DataFrame:
         )
     )
     by_block = dealt(planned, "block", rows=rows)
-    return by_block.join(current_groups(t), F.col("block") == F.col("bloque"), "left")
+    groups = merged(current_groups(t), t.historia_bloques.count())
+    return by_block.join(groups, F.col("block") == F.col("bloque"), "left")
 
 
 def _sorted(rows: DataFrame, semana: int | None, *columns: str) -> DataFrame:

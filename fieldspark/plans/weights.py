@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fieldspark.functions.rules import ratio
 from fieldspark.operators.asof import asof_join
-from fieldspark.operators.frames import dealt, first_per_key, where_equal
+from fieldspark.operators.frames import dealt, first_per_key, merged, where_equal
 from fieldspark.operators.quantiles import distribution
 from fieldspark.sources.tables import Tables
 
@@ -71,7 +71,7 @@ def last_weight_before_induction(t: Tables, of_blocks: DataFrame | None = None)
     return (
         daily_weights(t, of_blocks)
         .where(F.col("fecha").isNotNull())
-        .join(limits, F.col("llave") == F.col("bloque"))
+        .join(merged(limits, t.blocks_desarrollo.count()), F.col("llave") == F.col("bloque"))
         .where(F.col("abierto") | (F.col("fecha") < F.col("hasta")))
         .groupBy("llave")
         .agg(F.max_by(F.struct("suma", "n"), "fecha").alias("ultimo"))
