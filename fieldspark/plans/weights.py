@@ -50,7 +50,10 @@ def latest_weight(t: Tables, of_blocks: DataFrame | None = None) -> DataFrame:
 
     A sampling without a date counts as the last one, as in a descending PostgreSQL sort.
     """
-    last = first_per_key(daily_weights(t, of_blocks), ["llave"], [F.col("fecha").desc_nulls_first()])
+    days = daily_weights(t, of_blocks)
+    if not t.co_located:
+        days = dealt(days, "llave", rows=t.pesoplanta.count())  # a block has a row a day, so none is heavy
+    last = first_per_key(days, ["llave"], [F.col("fecha").desc_nulls_first()])
     return last.select(
         "llave",
         F.col("fecha").alias("fecha_muestreo"),

@@ -39,10 +39,13 @@ def test_the_programme_in_many_tasks(tables, monkeypatch, report):
 
 
 def test_samples_are_dealt_by_block_and_day(tables, monkeypatch):
-    before = rows(weights.daily_weights(tables)), rows(weights.weight_before_treatment(tables))
+    reports = weights.daily_weights, weights.weight_before_treatment, weights.latest_weight
+    before = [rows(report(tables)) for report in reports]
     monkeypatch.setattr(frames, "TASK_ROWS", 300)
-    assert (rows(weights.daily_weights(tables)), rows(weights.weight_before_treatment(tables))) == before
+    assert [rows(report(tables)) for report in reports] == before
     assert most_in_a_task(weights.daily_weights(tables)) < 2 * 300
+    latest = weights.latest_weight(tables)
+    assert "REPARTITION_BY_NUM" in latest._jdf.queryExecution().executedPlan().toString()
     plan = weights.weight_before_treatment(tables)._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(llave" in plan and "hashpartitioning(bloque" in plan and plan.count("REPARTITION_BY_NUM") >= 2
 
