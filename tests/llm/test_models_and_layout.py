@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from fieldspark.llm import extraction, language, lm, mixing, quality, sharding, toxicity
+from fieldspark.llm import extraction, gru, language, lm, mixing, quality, sharding, toxicity
 from fieldspark.llm.gru import STATE, Network
 from fieldspark.llm.queries import ORACLES, QUERIES
 
@@ -193,6 +193,40 @@ def test_network_gradients_and_carried_state():
     assert np.exp(one).sum() == pytest.approx(1)
 
 
+def test_network_goes_in_parts_that_a_cache_holds(monkeypatch):
+    monkeypatch.setattr(gru, "ABREAST", 4)
+    monkeypatch.setattr(gru, "PARAMETERS", 100)
+    net, met, rng = Network(70, 3, 0, np.arange(73.0)), [], np.random.default_rng(4)
+    plain = net.step
+    net.step = lambda symbol, h, *more: met.append(len(h)) or plain(symbol, h, *more)
+    size = rng.integers(0, 30, 25)
+    first = np.concatenate([[0], np.cumsum(size)])
+    symbols = rng.integers(0, 73, first[-1])
+    assert net.train([(symbols, first)], lanes=3) == len(symbols)
+    met.clear()
+    got = net.score(symbols, first)
+    assert max(met) == 4
+    assert got == pytest.approx([net.score(symbols[a:b], np.array([0, b - a]))[0] for a, b in zip(first, first[1:])])
+
+
+def test_softmaxes_of_any_size_and_pieces_after_any_symbol():
+    net, rng = Network(70, 3, 0, np.arange(73.0)), np.random.default_rng(6)
+    net.p["wc"] += rng.standard_normal(net.p["wc"].shape).astype(np.float32) * 200  # overflows if not lowered
+    net.p["ww"] += rng.standard_normal(net.p["ww"].shape).astype(np.float32) * 200
+    s, target = rng.uniform(-1, 1, (400, STATE)).astype(np.float32), rng.integers(0, 73, 400)
+    wide = {k: v.astype(np.float64) for k, v in net.p.items()}
+    x, of = s @ wide["wc"] + wide["bc"], net.class_of[target]
+    want = x[np.arange(400), of] - np.logaddexp.reduce(x, 1)
+    for i in np.flatnonzero(target < 70):
+        c = slice(of[i] * gru.PER_CLASS, (of[i] + 1) * gru.PER_CLASS)
+        x = wide["ww"][c] @ s[i] + wide["bw"][c]
+        want[i] += x[target[i] - c.start] - np.logaddexp.reduce(x)
+    assert net.log_prob(s, target) == pytest.approx(want, rel=1e-4, abs=1e-2)
+    rows = np.array([[-2 - 72, -1], [5, 72]])
+    grad, h = net._gradients(np.array([[1, 2], [-2 - 72, 3]]), rows, np.zeros((2, STATE), np.float32))
+    assert all(np.isfinite(g).all() for g in grad.values()) and np.isfinite(h).all()
+
+
 def test_mixing_matches_sql(odd):
     duck = duckdb.connect()
     duck.register("documents", odd.drop("score", "x").toArrow())
